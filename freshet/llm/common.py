@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ def rows_of(batches: Iterator[pa.RecordBatch], at_most_bytes: int, text: str) ->
         column = batch.column(batch.schema.get_field_index(text))
         if not batch.num_rows:
             continue
-        lengths = np.asarray([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()], np.int64)
+        lengths = np.asarray([0 if x is None else x for x in pc.binary_length(column).to_pylist()], np.int64)
         start, total = 0, 0
         for i, n in enumerate(lengths):
             if i > start and total + n > at_most_bytes:

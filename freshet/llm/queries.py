@@ -44,6 +44,46 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' lines by source: what is boilerplate there is dropped."""
+    from freshet.llm.line_dedup import drop_boilerplate
+
+    found = drop_boilerplate(table(spark, sf_dir, "documents"), max_ratio=0.1, min_pages=5)
+    n, kept = F.greatest(F.coalesce(F.size("lines"), F.lit(0)), F.lit(0)), F.greatest(F.coalesce(F.size("kept"), F.lit(0)), F.lit(0))
+    return found.select("row.doc_id", "row.source", n.cast("long").alias("n_lines"), (n - kept).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
+
+
+OP2_SQL = r"""
+WITH pages AS (SELECT doc_id, source, text, coalesce(source, '') AS host FROM documents),
+lines AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM pages),
+totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
+common AS (
+  SELECT l.host, l.line FROM (SELECT host, line, count(DISTINCT doc_id) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY host, line) l
+  JOIN totals t ON l.host = t.host WHERE l.n >= 5 AND l.n > 0.1 * t.pages),
+marked AS (SELECT l.doc_id, l.line, l.pos, c.line IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.host = c.host AND l.line = c.line),
+joined AS (SELECT doc_id, count(*) AS n, sum(gone::INT) AS d, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY doc_id)
+SELECT p.doc_id, p.source, coalesce(j.n, 0)::BIGINT AS n_lines, coalesce(j.d, 0)::BIGINT AS n_dropped, j.kept AS text
+FROM pages p LEFT JOIN joined j ON p.doc_id = j.doc_id
+"""
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.quality_rules import fit_groups, judged, with_statistics
+    from freshet.llm.common import durable
+
+    stats = durable(with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).withColumn("doc_id", F.col("row.doc_id")).drop("row"), "quality-statistics")
+    return judged(stats, fit_groups(stats)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' mixture with 0.95 of the largest entropy, at most 4 epochs, and as many tokens as they have."""
+    from freshet.llm.mixing import mix, word_count
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("tokens"))
+    mixed = mix(docs, F.col("tokens"), ["doc_id"], target_entropy=0.95, max_repeats=4.0, budget=1.0)
+    return mixed.select("row.doc_id", "source", "tokens", "epoch", "block", "position")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from freshet.llm.topk import top_k
 
@@ -52,8 +92,8 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op3_bpe": op3_bpe, "op5_secrets": op5_secrets, "op7_top_k": op7_top_k}
+    return {"op1_url_filter": op1_url_filter, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op5_secrets": op5_secrets, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_mixing": op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": OP2_SQL}

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def one_block(candidates: DataFrame, block: list, k: int) -> DataFrame:
                 part = batch.slice(start, CANDIDATE_BLOCK)
                 ids = np.asarray(part.column(0), np.int64)
                 column = part.column(1)
-                flat, ends = np.asarray(column.flatten(), np.int64), np.cumsum(np.asarray(pa.compute.list_value_length(column), np.int64))
+                flat, ends = np.asarray(column.flatten(), np.int64), np.cumsum(np.asarray(pc.list_value_length(column), np.int64))
                 lists = np.split(flat, ends[:-1]) if len(ends) else []
                 order = np.argsort(ids, kind="stable")
                 ids, lists = ids[order], [lists[i] for i in order]
