@@ -94,8 +94,14 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op5_secrets": op5_secrets, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_mixing": op8_mixing}
+    return {"op1_url_filter": op1_url_filter, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op5_secrets": op5_secrets, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_mixing": op8_mixing, "op9_jaccard_join": op9_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
