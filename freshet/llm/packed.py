@@ -76,26 +76,46 @@ def send_counts(chunks: Iterator[np.ndarray], bits: int, ranges: int, least_here
 SENT = "part int, values binary, more binary"
 
 
+def _merged(group: pa.Table, ranges: int, bits: int, least: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """A range's number, and its hashes (less the range's start) with their counts, of those that have ``least``."""
+    values, counts = [], []
+    for blob, more in zip(group.column("values").to_pylist(), group.column("more").to_pylist()):
+        v = stretch(blob)
+        c = np.ones(len(v), np.int64)
+        many = np.frombuffer(more, "<u4").reshape(2, -1)
+        c[many[0]] = many[1]
+        values.append(v)
+        counts.append(c)
+    v, c = counted(np.concatenate(values), np.concatenate(counts))
+    return group.column("part")[0].as_py(), v[c >= least], c[c >= least]
+
+
 def frequent(sent: DataFrame, ranges: int, bits: int, least: int) -> DataFrame:
     """The hashes (cut to ``bits``) that were counted ``least`` times or more: ``h``, ``n``."""
 
     def merge(group: pa.Table) -> pa.Table:
-        part = group.column(0)[0].as_py()
-        values, counts = [], []
-        for blob, more in zip(group.column(1).to_pylist(), group.column(2).to_pylist()):
-            v = stretch(blob)
-            c = np.ones(len(v), np.int64)
-            many = np.frombuffer(more, "<u4").reshape(2, -1)
-            c[many[0]] = many[1]
-            values.append(v)
-            counts.append(c)
-        v, c = counted(np.concatenate(values), np.concatenate(counts))
-        v = v[c >= least] + (np.uint64(part) << np.uint64(bits - ranges))
-        return pa.table({"h": v.astype(np.int64), "n": c[c >= least]})
+        part, v, c = _merged(group, ranges, bits, least)
+        return pa.table({"h": (v + (np.uint64(part) << np.uint64(bits - ranges))).astype(np.int64), "n": c})
 
     return sent.groupBy("part").applyInArrow(merge, "h long, n long")
 
 
+def frequent_bits(sent: DataFrame, ranges: int, bits: int, least: int, table_bits: int) -> np.ndarray:
+    """A table of 2^table_bits bits, with those set that a frequent hash has at its top: each range sends its own slice."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        part, v, _ = _merged(group, ranges, bits, least)
+        slice_ = np.zeros(1 << (table_bits - ranges), np.uint8)
+        slice_[(v >> np.uint64(bits - table_bits)).astype(np.int64)] = 1
+        return pa.table({"part": pa.array([part], pa.int32()), "slice": pa.array([np.packbits(slice_, bitorder="little").tobytes()], pa.binary())})
+
+    table = np.zeros(1 << (table_bits - 3), np.uint8)
+    size = 1 << (table_bits - ranges - 3)
+    for row in sent.groupBy("part").applyInArrow(merge, "part int, slice binary").toLocalIterator():
+        table[row.part * size : (row.part + 1) * size] = np.frombuffer(row.slice, np.uint8)
+    return table.view(np.int64)
+
+
 def bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A table of 2^bits bits with those set that ``hashes`` has at its top bits: at most 2^(bits-6) rows come to the driver."""
     words = hashes.select(F.expr(f"shiftrightunsigned({column}, {64 - bits + 6})").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit"))

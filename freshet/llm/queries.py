@@ -32,6 +32,14 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.substring_dedup import substring_dedup
+
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from freshet.llm.secrets import secret_spans
 
@@ -101,7 +109,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op5_secrets": op5_secrets, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_mixing": op8_mixing, "op9_jaccard_join": op9_jaccard_join}
+    return {"op1_url_filter": op1_url_filter, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_secrets": op5_secrets, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_mixing": op8_mixing, "op9_jaccard_join": op9_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:
