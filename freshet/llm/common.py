@@ -30,15 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
+def durable(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again. This cuts the lineage, survives
-    the loss of executors, and makes sure that what is used more than once is computed once."""
+    the loss of executors, and makes sure that what is used more than once is computed once. ``files``: at
+    most so many, for a table of a row for each group."""
     spark = df.sparkSession
+    if files:
+        df = df.coalesce(files)
     path = f"{shared_dir(spark)}/freshet/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has at most ``most`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of frames that are no longer referred to."""
     import gc

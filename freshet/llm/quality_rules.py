@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.llm.common import SPACE_CLASS, durable
+from freshet.llm.common import SPACE_CLASS, durable, small
 
 SYMBOLS = r"[#*$%&|<>]"
 DIMENSIONS = 4
@@ -32,8 +32,8 @@ DIMENSIONS = 4
 FLOORS = (0.08, 0.05, 0.15, 0.15)
 #: Rows from which a group has its own estimate; share of the rows that are concentrated on; steps; chi-square quantile.
 MIN_GROUP, SUBSET, STEPS, QUANTILE = 40, 0.75, 4, 0.9999
-#: Bins of ln(distance^2) to one unit.
-BINS = 8
+#: Bins of ln(distance^2) to one unit; groups whose estimates are broadcast at most (about 200 bytes each); files of their table.
+BINS, BROADCAST_GROUPS, FILES = 8, 50_000, 4
 
 
 def chi_square(x: float, half: int) -> float:
@@ -123,14 +123,14 @@ def fit_groups(stats: DataFrame) -> DataFrame:
     levels = F.array(*[F.struct(F.lit(i).alias("level"), a.alias("g_lang"), b.alias("g_source")) for i, (a, b) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), F.lit("")), (F.lit(""), F.lit(""))])])
     rows = stats.where(~F.col("base_failed")).select(F.explode(levels).alias("key"), *x).select("key.*", *x)
 
-    middle = durable(rows.groupBy(key).agg(F.count("*").alias("n"), *[F.percentile(F.round(c, 3), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(x)]).where(F.col("n") >= MIN_GROUP), "mcd-medians")
-    spread = rows.join(middle, key).groupBy(key).agg(*[F.percentile(F.round(F.abs(F.col(c) - F.col(f"m{i}")), 3), F.lit(0.5)).alias(f"s{i}") for i, c in enumerate(x)])
+    middle = durable(rows.groupBy(key).agg(F.count("*").alias("n"), *[F.percentile(F.round(c, 3), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(x)]).where(F.col("n") >= MIN_GROUP), "mcd-medians", FILES)
+    spread = rows.join(small(middle, BROADCAST_GROUPS), key).groupBy(key).agg(*[F.percentile(F.round(F.abs(F.col(c) - F.col(f"m{i}")), 3), F.lit(0.5)).alias(f"s{i}") for i, c in enumerate(x)])
     covariance = {(i, j): (F.col(f"s{i}") * 1.4826) ** 2 if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(i + 1)}
-    model = durable(_factor(middle.join(spread, key), covariance).select(*key, "n", *MODEL), "mcd-start")
+    model = durable(_factor(middle.join(spread, key), covariance).select(*key, "n", *MODEL), "mcd-start", FILES)
     pairs = list(dict.fromkeys((i, j) for i in range(DIMENSIONS) for j in range(i + 1)))
     for step in range(STEPS):
         last = step == STEPS - 1
-        near = _with_distance(rows.join(model, key)).withColumn("bin", F.floor(BINS * F.log(F.col("d2") + 1e-6)))
+        near = _with_distance(rows.join(small(model, BROADCAST_GROUPS), key)).withColumn("bin", F.floor(BINS * F.log(F.col("d2") + 1e-6)))
         off = [(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(DIMENSIONS)]
         sums = near.groupBy(*key, "bin").agg(F.count("*").alias("c"), *[F.sum(o).alias(f"a{i}") for i, o in enumerate(off)], *[F.sum(off[i] * off[j]).alias(f"b{i}{j}") for i, j in pairs])
         before = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -140,22 +140,19 @@ def fit_groups(stats: DataFrame) -> DataFrame:
         moved = model.select(*key, "n", *[F.col(f"m{i}").alias(f"o{i}") for i in range(DIMENSIONS)]).join(total, key)
         moved = moved.withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"a{i}") / F.col("c") for i in range(DIMENSIONS)})
         covariance = {(i, j): F.lit(scale) * (F.col(f"b{i}{j}") / F.col("c") - F.col(f"a{i}") / F.col("c") * F.col(f"a{j}") / F.col("c")) for i, j in pairs}
-        model = durable(_factor(moved, covariance).select(*key, "n", *MODEL), "mcd-step")
-
-    def level(k: int) -> DataFrame:
-        return model.where(F.col("level") == k).select("g_lang", "g_source", F.struct(*MODEL).alias(f"model{k}"))
+        model = durable(_factor(moved, covariance).select(*key, "n", *MODEL), "mcd-step", FILES)
 
     groups = stats.select("lang", "source").distinct()
-    for k, (a, b) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), F.lit("")), (F.lit(""), F.lit(""))]):
-        found = level(k)
-        groups = groups.withColumns({"k_lang": a, "k_source": b}).join(found, (F.col("k_lang") == F.col("g_lang")) & (F.col("k_source") == F.col("g_source")), "left").drop("k_lang", "k_source", "g_lang", "g_source")
+    for k, by in enumerate((["lang", "source"], ["lang"], [])):
+        own = model.where(F.col("level") == k).select(F.struct(*MODEL).alias(f"model{k}"), *[F.col(f"g_{c}").alias(c) for c in by])
+        groups = groups.join(own, by, "left") if by else groups.join(F.broadcast(own), F.lit(True), "left")  # one row at most
     chosen = F.coalesce("model0", "model1", "model2")
-    return durable(groups.select("lang", "source", chosen.alias("model")).select("lang", "source", "model.*"), "mcd-groups")
+    return durable(groups.select("lang", "source", chosen.alias("model")).select("lang", "source", "model.*"), "mcd-groups", FILES)
 
 
 def judged(stats: DataFrame, groups: DataFrame) -> DataFrame:
     """``stats`` with ``d2`` and ``kept``. The groups' table is broadcast where Spark finds it small enough."""
-    rows = _with_distance(stats.join(groups, ["lang", "source"], "left"))
+    rows = _with_distance(stats.join(small(groups, BROADCAST_GROUPS), ["lang", "source"], "left"))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= CUTOFF)))
 
 
