@@ -108,8 +108,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.license_scan import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_secrets": op5_secrets, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_mixing": op8_mixing, "op9_jaccard_join": op9_jaccard_join}
+    return {"op1_url_filter": op1_url_filter, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_secrets": op5_secrets, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_mixing": op8_mixing, "op9_jaccard_join": op9_jaccard_join, "op10_license_scan": op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:

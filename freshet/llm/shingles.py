@@ -61,11 +61,11 @@ def combined(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def blocks(texts: Iterable[str], size: int) -> Iterator[list[bytes]]:
+def blocks(texts: Iterable[str], size: int, without: bytes = b"") -> Iterator[list[bytes]]:
     """The texts in UTF-8, in lists of about ``size`` bytes, or one longer text."""
     held, total = [], 0
     for text in texts:
-        raw = text.encode("utf-8", "surrogatepass")
+        raw = text.encode("utf-8", "surrogatepass").translate(None, without)
         if held and total + len(raw) > size:
             yield held
             held, total = [], 0
@@ -75,10 +75,10 @@ def blocks(texts: Iterable[str], size: int) -> Iterator[list[bytes]]:
         yield held
 
 
-def shingle_lists(texts: Iterable[str], n: int = 5, block: int = 1_000_000) -> Iterator[np.ndarray]:
+def shingle_lists(texts: Iterable[str], n: int = 5, block: int = 1_000_000, without: bytes = b"") -> Iterator[np.ndarray]:
     """For each text the hashes of its shingles of n words in order; with fewer words the whole sequence as one;
-    none without words."""
-    for held in blocks(texts, block):
+    none without words. ``without``: ASCII characters that are left out first."""
+    for held in blocks(texts, block, without):
         ends = np.cumsum([len(x) + 1 for x in held])
         starts, words = word_hashes(b"\n".join(held))
         first = np.searchsorted(starts, np.concatenate([[0], ends]))
