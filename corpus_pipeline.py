@@ -1,25 +1,62 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, source mixing, BPE encoding."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, source mixing, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as the next
+stage's ``docs``. All but the last return the columns of ``docs``. Nulls, empty and long texts, ties, repeated rows and
+empty tables have the results that the operators' own notes state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from freshet.llm.common import durable, table
+from freshet.llm.line_dedup import line_dedup
+from freshet.llm.mixing import mix, word_count
+from freshet.llm.ngram_join import jaccard_components
+from freshet.llm.quality_rules import quality_filter
 from freshet.llm.queries import bpe_digests
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the fixed rules and the robust outlier test keep."""
+    return quality_filter(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without its source's boilerplate lines; ``n_chars`` follows the text."""
+    return line_dedup(docs, chars_col="n_chars", max_ratio=0.1, min_pages=5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similarity 0.8 connect: the one with the smallest id. Of repeated rows
+    (equal id and text) one stays; documents without words stay."""
+    found = durable(jaccard_components(docs)[0], "components")
+    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("__twin", F.xxhash64("text")).dropDuplicates(["doc_id", "__twin"]).drop("__twin")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture with the smallest budget that takes every document once: small sources are repeated, up to 1.25 times,
+    towards 0.95 of the largest entropy."""
+    return mix(docs, word_count(F.col("text")), ["doc_id"], target_entropy=0.95, max_repeats=1.25, budget=None).select("row.*")
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's tokens: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``."""
     return bpe_digests(docs)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("mixing", mixture), ("BPE", encode)]
 
-#: The BPE stage has no SQL; tests hold each stage against a brute-force version.
+#: SQL can't express the outlier test, the bisected mixture or the merges; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
