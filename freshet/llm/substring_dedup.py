@@ -25,6 +25,7 @@ taken in pieces that overlap, so nothing is cut.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import packed
-from freshet.llm.common import bounded_broadcast, durable, input_mb, plain, rows_of
+from freshet.llm.common import bounded_broadcast, durable, input_mb, plain, release_shuffles, rows_of
 from freshet.llm.shingles import BASE, _end_power, mixed, powers
 
 LENGTH, GRAM = 100, 24
 #: Bytes that are looked at together; contexts that a task holds before it sends them; anchors a MB of input, about.
-PIECE, HELD, ANCHORS_MB = 2_000_000, 150_000, 60_000
+PIECE, HELD, ANCHORS_MB = 500_000, 50_000, 60_000
 #: log2 of the bits of the table of repeated anchors, at most, and its bound in bytes.
 TABLE_BITS, TABLE_BOUND = 28, 40_000_000
 FIRST_ID = -(1 << 63)
@@ -108,13 +109,13 @@ def contexts(rows: DataFrame, table, table_bits: int, ranges: int) -> DataFrame:
         bit, names = table.value, [x.split()[0] for x in schema.split(", ")]
         zip_ = zstandard.ZstdCompressor(level=1)
         held: dict[tuple[bytes, int], tuple] = {}
-        gone: list[tuple] = []
+        gone = array("q")
 
         def flush() -> Iterator[pa.RecordBatch]:
             out = []
             if gone:
-                doc, twin, start, end = (np.asarray(x, np.int64) for x in zip(*gone))
-                out.append((-1, b"", doc.tobytes(), twin.tobytes(), start.tobytes(), b"", end.tobytes(), b""))
+                doc, twin, start, end = (x.tobytes() for x in np.frombuffer(gone, np.int64).reshape(-1, 4).T)
+                out.append((-1, b"", doc, twin, start, b"", end, b""))
             if held:
                 found = list(held.items())
                 hashes = np.asarray([v[3] for _, v in found], np.uint64)
@@ -127,7 +128,7 @@ def contexts(rows: DataFrame, table, table_bits: int, ranges: int) -> DataFrame:
                     doc, twin, start = (np.asarray([v[k] for _, v in some], np.int64).tobytes() for k in range(3))
                     out.append((int(part[a]), packed.squeeze(hashes[a:b]), doc, twin, start, bytes(k[1] for k, _ in some), np.asarray([len(k[0]) for k, _ in some], "<u2").tobytes(), zip_.compress(b"".join(k[0] for k, _ in some))))
             held.clear()
-            gone.clear()
+            del gone[:]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 7))], names)
 
@@ -144,8 +145,8 @@ def contexts(rows: DataFrame, table, table_bits: int, ranges: int) -> DataFrame:
                 if there[:3] != here[:3]:
                     if here[:3] < there[:3]:
                         held[key], there, here = here, here, there
-                    gone.append((here[0], here[1], here[2], here[2] + e - s))
-            if len(held) >= HELD or len(gone) >= 4 * HELD:
+                    gone.extend((here[0], here[1], here[2], here[2] + e - s))
+            if len(held) >= HELD or len(gone) >= 16 * HELD:
                 yield from flush()
         yield from flush()
 
@@ -268,7 +269,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = plain(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_ID)).alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("twin"), "text")
     kind, narrow, mb = rows.schema["doc_id"].dataType.simpleString(), rows.select("key", "twin", "text"), input_mb(docs)
     expected = ANCHORS_MB * mb
-    ranges = packed.range_bits(expected * 4)
+    ranges = packed.range_bits(expected * 16)
     bits = int(min(64, 40 + max(0, np.ceil(np.log2(max(mb, 1) / 2048)))))
     table_bits = int(min(TABLE_BITS, max(20, np.ceil(np.log2(max(4 * expected, 1))))))
     found = repeated_anchors(narrow, bits, ranges, table_bits)
@@ -284,6 +285,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.pmod(F.xxhash64("doc"), F.lit(1 << ranges))).cast("int")
     spans = sent.withColumn("part", parts).groupBy("part").applyInArrow(solve, span)
     by_doc = durable(spans.groupBy("key", "twin").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
+    del sent, spans  # the packed contexts are no longer needed
+    release_shuffles(spark)
     joined = rows.join(by_doc, ["key", "twin"], "left").select("doc_id", "text", "found")
     of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
