@@ -321,23 +321,31 @@ def across(signed: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     def hold(group: pa.Table) -> pa.Table:
         node, label, n = (np.asarray(group.column(c), np.int64) for c in ("node", "label", "n"))
         outer, bits = np.asarray(group.column("outside"), bool), group.column("bits").to_pylist()
-        width = min((len(x) // 8 for x in bits), default=1)  # sizes of a signature's sets lie in a band and the next, so widths are few
+        # sizes of a signature's sets lie in a band and next to it, so widths are few
         widths = np.asarray([len(x) // 8 for x in bits])
         full = {w: (np.flatnonzero((widths == w) & ~outer)) for w in set(widths.tolist())}
         maps = {w: np.frombuffer(b"".join(bits[i] for i in at), "<u8").reshape(-1, w) if len(at) else np.zeros((0, w), np.uint64) for w, at in full.items()}
-        out = []
+        own, others = [], []
         for i in np.flatnonzero(outer):
-            own = np.frombuffer(bits[i], "<u8")
+            mine, near = np.frombuffer(bits[i], "<u8"), []
             for w, at in full.items():
                 if len(at):
                     fits = (label[at] != label[i]) & (DENOMINATOR * np.minimum(n[at], n[i]) >= NUMERATOR * np.maximum(n[at], n[i]))
-                    fits[fits] = may_link(distance(maps[w][fits], own), n[at[fits]], n[i])
-                    for j in at[fits]:
-                        out.append((min(node[i], node[j]), max(node[i], node[j])))
-        found = np.unique(np.asarray(out, np.int64).reshape(-1, 2), axis=0)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
-
-    return all_rows.unionByName(outside).groupBy("sig", "salt").applyInArrow(hold, "a long, b long").distinct()
+                    fits[fits] = may_link(distance(maps[w][fits], mine), n[at[fits]], n[i])
+                    near.append(node[at[fits]])
+            if near and sum(map(len, near)):
+                own.append(node[i])
+                others.append(np.unique(np.concatenate(near)).tobytes())
+        return pa.table({"node": pa.array(own, pa.int64()), "near": pa.array(others, pa.binary())})
+
+    def unite(group: pa.Table) -> pa.Table:
+        """A node's partners in all its signatures, each once."""
+        node = group.column(0)[0].as_py()
+        near = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in group.column(1).to_pylist()]))
+        return pa.table({"a": pa.array(np.minimum(near, node)), "b": pa.array(np.maximum(near, node))})
+
+    found = all_rows.unionByName(outside).groupBy("sig", "salt").applyInArrow(hold, "node long, near binary")
+    return found.groupBy("node").applyInArrow(unite, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
