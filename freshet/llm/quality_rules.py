@@ -54,6 +54,9 @@ CUTOFF = chi_square_quantile(QUANTILE, DIMENSIONS // 2)
 CONSISTENCY = SUBSET / chi_square(chi_square_quantile(SUBSET, DIMENSIONS // 2), DIMENSIONS // 2 + 1)
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_CLASS), "")
 
@@ -89,7 +92,10 @@ def with_statistics(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     n, d = F.greatest("n_words", F.lit(1)).cast("double"), lambda c: F.col(c).cast("double")
     vector = (F.log(1 + d("word_chars") / n), F.log(1 + d("n_symbols") / n), d("n_dup_lines") / F.greatest("n_lines", F.lit(1)), d("n_repeat_words") / n)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counted.withColumns({"base_failed": failed} | {f"x{j}": F.round(v, 6) for j, v in enumerate(vector)})
+    named = {"base_failed": failed} | {f"x{j}": F.round(v, 6) for j, v in enumerate(vector)}
+    # the one-element generator is a barrier: what refers to these columns does not compute them anew
+    made = [F.col(c) for c in COUNTS] + [v.alias(k) for k, v in named.items()]
+    return counted.select("row", "lang", "source", F.inline(F.array(F.struct(*made))))
 
 
 def _factor(groups: DataFrame, covariance: dict[tuple[int, int], Column]) -> DataFrame:
@@ -161,4 +167,6 @@ def quality_filter(docs: DataFrame, **how) -> DataFrame:
     once for the estimate and once for the verdict."""
     stats = with_statistics(docs, **how)
     groups = fit_groups(durable(stats.drop("row"), "quality-statistics"))
-    return judged(stats, groups).where("kept").select("row.*")
+    # the generator keeps the optimizer from computing the statistics anew inside the filter
+    verdict = judged(stats, groups).select("row", F.explode(F.array("kept")).alias("kept"))
+    return verdict.where("kept").select("row.*")
