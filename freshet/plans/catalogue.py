@@ -1,15 +1,498 @@
-"""The registered queries of the task plane and the data plane, with their SQL."""
+"""The registered queries of the task plane and the data plane, with their SQL.
+
+The driver's tables stand in for the task plane: ``events`` is an execution log (user = key, event = sequence; signup
+deletes, error fails), ``orders`` and ``lineitem`` are upstream and downstream tasks with the order key as shared kwarg,
+``customer`` the known tasks, ``documents.text`` a code store, ``nation`` x order year a matrix.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from freshet.functions import columns as C
+from freshet.functions.predicate import compile_query
+from freshet.operators import propagation, reports, store, workloads
+from freshet.sources import matrix
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = (f, sql)
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _years(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("year")).distinct()
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks of the rule ``load``: nation x year."""
+    grid = matrix.cartesian([_table(spark, d, "nation").select(F.col("n_name").alias("nation")), _years(spark, d)])
+    kw = C.kwargs_json("nation", "year")
+    return grid.withColumn("rule", F.lit("load")).withColumn("kw", kw).withColumn("key", C.task_key("load", F.col("kw")))
+
+
+GRID = """SELECT n_name AS nation, y.year, 'load' AS rule, '{"nation":"' || n_name || '","year":' || y.year || '}' AS kw,
+ sha1('load:{"nation":"' || n_name || '","year":' || y.year || '}') AS key
+ FROM nation CROSS JOIN (SELECT DISTINCT year(o_orderdate)::BIGINT AS year FROM orders) y"""
+
+
+# --- expansion and selection ---
+
+
+@query(GRID)
+def matrix_cartesian(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d)
+
+
+@query("SELECT r_name AS region, p_brand AS brand, p_size::BIGINT AS size FROM region CROSS JOIN (SELECT DISTINCT p_brand, p_size FROM part)")
+def matrix_grouped_axis(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").cast("long").alias("size")).distinct()
+    return matrix.cartesian([_table(spark, d, "region").select(F.col("r_name").alias("region")), pairs])
+
+
+@query("SELECT v.model, v.level::BIGINT AS level, r_name FROM (VALUES ('era5', 1), ('era5', 1), ('cmip', 2), ('cmip', 0)) v(model, level) JOIN region ON r_regionkey = v.level")
+def matrix_explicit(spark: SparkSession, d: str) -> DataFrame:
+    rows = matrix.explicit(spark, [{"model": "era5", "level": 1}, {"model": "era5", "level": 1}, {"model": "cmip", "level": 2}, {"model": "cmip", "level": 0}])
+    return rows.join(_table(spark, d, "region"), F.col("level") == F.col("r_regionkey")).select("model", "level", "r_name")
+
+
+@query("SELECT '' AS rule_kwargs, sha1('collect:{}') AS key")
+def matrix_none(spark: SparkSession, d: str) -> DataFrame:
+    return matrix.none(spark).select(F.lit("").alias("rule_kwargs"), C.task_key("collect", F.lit("{}")).alias("key"))
+
+
+@query("SELECT k, count(*) AS n, sha1('process:{\"k\":' || k || '}') AS key FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE k IS NOT NULL GROUP BY k")
+def matrix_dynamic_json(spark: SparkSession, d: str) -> DataFrame:
+    found = matrix.discovered(_table(spark, d, "events"), "props", "k long")
+    return found.groupBy("k").agg(F.count("*").alias("n")).withColumn("key", C.task_key("process", C.kwargs_json("k")))
+
+
+@query(f"SELECT * FROM ({GRID}) WHERE year > 1996 AND nation IN ('NATION_1', 'NATION_7', 'NATION_20') OR year = 1995 AND nation < 'NATION_13'")
+def task_query_filter(spark: SparkSession, d: str) -> DataFrame:
+    grid = _grid(spark, d)
+    keep = compile_query("year > 1996 and nation in ['NATION_1', 'NATION_7', 'NATION_20'] or year == 1995 and nation < 'NATION_13'", {"nation", "year"}, "load")
+    return grid.where(keep)
+
+
+@query("""SELECT 'load' AS rule, n_name AS nation, y.year::VARCHAR AS year FROM nation CROSS JOIN (SELECT DISTINCT year(o_orderdate)::BIGINT AS year FROM orders) y WHERE year > 1996
+ UNION ALL SELECT 'merge' AS rule, n_name AS nation, '-' AS year FROM nation WHERE n_name >= 'NATION_2'""")
+def task_query_missing_name(spark: SparkSession, d: str) -> DataFrame:
+    """``merge`` has no ``year``: where it is evaluated the query is false, where ``or`` stops first it is not."""
+    text = "rule == 'merge' and nation >= 'NATION_2' or year > 1996"
+    load = _grid(spark, d).where(compile_query(text, {"nation", "year"}, "load")).select("rule", "nation", F.col("year").cast("string").alias("year"))
+    merge = _table(spark, d, "nation").select(F.col("n_name").alias("nation"))
+    kept = merge.where(compile_query(text, {"nation"}, "merge"))
+    lost = merge.where(compile_query("year > 1996 or rule == 'merge'", {"nation"}, "merge"))
+    shape = [F.lit("merge").alias("rule"), "nation", F.lit("-").alias("year")]
+    return load.unionByName(kept.select(*shape)).unionByName(lost.select(*shape))
+
+
+@query(f"SELECT key, 'out/' || nation || '/' || year || '.nc' AS path, 'results/' || substring(key, 1, 2) || '/' || substring(key, 3) AS shard FROM ({GRID})")
+def path_template(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d).select("key", matrix.template("out/{nation}/{year}.nc").alias("path"), F.concat(F.lit("results/"), C.sharded(F.col("key"))).alias("shard"))
+
+
+@query(f"SELECT substring(key, 1, 1) AS prefix, count(*) AS hits, (count(*) = 1) AS is_unique, min(key) AS first_key FROM ({GRID}) GROUP BY 1")
+def key_prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
+    found = _grid(spark, d).groupBy(F.substring("key", 1, 1).alias("prefix")).agg(F.count("*").alias("hits"), F.min("key").alias("first_key"))
+    return found.withColumn("is_unique", F.col("hits") == 1)
+
+
+# --- the state store ---
+
+LOG = """SELECT user_id AS key, event_id AS seq, CASE event_type WHEN 'signup' THEN 'delete' WHEN 'view' THEN 'state' ELSE 'exec' END AS kind,
+ CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS status, value AS wall_s, CASE WHEN value > 50 THEN value END AS cpu_s FROM events"""
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "delete").when(F.col("event_type") == "view", "state").otherwise("exec")
+    return _table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("status"), F.col("value").alias("wall_s"), F.when(F.col("value") > 50, F.col("value")).alias("cpu_s"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return store.fold(_log(spark, d), "key", "seq", "kind", ["status"], ["wall_s", "cpu_s"])
+
+
+RECORDS = f"""SELECT a.key, arg_max(a.seq, a.seq) AS seq, arg_max(a.status, a.seq) AS status FROM ({LOG}) a
+ LEFT JOIN (SELECT key, max(seq) AS gone FROM ({LOG}) WHERE kind = 'delete' GROUP BY key) g ON a.key = g.key
+ WHERE g.gone IS NULL OR a.seq > g.gone GROUP BY a.key"""
+
+
+@query(f"SELECT key, arg_max(seq, seq) AS seq, arg_max(status, seq) AS status, arg_max(wall_s, seq) AS wall_s FROM ({LOG}) GROUP BY key")
+def record_upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    return store.latest(_log(spark, d), "key", "seq", ["status", "wall_s"])
+
+
+@query(RECORDS)
+def record_with_tombstone(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("key", "seq", "status")
+
+
+@query(f"""WITH log AS ({LOG}), gone AS (SELECT key, max(seq) AS gone FROM log WHERE kind = 'delete' GROUP BY key),
+ alive AS (SELECT l.* FROM log l LEFT JOIN gone g ON l.key = g.key WHERE g.gone IS NULL OR l.seq > g.gone),
+ ran AS (SELECT key, max(seq) AS seq FROM alive WHERE kind = 'exec' GROUP BY key)
+ SELECT r.key, r.status, a.wall_s, a.cpu_s FROM (SELECT key, arg_max(status, seq) AS status FROM alive GROUP BY key) r
+ LEFT JOIN ran ON r.key = ran.key LEFT JOIN alive a ON a.key = ran.key AND a.seq = ran.seq""")
+def resources_last_exec(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("key", "status", "wall_s", "cpu_s")
+
+
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS code_id FROM documents")
+def code_intern(spark: SparkSession, d: str) -> DataFrame:
+    return store.interned(_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query("SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE source = 'src1')")
+def code_unchanged_membership(spark: SparkSession, d: str) -> DataFrame:
+    codes = _table(spark, d, "documents")
+    return store.unchanged_ids(codes.select("doc_id", "text"), "doc_id", "text", codes.where("source = 'src1'").select("text"))
+
+
+@query("SELECT l.doc_id, l.quality, l.toxic, d.lang, sha1(d.text) AS code FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def uses_manifest_join(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "labels").join(_table(spark, d, "documents").select("doc_id", "lang", F.sha1(F.col("text").cast("binary")).alias("code")), "doc_id").select("doc_id", "quality", "toxic", "lang", "code")
+
+
+@query("""SELECT coalesce(a.k, b.k) AS name, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change, a.v AS before, b.v AS after
+ FROM (SELECT p_type || '/' || p_brand AS k, count(*) AS v FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1) a
+ FULL JOIN (SELECT p_type || '/' || p_brand AS k, count(*) AS v FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1) b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
+def spec_diff_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions of a spec as name -> value: what was added, removed or changed."""
+    part = _table(spark, d, "part").select(F.concat_ws("/", "p_type", "p_brand").alias("name"), "p_partkey")
+    old = part.where("p_partkey % 3 <> 0").groupBy("name").agg(F.count("*").alias("before"))
+    new = part.where("p_partkey % 3 <> 1").groupBy("name").agg(F.count("*").alias("after"))
+    change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed")
+    return old.join(new, "name", "full").where(~F.col("before").eqNullSafe(F.col("after"))).select("name", change.alias("change"), "before", "after")
+
+
+@query(f"SELECT key, arg_max(status, value) AS status, max(value) AS ingested FROM (SELECT key, status, wall_s AS value FROM ({LOG}) WHERE kind = 'exec') GROUP BY key")
+def ingest_late_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results in scan order (here ``value``): the last that is ingested wins, whatever its clock says."""
+    results = _log(spark, d).where("kind = 'exec'").select("key", "status", F.col("wall_s").alias("ingested"))
+    return store.latest(results, "key", "ingested", ["status"])
+
+
+@query("SELECT DISTINCT run_seq, run_seq = max(run_seq) OVER () AS is_latest FROM (SELECT (event_id // 500)::BIGINT AS run_seq FROM events)")
+def latest_spec(spark: SparkSession, d: str) -> DataFrame:
+    runs = _table(spark, d, "events").select(F.floor(F.col("event_id") / 500).cast("long").alias("run_seq")).distinct()
+    return runs.join(F.broadcast(runs.agg(F.max("run_seq").alias("newest"))), F.lit(True)).select("run_seq", (F.col("run_seq") == F.col("newest")).alias("is_latest"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY
+ AND o_orderkey NOT IN (SELECT max(o_orderkey) FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY)""")
+def spec_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """Specs of more than seven days go, but for the one submitted last."""
+    orders = _table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    old = orders.join(F.broadcast(orders.agg(F.max("o_orderdate").alias("now"))), F.col("o_orderdate") < F.col("now") - F.expr("INTERVAL 7 DAY")).select("o_orderkey")
+    return old.join(F.broadcast(old.agg(F.max("o_orderkey").alias("o_orderkey"))), "o_orderkey", "left_anti")
+
+
+# --- planning: own reasons and propagation ---
+
+TASKS = f"""SELECT c_custkey AS id, c_mktsegment AS rule, r.status, c_nationkey % 4 = 1 AS code_changed, c_acctbal < 0 AS uses_changed
+ FROM customer LEFT JOIN ({RECORDS}) r ON c_custkey = r.key"""
+OWN = f"""SELECT id, rule, status, CASE WHEN status IS NULL THEN 'never run' ELSE nullif(concat_ws(' + ', CASE WHEN status <> 1 THEN 'last run failed' END,
+ CASE WHEN code_changed THEN 'run code changed' END, CASE WHEN uses_changed THEN 'uses changed' END), '') END AS reason FROM ({TASKS})"""
+
+
+def _own(spark: SparkSession, d: str) -> DataFrame:
+    tasks = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("rule"), (F.col("c_nationkey") % 4 == 1).alias("code_changed"), (F.col("c_acctbal") < 0).alias("uses_changed"))
+    known = tasks.join(_records(spark, d).select(F.col("key").alias("id"), "status"), "id", "left")
+    why = propagation.reasons((F.col("status") != 1, "last run failed"), (F.col("code_changed"), "run code changed"), (F.col("uses_changed"), "uses changed"))
+    return known.select("id", "rule", "status", F.when(F.col("status").isNull(), "never run").otherwise(why).alias("reason"))
+
+
+@query(f"SELECT id, rule, coalesce(status, 0)::BIGINT AS status, reason FROM ({OWN})")
+def own_rerun_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _own(spark, d).withColumn("status", F.coalesce("status", F.lit(0)).cast("long"))
+
+
+PARTITION = f"""count(*) AS tasks, count(*) FILTER (WHERE status = 1 AND reason IS NULL) AS up_to_date, count(*) FILTER (WHERE status = 1 AND reason IS NOT NULL) AS stale,
+ count(*) FILTER (WHERE status = 2) AS failed, count(*) FILTER (WHERE status IS NULL) AS pending, count(*) FILTER (WHERE reason IS NOT NULL) AS to_run FROM ({OWN})"""
+
+
+def _states(spark: SparkSession, d: str) -> DataFrame:
+    named = F.when(F.col("status").isNotNull(), C.status_name(F.col("status")))
+    return _own(spark, d).select("rule", named.alias("status"), F.col("reason").isNotNull().alias("to_run"))
+
+
+@query(f"SELECT rule, {PARTITION} GROUP BY rule")
+def status_partition(spark: SparkSession, d: str) -> DataFrame:
+    return reports.status_partition(_states(spark, d), "rule", "status", "to_run")
+
+
+@query(f"SELECT rule, {PARTITION} GROUP BY GROUPING SETS ((rule), ())")
+def status_totals(spark: SparkSession, d: str) -> DataFrame:
+    return reports.status_partition(_states(spark, d), "rule", "status", "to_run", totals=True)
+
+
+@query(f"SELECT rule, category, count(*) AS n FROM (SELECT rule, unnest(string_split(reason, ' + ')) AS category FROM ({OWN}) WHERE reason IS NOT NULL) GROUP BY rule, category")
+def reason_tally(spark: SparkSession, d: str) -> DataFrame:
+    return reports.reason_tally(_own(spark, d).where("reason is not null").withColumn("reasons", F.split("reason", r" \+ ")), "rule", "reasons")
+
+
+def _up(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000").select(F.col("o_orderkey").alias("orderkey"))
+
+
+def _down(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), "l_linenumber", "l_partkey", "l_shipdate")
+
+
+@query("SELECT l_orderkey AS orderkey, l_linenumber, l_partkey FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F' AND o_totalprice > 200000)")
+def rerun_elementwise(spark: SparkSession, d: str) -> DataFrame:
+    return propagation.elementwise(_down(spark, d), _up(spark, d), "orderkey").select("orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 400000) UNION ALL SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0)")
+def rerun_conservative(spark: SparkSession, d: str) -> DataFrame:
+    orders = _table(spark, d, "orders")
+    some = propagation.conservative(_table(spark, d, "customer").select("c_custkey"), orders.where("o_totalprice > 400000"))
+    none = propagation.conservative(_table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey")), orders.where("o_totalprice < 0"))
+    return some.unionByName(none)
+
+
+@query("""WITH seeds AS (SELECT c_custkey FROM customer WHERE c_acctbal < -500), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM seeds) OR o_orderpriority = '1-URGENT' AND o_totalprice > 300000)
+ SELECT 'customer' AS rule, c_custkey AS id, 1::BIGINT AS tasks FROM seeds UNION ALL SELECT 'orders', o_orderkey, 1 FROM o
+ UNION ALL SELECT 'lineitem', l_orderkey, count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) GROUP BY l_orderkey""")
+def rerun_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Seeds of two rules, propagated over two element-wise edges."""
+    customers = _table(spark, d, "customer").where("c_acctbal < -500").select("c_custkey")
+    orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderpriority").eqNullSafe("1-URGENT") & (F.col("o_totalprice") > 300000)).alias("own"))
+    hit = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("up")).distinct(), "o_custkey", "left").where(F.coalesce("up", F.lit(False)) | F.col("own")).select("o_orderkey")
+    lines = propagation.elementwise(_table(spark, d, "lineitem").select("l_orderkey"), hit, "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("tasks"))
+    one = F.lit(1).cast("long").alias("tasks")
+    return customers.select(F.lit("customer").alias("rule"), F.col("c_custkey").alias("id"), one).unionByName(hit.select(F.lit("orders").alias("rule"), F.col("o_orderkey").alias("id"), one)).unionByName(lines.select(F.lit("lineitem").alias("rule"), F.col("l_orderkey").alias("id"), "tasks"))
+
+
+@query("SELECT l_orderkey AS orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate > l_shipdate - INTERVAL 10 DAY")
+def durable_newer(spark: SparkSession, d: str) -> DataFrame:
+    up = _table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), "o_orderdate")
+    down = _down(spark, d).withColumn("seq", F.col("l_shipdate") - F.expr("INTERVAL 10 DAY"))
+    return propagation.durable_newer(down, up, "orderkey", "seq", "o_orderdate").select("orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT event_id FROM events WHERE event_id < (SELECT max(o_custkey) FROM orders)")
+def durable_newer_conservative(spark: SparkSession, d: str) -> DataFrame:
+    return propagation.durable_newer_than_any(_table(spark, d, "events").select("event_id"), _table(spark, d, "orders"), "event_id", "o_custkey")
+
+
+@query("""SELECT l_orderkey AS orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linestatus = 'F' AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')
+ AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 40)""")
+def cascade_settled(spark: SparkSession, d: str) -> DataFrame:
+    """Downstream of settled orders, but where another upstream (the part) is independently newer."""
+    down = _table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("orderkey"), "l_linenumber", "l_partkey")
+    settled = _table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("orderkey"))
+    newer = _table(spark, d, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
+    return propagation.elementwise(down, settled, "orderkey").join(newer, "l_partkey", "left_anti").select("orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT l_orderkey AS orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F' AND o_totalprice > 200000)")
+def upstream_failed_skip(spark: SparkSession, d: str) -> DataFrame:
+    return propagation.not_tainted(_down(spark, d), _up(spark, d), "orderkey").select("orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""SELECT o_orderkey, bool_and(l_partkey % 10 <> 0) AS complete FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def outputs_complete(spark: SparkSession, d: str) -> DataFrame:
+    """A task is complete if it has outputs and all exist (here: parts that 10 does not divide)."""
+    outputs = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_and(F.col("l_partkey") % 10 != 0).alias("complete"))
+    return _table(spark, d, "orders").select("o_orderkey").join(outputs, "o_orderkey")
+
+
+@query("""WITH needs AS (SELECT DISTINCT l_orderkey AS i, l_partkey % 7 AS x FROM lineitem), gives AS (SELECT o_orderkey AS i, o_custkey % 7 AS x FROM orders)
+ SELECT n.i, count(*) FILTER (WHERE g.i IS NULL) = 0 AS proven FROM needs n LEFT JOIN gives g ON n.i = g.i AND n.x = g.x GROUP BY n.i""")
+def elementwise_proof(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an element reads only what the upstream element with the same place gives."""
+    needs = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("i")).agg(F.collect_set(F.col("l_partkey") % 7).alias("needs"))
+    gives = _table(spark, d, "orders").groupBy(F.col("o_orderkey").alias("i")).agg(F.collect_set(F.col("o_custkey") % 7).alias("gives"))
+    missing = F.size(F.array_except("needs", F.coalesce("gives", F.array().cast("array<bigint>"))))
+    return needs.join(gives, "i", "left").select("i", (missing == 0).alias("proven"))
+
+
+@query("""WITH RECURSIVE edges(dep, rule) AS (VALUES ('load', 'clean'), ('load', 'index'), ('clean', 'merge'), ('index', 'merge'), ('merge', 'report'), ('region', 'report')),
+ walk(rule, depth) AS (SELECT DISTINCT dep, 0 FROM edges WHERE dep NOT IN (SELECT rule FROM edges) UNION ALL SELECT e.rule, w.depth + 1 FROM walk w JOIN edges e ON e.dep = w.rule)
+ SELECT rule, max(depth) AS depth FROM walk GROUP BY rule""")
+def rule_topology(spark: SparkSession, d: str) -> DataFrame:
+    """The depth of each rule, by Spark's recursive common table expression over the few rows of the rule graph."""
+    return spark.sql("""WITH RECURSIVE edges(dep, rule) AS (SELECT * FROM VALUES ('load', 'clean'), ('load', 'index'), ('clean', 'merge'), ('index', 'merge'), ('merge', 'report'), ('region', 'report')),
+ walk(rule, depth) AS (SELECT DISTINCT dep, 0 FROM edges WHERE dep NOT IN (SELECT rule FROM edges) UNION ALL SELECT e.rule, w.depth + 1 FROM walk w JOIN edges e ON e.dep = w.rule)
+ SELECT rule, max(depth) AS depth FROM walk GROUP BY rule""")
+
+
+# --- reports and lint ---
+
+FAILURE = """'Traceback (most recent call last):' || chr(10) || '  File "run.py", line 10, in main' || chr(10) || '  File "' || CASE WHEN user_id % 2 = 0 THEN 'load.py' ELSE 'clean.py' END || '", line ' || (user_id % 3) || ', in step' || chr(10) || CASE WHEN user_id % 5 = 0 THEN 'KeyError' ELSE 'ValueError' END || ': value ' || event_id"""
+
+
+@query("""SELECT CASE WHEN user_id % 5 = 0 THEN 'KeyError' ELSE 'ValueError' END AS type,
+ CASE WHEN user_id % 2 = 0 THEN 'load.py' ELSE 'clean.py' END || ':' || (user_id % 3) || ':step' AS deepest, count(*) AS n, arg_min(user_id, event_id) AS example, min(event_id) AS first_seen
+ FROM events WHERE event_type = 'error' GROUP BY 1, 2""")
+def failure_groups(spark: SparkSession, d: str) -> DataFrame:
+    errors = _table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id", F.expr(FAILURE.replace("chr(10)", "char(10)")).alias("exception"))
+    return reports.failure_groups(errors, "event_id", "exception", "user_id")
+
+
+@query("""SELECT DISTINCT 'lineitem' AS rule, 'part' AS missing, l_partkey AS path FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 5
+ UNION ALL SELECT DISTINCT 'lineitem', 'supplier', l_suppkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE 'supplier' NOT IN ('orders', 'supplier')""")
+def lint_missing_dependency(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs that another rule produces, though it is no declared dependency (declared: orders, supplier)."""
+    produced = _table(spark, d, "part").where("p_size < 5").select(F.lit("part").alias("missing"), F.col("p_partkey").alias("path")).unionByName(_table(spark, d, "supplier").select(F.lit("supplier").alias("missing"), F.col("s_suppkey").alias("path")))
+    lines = _table(spark, d, "lineitem")
+    consumed = lines.select(F.lit("part").alias("missing"), F.col("l_partkey").alias("path")).unionByName(lines.select(F.lit("supplier").alias("missing"), F.col("l_suppkey").alias("path"))).distinct()
+    return consumed.join(produced, ["missing", "path"], "left_semi").where(~F.col("missing").isin("orders", "supplier")).select(F.lit("lineitem").alias("rule"), "missing", "path")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def lint_external(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").select("o_orderkey").join(_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+
+
+@query(None)
+def lint_near_miss(spark: SparkSession, d: str) -> DataFrame:
+    names = _table(spark, d, "part").select(F.col("p_name").alias("path")).distinct()
+    return reports.near_misses(names, names)
+
+
+@query("""SELECT kind, rule, n, example, row_number() OVER (ORDER BY kind <> 'near_miss', kind, rule) AS place FROM (
+ SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'near_miss' WHEN o_orderstatus = 'F' THEN 'external' ELSE 'missing_dependency' END AS kind, o_orderpriority AS rule, count(*) AS n, arg_min(o_custkey, o_orderkey) AS example FROM orders GROUP BY 1, 2)""")
+def lint_order(spark: SparkSession, d: str) -> DataFrame:
+    """Findings counted with a first example; near misses come first."""
+    kind = F.when(F.col("o_orderpriority").startswith("1"), "near_miss").when(F.col("o_orderstatus") == "F", "external").otherwise("missing_dependency")
+    found = _table(spark, d, "orders").groupBy(kind.alias("kind"), F.col("o_orderpriority").alias("rule")).agg(F.count("*").alias("n"), F.min_by("o_custkey", "o_orderkey").alias("example"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.col("kind") != "near_miss", "kind", "rule")).cast("long"))
+
+
+@query("SELECT event_type AS state, count(*) AS n, count(DISTINCT user_id % 7) AS reasons, array_to_string(list_sort(list(DISTINCT user_id % 7)), ',') AS listed FROM events GROUP BY 1")
+def queue_states(spark: SparkSession, d: str) -> DataFrame:
+    listed = F.array_sort(F.collect_set(F.col("user_id") % 7))
+    return _table(spark, d, "events").groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("n"), F.size(listed).cast("long").alias("reasons"), F.array_join(listed.cast("array<string>"), ",").alias("listed"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most FROM events GROUP BY 1")
+def log_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(p)), 6).alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))], F.max("value").alias("most"))
+
+
+@query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - 1 AS array_index FROM part")
+def job_array_index(spark: SparkSession, d: str) -> DataFrame:
+    return store.array_index(_table(spark, d, "part"), "p_brand", ["p_retailprice", "p_partkey"]).select("p_brand", "p_partkey", "array_index")
+
+
+@query("""SELECT user_id, batch, event_type, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS batch FROM (
+ SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS new FROM events)) GROUP BY 1, 2, 3""")
+def rule_batches(spark: SparkSession, d: str) -> DataFrame:
+    return store.consecutive_batches(_table(spark, d, "events"), "event_type", "event_id", "user_id").groupBy("user_id", "batch", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:.1f} KiB', n / 1024.0) WHEN n < 1073741824 THEN format('{:.1f} MiB', n / 1048576.0) ELSE format('{:.1f} GiB', n / 1073741824.0) END AS size
+ FROM (SELECT o_orderkey, (o_orderkey % 5000) * (o_orderkey % 700) * (o_orderkey % 800) AS n FROM orders)""")
+def size_labels(spark: SparkSession, d: str) -> DataFrame:
+    n = (F.col("o_orderkey") % 5000) * (F.col("o_orderkey") % 700) * (F.col("o_orderkey") % 800)
+    return _table(spark, d, "orders").select("o_orderkey", C.human_bytes(n).alias("size"))
+
+
+# --- workloads ---
+
+
+@query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line NOT LIKE 'The and a%'")
+def comment_filter(spark: SparkSession, d: str) -> DataFrame:
+    lines = _table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return workloads.without_comments(lines, "line", "The and a")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY 1")
+def daily_mean(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n"))
+
+
+@query("""SELECT r_name AS site, n, printf('%.2f', mean_value) AS mean_value FROM (SELECT r_name, count(*) AS n, avg(v) AS mean_value FROM (
+ SELECT c_nationkey AS k, c_acctbal AS v FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) JOIN nation ON n_nationkey = k JOIN region ON r_regionkey = n_regionkey GROUP BY r_name)""")
+def fan_in_report(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs of several tasks concatenated, with a mean for each site."""
+    both = _table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").alias("v")).unionByName(_table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").alias("v")))
+    placed = both.join(_table(spark, d, "nation"), F.col("k") == F.col("n_nationkey")).join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return placed.groupBy(F.col("r_name").alias("site")).agg(F.count("*").alias("n"), F.format_string("%.2f", F.avg("v")).alias("mean_value"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity - low) / nullif(high - low, 0), 4) AS scaled FROM lineitem
+ JOIN (SELECT l_returnflag AS f, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem WHERE l_quantity > 10 GROUP BY 1) ON f = l_returnflag WHERE l_quantity > 10""")
+def normalise_above_threshold(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    return workloads.normalised_above(rows, "l_quantity", 10, ["l_returnflag"]).select("l_orderkey", "l_linenumber", "l_partkey", F.round("scaled", 4).alias("scaled"))
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity * v.factor), 2) AS calibrated, count(*) AS n FROM lineitem JOIN (VALUES ('A', 1.5), ('N', 0.5), ('R', 2.0)) v(flag, factor) ON flag = l_returnflag GROUP BY 1")
+def calibrate_lookup(spark: SparkSession, d: str) -> DataFrame:
+    factor = F.create_map(*[F.lit(x) for pair in (("A", 1.5), ("N", 0.5), ("R", 2.0)) for x in pair])
+    rows = _table(spark, d, "lineitem").select("l_returnflag", (F.col("l_quantity") * F.try_element_at(factor, "l_returnflag")).alias("v")).where("v is not null")
+    return rows.groupBy("l_returnflag").agg(F.round(F.sum("v"), 2).alias("calibrated"), F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN m IN (12, 1, 2) THEN 'DJF' WHEN m IN (3, 4, 5) THEN 'MAM' WHEN m IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END AS season, (y + CASE WHEN m = 12 THEN 1 ELSE 0 END)::BIGINT AS season_year,
+ round(avg(o_totalprice), 4) AS mean_price, count(*) AS n FROM (SELECT month(o_orderdate) AS m, year(o_orderdate) AS y, o_totalprice FROM orders) GROUP BY 1, 2""")
+def seasonal_mean_djf(spark: SparkSession, d: str) -> DataFrame:
+    return workloads.seasons(_table(spark, d, "orders").select("o_orderdate", "o_totalprice"), "o_orderdate").groupBy("season", "season_year").agg(F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority, round(avg(m), 4) AS mean_of_means, count(*) AS groups FROM (SELECT o_orderpriority, year(o_orderdate) AS y, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2) GROUP BY 1")
+def mean_of_means(spark: SparkSession, d: str) -> DataFrame:
+    means = _table(spark, d, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.avg("o_totalprice").alias("m"))
+    return means.groupBy("o_orderpriority").agg(F.round(F.avg("m"), 4).alias("mean_of_means"), F.count("*").alias("groups"))
+
+
+@query("SELECT a.n_name AS first, b.n_name AS second, r_name AS region FROM (VALUES (0, 1), (2, 3), (5, 21), (8, 9)) v(i, j) JOIN nation a ON a.n_nationkey = i JOIN nation b ON b.n_nationkey = j CROSS JOIN region")
+def pair_selection(spark: SparkSession, d: str) -> DataFrame:
+    """A sparse set of pairs, bound together, with every region."""
+    nation = _table(spark, d, "nation")
+    pairs = matrix.explicit(spark, [{"i": i, "j": j} for i, j in ((0, 1), (2, 3), (5, 21), (8, 9))])
+    named = pairs.join(nation.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("first")), "i").join(nation.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("second")), "j")
+    return matrix.cartesian([named.select("first", "second"), _table(spark, d, "region").select(F.col("r_name").alias("region"))])
+
+
+@query("""SELECT o_orderkey, round(o_totalprice - m, 4) AS anomaly FROM orders LEFT JOIN (SELECT o_orderpriority AS p, avg(o_totalprice) AS m FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1997 GROUP BY 1) ON p = o_orderpriority""")
+def anomaly_vs_reference(spark: SparkSession, d: str) -> DataFrame:
+    orders = _table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
+    return workloads.anomaly(orders, F.col("o_totalprice"), ["o_orderpriority"], F.year("o_orderdate").between(1996, 1997)).select("o_orderkey", F.round("anomaly", 4).alias("anomaly"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_extendedprice), 4) AS mean_price, round(stddev_pop(l_extendedprice), 4) AS std_price, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def mean_std(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.avg("l_extendedprice"), 4).alias("mean_price"), F.round(F.stddev_pop("l_extendedprice"), 4).alias("std_price"), F.count("*").alias("n"))
+
+
+@query("""SELECT id, round(100 * strength / total, 1) AS share, id = strongest AS is_strongest FROM (SELECT event_id AS id, value AS strength, user_id FROM events)
+ JOIN (SELECT user_id AS u, sum(value) AS total, arg_max(event_id, value) AS strongest FROM events GROUP BY 1) ON u = user_id""")
+def discovered_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Each discovered event's share of its group to one decimal, and which is the strongest."""
+    events = _table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("strength"), "user_id")
+    groups = events.groupBy("user_id").agg(F.sum("strength").alias("total"), F.max_by("id", "strength").alias("strongest"))
+    return events.join(groups, "user_id").select("id", F.round(100 * F.col("strength") / F.col("total"), 1).alias("share"), (F.col("id") == F.col("strongest")).alias("is_strongest"))
+
+
+@query("SELECT p_brand AS item, p // 32 AS at, sum(size)::BIGINT AS total FROM (SELECT p_brand, p_size AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS p FROM part) GROUP BY 1, 2")
+def pairwise_reduce(spark: SparkSession, d: str) -> DataFrame:
+    """Five chained stages of pairwise sums."""
+    placed = store.array_index(_table(spark, d, "part"), "p_brand", ["p_partkey"]).select(F.col("p_brand").alias("item"), F.col("array_index").alias("at"), F.col("p_size").cast("long").alias("total"))
+    return workloads.pairwise_sums(placed, "item", "at", "total", 5)
