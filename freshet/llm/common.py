@@ -96,6 +96,17 @@ def rows_of(batches: Iterator[pa.RecordBatch], at_most_bytes: int, text: str) ->
         yield batch.slice(start)
 
 
+#: Rows and bytes of an Arrow batch between the JVM and Python at most: texts are long, and each side holds a batch.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+
+
 def plain(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the given columns, under internal names: extra columns and clashing names do not matter."""
+    """Only the given columns, under internal names: extra columns and clashing names do not matter. What goes to Python
+    goes in short batches; the session's settings for these are lowered to the bounds above, if they are higher."""
+    conf = df.sparkSession.conf
+    for setting, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        name = f"spark.sql.execution.arrow.{setting}"
+        now = conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashes that a task holds before it sorts and sends them, and hashes that a range should get, about.
-HELD, RANGE = 3_000_000, 2_000_000
+HELD, RANGE = 3_000_000, 500_000
 
 
 def range_bits(expected: float) -> int:
