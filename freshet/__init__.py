@@ -1,0 +1,14 @@
+"""Incremental data pipelines on Spark: rules expanded over grids, stale tasks found by DataFrame plans, run as Spark jobs."""
+
+from freshet.functions.errors import Defer, FreshetError, LookupFailed, QueryError, SignatureError
+from freshet.plans.execute import Executor, LocalExecutor, SparkExecutor, run
+from freshet.plans.model import Pipeline, Rule, load_pipeline, rule
+from freshet.plans.planner import plan
+from freshet.sources.matrix import deferrable
+from freshet.sources.state import ParquetStore, StateStore
+from freshet.sources.tokens import FileToken, HadoopToken, StoreToken, TableToken, Token
+
+__all__ = [
+    "Defer", "Executor", "FileToken", "FreshetError", "HadoopToken", "LocalExecutor", "LookupFailed", "ParquetStore", "Pipeline", "QueryError", "Rule",
+    "SignatureError", "SparkExecutor", "StateStore", "StoreToken", "TableToken", "Token", "deferrable", "load_pipeline", "plan", "rule", "run",
+]

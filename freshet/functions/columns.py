@@ -43,5 +43,5 @@ def traceback_frames(text: Column) -> Column:
 
 def exception_type(text: Column) -> Column:
     """The name before the first colon of the last line."""
-    last = F.element_at(F.split(F.rtrim(text), "\n"), -1)
+    last = F.element_at(F.split(F.regexp_replace(text, r"\s+$", ""), "\n"), -1)
     return F.trim(F.element_at(F.split(last, ":"), 1))

@@ -38,7 +38,6 @@ def failure_groups(records: DataFrame, order: str, exception: str, label: str) -
     return found.select("type", F.when(F.col("place") != "", F.element_at(F.split("place", r"\|"), -1)).alias("deepest"), "n", "example", "first_seen")
 
 
-@F.udf("double")
 def similarity(a: str, b: str) -> float:
     """The ratio of matching blocks of ``b`` against ``a``."""
     return SequenceMatcher(None, a, b).ratio()
@@ -55,6 +54,6 @@ def near_misses(paths: DataFrame, known: DataFrame, least: float = 0.9) -> DataF
     letters = lambda c: F.split(c, "")
     missing = F.size(F.array_except(letters(F.col("path")), letters(F.col("other"))))  # distinct letters without a partner cost one each
     likely = blocked.where(2 * F.least("n", "m") >= F.lit(least) * (F.col("n") + F.col("m"))).where(2 * (F.col("n") - missing) >= F.lit(least) * (F.col("n") + F.col("m")))
-    rated = likely.withColumn("ratio", similarity("other", "path")).where(F.col("ratio") >= least)
+    rated = likely.withColumn("ratio", F.udf(similarity, "double")("other", "path")).where(F.col("ratio") >= least)
     best = Window.partitionBy("path").orderBy(F.desc("ratio"), F.desc("other"))
     return rated.withColumn("place", F.row_number().over(best)).where("place = 1").select("path", F.col("other").alias("suggestion"), F.round("ratio", 6).alias("ratio"))
