@@ -77,7 +77,8 @@ def anchors(block: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
-    return h[place[first]], place[first], starts[first], starts[last]
+    # anchors have small hashes, being the least of many: spread them again, so that ranges of hashes fill alike
+    return mixed(h[place[first]] + np.uint64(1)), place[first], starts[first], starts[last]
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
