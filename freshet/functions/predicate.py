@@ -36,8 +36,8 @@ def parse(text: str) -> ast.expr:
 
 
 class _Compiler:
-    def __init__(self, known: Iterable[str], rule: str):
-        self.known, self.rule = set(known), rule
+    def __init__(self, known: Iterable[str], rule: str, prefix: str):
+        self.known, self.rule, self.prefix = set(known), rule, prefix
 
     def truth(self, node: ast.expr) -> tuple[Column, Column]:
         """(value, raised) of an expression whose truth is asked for."""
@@ -90,7 +90,8 @@ class _Compiler:
             return a.eqNullSafe(b), ra | rb
         if isinstance(op, (ast.NotEq, ast.IsNot)):
             return ~a.eqNullSafe(b), ra | rb
-        return F.coalesce(_ORDER[type(op)](a, b), F.raise_error(F.lit("a query orders None"))), ra | rb
+        # where a name is missing there is nothing to order: raising is for None among real values
+        return F.when(ra | rb, F.lit(False)).otherwise(F.coalesce(_ORDER[type(op)](a, b), F.raise_error(F.lit("a query orders None")))), ra | rb
 
     def value(self, node: ast.expr) -> tuple[Column, Column]:
         no = F.lit(False)
@@ -100,7 +101,7 @@ class _Compiler:
             if node.id == "rule":
                 return F.lit(self.rule), no
             if node.id in self.known:
-                return F.col(f"`{node.id}`"), no
+                return F.col(f"`{self.prefix}{node.id}`"), no
             return F.lit(None), F.lit(True)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
             v, r = self.value(node.operand)
@@ -132,10 +133,10 @@ class _Compiler:
         raise QueryError(f"a query cannot have {ast.unparse(node)!r}")
 
 
-def compile_query(text: str, known: Iterable[str], rule: str) -> Column:
-    """The column that is true for the tasks of ``rule``, with kwargs columns ``known``, that the query selects. The rule's
-    name stands before a kwarg called ``rule``."""
-    value, raised = _Compiler(known, rule).truth(parse(text))
+def compile_query(text: str, known: Iterable[str], rule: str, prefix: str = "") -> Column:
+    """The column that is true for the tasks of ``rule``, with kwargs ``known`` in columns called ``prefix`` + name, that the
+    query selects. The rule's name stands before a kwarg called ``rule``."""
+    value, raised = _Compiler(known, rule, prefix).truth(parse(text))
     return value & ~raised
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from freshet.functions import code
 from freshet.functions.errors import Defer
-from freshet.functions.predicate import evaluate
 from freshet.plans.model import Pipeline, Rule, same_matrix, task_frame
 from freshet.sources.matrix import is_deferrable
 from freshet.sources.scratch import durable
@@ -63,13 +62,10 @@ def plan(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: str
             deferred.append(rule)
             continue
         try:
-            rows = rule.rows()
+            tasks = task_frame(spark, rule, topo, pipeline.check_outputs != "never", query)
         except Defer:
             deferred.append(rule)
             continue
-        if query:
-            rows = [r for r in rows if evaluate(query, r, rule.name)]
-        tasks = task_frame(spark, rule, topo, rows, pipeline.check_outputs != "never")
         known = tasks.join(records.drop("rule"), "key", "left")
         done[rule] = durable(_judged(known, rule, done, reruns, store, pipeline.check_outputs, force, ignore_code_changes), f"plan-{rule.name}")
         reruns[rule] = not done[rule].where("will_run").isEmpty()

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.errors import Defer, FreshetError, LookupFailed
-from freshet.functions.predicate import evaluate
 from freshet.operators import reports
 from freshet.plans.model import Pipeline, Rule, declared_names, task_frame
 from freshet.plans.planner import cascade, plan
@@ -48,12 +47,10 @@ def all_tasks(spark: SparkSession, pipeline: Pipeline, query: str | None = None)
     out = None
     for topo, rule in enumerate(pipeline.order):
         try:
-            rows = rule.rows()
+            frame = task_frame(spark, rule, topo, query=query)
         except Defer:
             log.warning("%s: matrix not ready, left out", rule.name)
             continue
-        rows = [r for r in rows if not query or evaluate(query, r, rule.name)]
-        frame = task_frame(spark, rule, topo, rows, False)
         out = frame if out is None else out.unionByName(frame)
     if out is None:
         raise FreshetError("no rule can be expanded")
