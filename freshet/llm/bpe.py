@@ -29,10 +29,11 @@ from freshet.llm.common import bounded_broadcast, plain, rows_of, text_column
 VOCABULARY_BOUND = 64_000_000
 #: Words of a chunk that are remembered, the longest chunk that is, and the longest word that is scanned.
 REMEMBERED, REMEMBERED_CHARS, SCANNED = 200_000, 48, 400
-NO_RANK = 1 << 60
+NO_RANK, ID_BITS, ID_MASK = 1 << 60, 24, (1 << 24) - 1
 
 #: How the vocabulary splits text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 SPACES = regex.compile(r"\p{White_Space}+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -60,17 +61,19 @@ class WordBPE:
         letters = byte_letters()
         self.inner = [vocab[x] for x in letters]
         self.last = [vocab[x + self.end] for x in letters]
-        self.merged: dict[tuple[int, int], tuple[int, int]] = {}
+        # (left, right) as one number, to the rank of their merge and its id as one number: the least has the least rank
+        self.merged: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merged.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.merged.setdefault(vocab[left] << ID_BITS | vocab[right], rank << ID_BITS | vocab[left + right])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.text_of = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in [*vocab.items(), *self.special.items()]:
             self.text_of[i] = token
-        self.known: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
+        # tuples of integers are not followed by the garbage collector
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -78,54 +81,56 @@ class WordBPE:
         parts[-1] = self.last[word[-1]]
         if len(parts) > SCANNED:
             return self.merge_long(parts)
-        find, none = self.merged.get, (NO_RANK, -1)
-        ranks = [find(pair, none)[0] for pair in zip(parts, parts[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == NO_RANK:
-                break
+        find = self.merged.get
+        ranks = [find(left << ID_BITS | right, NO_RANK) for left, right in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != NO_RANK:
             at = ranks.index(least)
-            parts[at] = find((parts[at], parts[at + 1]))[1]
+            parts[at] = new = least & ID_MASK
             del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = find((parts[at - 1], parts[at]), none)[0]
+                ranks[at - 1] = find(parts[at - 1] << ID_BITS | new, NO_RANK)
             if at < len(ranks):
-                ranks[at] = find((parts[at], parts[at + 1]), none)[0]
+                ranks[at] = find(new << ID_BITS | parts[at + 1], NO_RANK)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
         """The same for a long word: the pairs wait in a heap, and boundaries are links."""
         find, n = self.merged.get, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(found[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (found := find((parts[i], parts[i + 1])))]
+        heap = [(found, i, parts[i], parts[i + 1]) for i in range(n - 1) if (found := find(parts[i] << ID_BITS | parts[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            merged, i, left, right = heapq.heappop(heap)
             j = after[i] if parts[i] == left else n
             if j >= n or parts[j] != right:
                 continue
-            parts[i], parts[j] = find((left, right))[1], -1
+            parts[i], parts[j] = merged & ID_MASK, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (found := find((parts[a], parts[b]))):
-                    heapq.heappush(heap, (found[0], a, parts[a], parts[b]))
+                if a >= 0 and b < n and (found := find(parts[a] << ID_BITS | parts[b])):
+                    heapq.heappush(heap, (found, a, parts[a], parts[b]))
         return [x for x in parts if x >= 0]
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         if (ids := self.words.get(word)) is None:
-            ids = self.merge(word.encode("utf-8"))
+            ids = tuple(self.merge(word.encode("utf-8")))
             if len(word) <= REMEMBERED_CHARS:
                 if len(self.words) >= REMEMBERED:
                     self.words.clear()
                 self.words[word] = ids
         return ids
 
-    def chunk(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> tuple[int, ...]:
         """The ids of a text without white space and special tokens."""
-        lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        ids = [i for word in WORDS.findall(lowered) for i in self.word(word)]
+        if chunk.isascii():
+            lowered = chunk.lower()
+            words = (lowered,) if lowered.isalpha() else ASCII_WORDS.findall(lowered)
+        else:
+            lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            words = (lowered,) if lowered.isalpha() else WORDS.findall(lowered)
+        ids = self.word(words[0]) if len(words) == 1 else tuple(i for word in words for i in self.word(word))
         if len(chunk) <= REMEMBERED_CHARS:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
