@@ -1,0 +1,121 @@
+"""The pipeline: each stage on its own input against a plain version, the columns it returns, and the query registry."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+import corpus_pipeline
+from freshet.llm import queries
+from tests.llm.test_operators import counts, joined, kept_lines, prose, sets
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng, rows = random.Random(12), []
+    for i in range(120):
+        text = prose(rng, rng.randrange(60, 160)) + "\nshared menu line"
+        rows.append((i, text, "en", f"s{i % 3}", len(text)))
+    for i in range(20):  # copies and near copies
+        text = rows[i][1].replace(" ", "  ", 1) if i % 2 else rows[i][1]
+        rows.append((200 + i, text, "en", "s0", len(text)))
+    rows += [(300, None, None, None, None), (301, "", "en", "s1", 0), (302, "few words", "en", None, 9), (303, "a b c " * 40, "en", "s1", 240), (304, " ".join(f"{w}***" for w in rows[0][1].split()), "en", "s2", 1), rows[5]]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def passed(spark, docs, tmp_path_factory):
+    """The input of each stage, and the last stage's result."""
+    out, folder = [docs], tmp_path_factory.mktemp("stages")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, out[-1], "").write.parquet(str(folder / str(i)))
+        out.append(spark.read.parquet(str(folder / str(i))))
+    return out
+
+
+def rows(frame):
+    return sorted(map(tuple, frame.collect()), key=repr)
+
+
+def test_stages(passed):
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "mixing", "BPE"]
+    assert all(f.columns == passed[0].columns for f in passed[:-1])
+    assert passed[-1].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_quality_keeps_clean_documents(passed):
+    before, after = rows(passed[0]), rows(passed[1])
+    clean = [r for r in before if r[1] and (c := counts(r[1]))[0] >= 50 and c[2] == 0 and 100 * c[4] <= 50 * c[0]]
+    assert after == sorted(clean, key=repr) and len(before) - len(after) == 5
+
+
+def test_lines_are_dropped(passed):
+    want = kept_lines([(r[0], r[1], r[3]) for r in rows(passed[1])], 0.1, 5)
+    assert all("shared menu line" not in t for t in want.values())
+    assert rows(passed[2]) == sorted(((i, want[i], lang, s, len(want[i])) for i, _, lang, s, _ in rows(passed[1])), key=repr)
+
+
+def test_one_of_each_group_stays(passed):
+    before = list(dict.fromkeys(rows(passed[2])))
+    label = joined([r[0] for r in before], sets([r[1] for r in before]))
+    assert rows(passed[3]) == sorted((r for r in before if label[r[0]] == r[0]), key=repr)
+    assert len(rows(passed[3])) == 120
+
+
+def test_mixture_takes_every_document(passed):
+    before, after = passed[3].toPandas(), passed[4].toPandas()
+    assert set(before.doc_id) == set(after.doc_id)
+    n = after.groupby("doc_id").size()
+    assert n.max() <= 2 and set(map(tuple, after.drop_duplicates().values)) == set(map(tuple, before.values))
+    before["words"], after["words"] = before.text.str.split().str.len(), after.text.str.split().str.len()
+    repeats = after.groupby("source").words.sum() / before.groupby("source").words.sum()
+    assert (repeats >= 1).all() and (repeats <= 1.25 + 0.1).all() and np.isclose(repeats.min(), 1)
+
+
+def test_tokens(passed):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    import hashlib
+
+    library = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    want = []
+    for i, text, *_ in rows(passed[4]):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert rows(passed[5]) == sorted(want, key=repr)
+
+
+def test_empty_tables(spark, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
+def test_run_and_queries(spark, docs, passed, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "http://a.net/x", ""), (1, None, None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(50 * i, [0.5, float(i)], 1) for i in range(7)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    ran = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows(ran) == rows(passed[-1])
+    found = __spark_entry__.queries()
+    assert set(queries.queries()) <= set(found) and "pipeline" in found and "pipeline" not in __spark_entry__.oracle_sql()
+    n, words = docs.count(), {}
+    for name in queries.queries():
+        frame = found[name](spark, str(tmp_path))
+        words[name] = frame.count()
+        assert len(set(frame.columns)) == len(frame.columns)
+    assert words["op1_url_filter"] == 2 and words["op7_top_k"] == 35
+    assert {k for k, v in words.items() if v == n} >= {"op2_line_dedup", "op3_bpe", "op4_substring_dedup", "op5_secrets", "op6_quality_rules", "op9_jaccard_join"}
+
+
+def test_line_dedup_sql(spark, docs, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    once = docs.dropDuplicates(["doc_id"]).where(F.col("doc_id") != 300)
+    once.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.sql(queries.OP2_SQL)
+    got = queries.op2_line_dedup(spark, str(tmp_path))
+    assert rows(got.select(*sql.columns)) == sorted(sql.fetchall(), key=repr)
