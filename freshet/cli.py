@@ -13,16 +13,17 @@ from pyspark.sql import SparkSession
 from freshet.functions.errors import FreshetError
 from freshet.plans import execute, report
 from freshet.plans.model import load_pipeline
+from freshet.sources.files import log_to, task_log
 from freshet.sources.state import ParquetStore
 from freshet.streaming.ingest import ingest
 
 VERSION = "0.1.0"
 
 
-def executor(name: str) -> execute.Executor:
+def executor(name: str, logs: str) -> execute.Executor:
     """local, spark, or a dotted path to a class of the user's."""
     if name in ("local", "spark"):
-        return execute.LocalExecutor() if name == "local" else execute.SparkExecutor()
+        return execute.LocalExecutor(logs) if name == "local" else execute.SparkExecutor(logs=logs)
     module, _, cls = name.rpartition(".")
     if not module:
         raise FreshetError(f"no executor is called {name}")
@@ -54,6 +55,7 @@ def parser() -> argparse.ArgumentParser:
     add("rule-dag", "json", "matrix")
     add("rule-info", "name", "json")
     add("task-info", "key", "query", "json")
+    add("task-log", "key", "query")
     add("why", "key", "query", "json")
     add("ingest")
     add("version")
@@ -79,6 +81,7 @@ def command(args, spark: SparkSession) -> int:
     pipeline = load_pipeline(args.pipeline)
     home = Path(args.pipeline).resolve().parent / ".freshet"
     store = pipeline.store or ParquetStore(home / "state")
+    log_to(home / "logs")
     ingest(spark, home / "results", store)
     name = args.command
 
@@ -93,9 +96,9 @@ def command(args, spark: SparkSession) -> int:
             task = report.find(spark, pipeline, args.key, args.query)
             kw = json.loads(task.kw)
             query = " and ".join([f"rule == {task.rule!r}", *(f"{k} == {v!r}" for k, v in kw.items())])
-            done = execute.run(spark, pipeline, store, query=query, force=True)
+            done = execute.run(spark, pipeline, store, executor("local", str(home / "tasks")), query=query, force=True)
         else:
-            done = execute.run(spark, pipeline, store, executor(args.executor), args.query, args.force, args.ignore_code_changes, args.dry_run)
+            done = execute.run(spark, pipeline, store, executor(args.executor, str(home / "tasks")), args.query, args.force, args.ignore_code_changes, args.dry_run)
         show(done)
         return int(done["failed"] > 0)
     if name == "set-state":
@@ -114,6 +117,9 @@ def command(args, spark: SparkSession) -> int:
         show(report.rule_info(pipeline, args.name))
     elif name == "task-info":
         show(report.task_info(spark, pipeline, store, args.key, args.query))
+    elif name == "task-log":
+        path = task_log(home / "tasks", report.find(spark, pipeline, args.key, args.query).key)
+        print(path.read_text() if path.exists() else "the task has no log", end="")
     elif name == "why":
         show(rows(report.why(spark, pipeline, store, args.query, args.key)))
     return 0

@@ -413,6 +413,34 @@ def size_labels(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "orders").select("o_orderkey", C.human_bytes(n).alias("size"))
 
 
+@query("SELECT user_id, count(*) AS jobs, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS active FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type IN ('click', 'view')) > 60")
+def active_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded jobs that the queue still has."""
+    jobs = _table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("jobs"), F.count_if(F.col("event_type").isin("click", "view")).alias("active"))
+    return jobs.where("active > 60")
+
+
+@query(f"SELECT rule, count(DISTINCT code_changed) AS code_versions, bool_or(uses_changed) AS any_uses_changed, bool_and(status IS NULL) AS all_pending FROM ({TASKS}) GROUP BY rule")
+def code_versions(spark: SparkSession, d: str) -> DataFrame:
+    own = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("rule"), (F.col("c_nationkey") % 4 == 1).alias("code_changed"), (F.col("c_acctbal") < 0).alias("uses_changed"))
+    known = own.join(_records(spark, d).select(F.col("key").alias("id"), "status"), "id", "left")
+    return known.groupBy("rule").agg(F.count_distinct("code_changed").alias("code_versions"), F.bool_or("uses_changed").alias("any_uses_changed"), F.bool_and(F.col("status").isNull()).alias("all_pending"))
+
+
+@query("SELECT event_id, CASE WHEN value > 50 THEN '{\"wall_s\":' || event_id % 97 || ',\"rss_method\":\"' || event_type || '\"}' ELSE '{\"rss_method\":\"' || event_type || '\"}' END AS value FROM events")
+def resource_json(spark: SparkSession, d: str) -> DataFrame:
+    """Resource fields as JSON; unknown ones are left out."""
+    rows = _table(spark, d, "events").select("event_id", F.when(F.col("value") > 50, F.col("event_id") % 97).alias("wall_s"), F.col("event_type").alias("rss_method"))
+    return rows.select("event_id", F.to_json(F.struct("wall_s", "rss_method")).alias("value"))
+
+
+@query(f"SELECT place, id, rule FROM (SELECT row_number() OVER (ORDER BY rule, id) AS place, id, rule FROM ({OWN}) WHERE reason IS NOT NULL) WHERE place <= 50")
+def runnable_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty runnable tasks by rule, then place in the matrix (the progress report's i of n)."""
+    first = _own(spark, d).where("reason is not null").orderBy("rule", "id").limit(50)
+    return first.select(F.row_number().over(Window.orderBy("rule", "id")).cast("long").alias("place"), "id", "rule")
+
+
 # --- workloads ---
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import resource
 import time
@@ -19,8 +20,10 @@ from freshet.functions.code import with_uses
 from freshet.plans.model import Pipeline, Rule, same_matrix
 from freshet.plans.planner import plan
 from freshet.sources import tokens
+from freshet.sources.files import to_task_log
 from freshet.sources.state import FAILED, SUCCESS, StateStore, track
 
+log = logging.getLogger("freshet")
 RESULT = "key string, kw_id string, status int, ts string, exception string, wall_s double, cpu_s double, max_rss_bytes long, rss_method string"
 
 
@@ -61,13 +64,17 @@ class Executor(ABC):
 
 
 class LocalExecutor(Executor):
-    """One task after the other in the driver's process."""
+    """One task after the other in the driver's process; what a task prints goes to a log of its own, if ``logs`` is a folder."""
+
+    def __init__(self, logs: str | None = None):
+        self.logs = logs
 
     def run_rule(self, spark: SparkSession, rule: Rule, tasks: DataFrame) -> DataFrame:
         fn = with_uses(rule.fn, rule.uses)
         results = []
         for t in tasks.orderBy("ord").toLocalIterator():
-            r = run_task(fn, rule.inputs, rule.outputs, json.loads(t.kw))
+            with to_task_log(self.logs, t.key):
+                r = run_task(fn, rule.inputs, rule.outputs, json.loads(t.kw))
             results.append((t.key, t.kw_id, r["status"], r["ts"], r["exception"], r["wall_s"], r["cpu_s"], r["max_rss_bytes"], r["rss_method"]))
         return spark.createDataFrame(results, RESULT)
 
@@ -76,16 +83,17 @@ class SparkExecutor(Executor):
     """One Spark job for each rule; the tasks are spread over ``width`` partitions. A task may be run again if its executor is
     lost, so rule functions should write by renaming or overwrite their outputs."""
 
-    def __init__(self, width: int | None = None):
-        self.width = width
+    def __init__(self, width: int | None = None, logs: str | None = None):
+        self.width, self.logs = width, logs
 
     def run_rule(self, spark: SparkSession, rule: Rule, tasks: DataFrame) -> DataFrame:
-        fn, inputs, outputs = with_uses(rule.fn, rule.uses), rule.inputs, rule.outputs
+        fn, inputs, outputs, logs = with_uses(rule.fn, rule.uses), rule.inputs, rule.outputs, self.logs
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    result = run_task(fn, inputs, outputs, json.loads(row["kw"]))
+                    with to_task_log(logs, row["key"]):
+                        result = run_task(fn, inputs, outputs, json.loads(row["kw"]))
                     yield pa.RecordBatch.from_pylist([{"key": row["key"], "kw_id": row["kw_id"]} | result], pa.schema([("key", pa.string()), ("kw_id", pa.string()), ("status", pa.int32()), ("ts", pa.string()), ("exception", pa.string()), ("wall_s", pa.float64()), ("cpu_s", pa.float64()), ("max_rss_bytes", pa.int64()), ("rss_method", pa.string())]))
 
         width = self.width or spark.sparkContext.defaultParallelism
@@ -135,6 +143,7 @@ def run(spark: SparkSession, pipeline: Pipeline, store: StateStore, executor: Ex
             states = store.records(spark).where((F.col("run_seq") == seq) & (F.col("rule") == rule.name)).select("key", "status").join(own.select("key", "kw_id"), "key")
             bad = states.where(F.col("status") == FAILED).select("kw_id")
             failed = bad.count()
+            log.info("%s: %d tasks ran, %d failed", rule.name, here, failed, extra={"bound": {"event": "rule", "rule": rule.name, "n": here}})
             total["run"] += here
             total["failed"] += failed
             if failed:

@@ -8,6 +8,8 @@ rows are written once to the scratch folder, so the plan of the next rule does n
 
 from __future__ import annotations
 
+import logging
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,7 @@ from freshet.sources.matrix import is_deferrable
 from freshet.sources.scratch import durable
 from freshet.sources.state import FAILED, SUCCESS, StateStore
 
+log = logging.getLogger("freshet")
 REASON = "array<struct<category:string,message:string>>"
 
 
@@ -53,6 +56,7 @@ def _among(column: str, passed: tuple[list, bool]) -> Column:
 
 
 def plan(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: str | None = None, force: bool = False, ignore_code_changes: bool = False) -> Plan:
+    began = time.perf_counter()
     records = durable(store.records(spark), "records")
     deferred: list[Rule] = []
     done: dict[Rule, DataFrame] = {}
@@ -72,6 +76,7 @@ def plan(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: str
     tasks = None
     for frame in done.values():
         tasks = frame if tasks is None else tasks.unionByName(frame)
+    log.debug("planned %d rules, %d deferred", len(done), len(deferred), extra={"bound": {"event": "plan", "n": len(done), "seconds": round(time.perf_counter() - began, 6)}})
     return Plan(tasks, deferred, done)
 
 

@@ -8,6 +8,7 @@ from freshet import Defer, FileToken, LookupFailed, ParquetStore, Pipeline, Sign
 from freshet.cli import main
 from freshet.functions import code
 from freshet.plans import report
+from freshet.sources import files
 from freshet.plans.model import Rule, kwargs_id, task_key
 from freshet.sources.matrix import rows_of
 from freshet.streaming.ingest import ingest, ingest_stream, write_result, write_spec
@@ -222,7 +223,7 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "p.py").write_text(
         "from freshet import Pipeline, rule\n"
         f"@rule(outputs={{'x': {str(tmp_path)!r} + '/o/{{n}}'}}, matrix={{'n': [1, 2]}})\n"
-        "def gen(outputs, n):\n    if n == 2:\n        raise KeyError(n)\n    open(outputs['x'], 'w').write('')\n"
+        "def gen(outputs, n):\n    if n == 2:\n        raise KeyError(n)\n    print('task', n)\n    open(outputs['x'], 'w').write('')\n"
         "pipeline = Pipeline([gen])\n"
     )
     p = str(tmp_path / "p.py")
@@ -232,6 +233,22 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["info", p, "--json", "--failures"], spark) == 0
     info = json.loads(capsys.readouterr().out)
     assert info["totals"]["failed"] == 1 and info["failures"][0]["type"] == "KeyError"
+    assert main(["task-log", p, "-Q", "n == 1"], spark) == 0 and capsys.readouterr().out == "task 1\n"
+    events = {r.event: r for r in files.log_events(spark, tmp_path / ".freshet" / "logs").collect()}
+    assert events["rule"].n == 2 and events["plan"].seconds > 0
     for args in (["why", p, "--json"], ["ls-tasks", p, "-Q", "n == 1"], ["lint", p], ["rule-dag", p, "--matrix"], ["rule-info", p, "gen"], ["task-info", p, "-Q", "n == 1"], ["set-state", p, "-Q", "n == 2", "--success"]):
         assert main(args, spark) == 0
     assert main(["run", p], spark) == 0 and main(["run", str(tmp_path / "none.py")], spark) == 2
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("# made by hand\n# twice\ntime,value\n1,2.5\n2,x\n")
+    assert files.read_lines(spark, str(tmp_path / "a.csv")).count() == 3
+    assert [tuple(r) for r in files.read_table(spark, str(tmp_path / "a.csv"), "time int, value double").collect()] == [(1, 2.5), (2, None)]
+    (tmp_path / "j.json").write_text('{"id": "e1", "strength": 0.5}\nnonsense\n')
+    assert files.fan_in(spark, [str(tmp_path / "j.json")], "id string, strength double").where("id is not null").count() == 1
+    table = str(tmp_path / "region")
+    for region, values in ((0, [1, 2]), (1, [3]), (0, [9])):
+        files.write_region(spark.createDataFrame([(region, v) for v in values], "region int, v int"), table, ["region"])
+    assert sorted(map(tuple, spark.read.parquet(table).select("region", "v").collect())) == [(0, 9), (1, 3)]
+    assert [r.value for r in files.as_json(spark.sql("SELECT 1 AS a, CAST(NULL AS STRING) AS b")).collect()] == ['{"a":1}']
