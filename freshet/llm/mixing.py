@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from freshet.llm.common import SPACE_CLASS, durable
+from freshet.llm.common import SPACE_CLASS, durable, small
 
 #: Parts into which the exponent's interval is cut in each round, and rounds.
 SECTIONS, ROUNDS = 32, 5
 #: Documents of a block, about, and blocks of a source at most.
 BLOCK_DOCS, MAX_BLOCKS = 256, 65_536
+#: Sources whose table is broadcast at most (about 40 bytes each); beyond, it is joined with so many salts.
+BROADCAST_SOURCES, SALTS = 300_000, 64
 
 
 def word_count(text: Column) -> Column:
@@ -65,6 +67,15 @@ def exponent(shares: DataFrame, target_entropy: float, max_repeats: float, budge
     return 1.0 if r1 >= max_repeats else chosen
 
 
+def _with_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each row with its source's number of blocks; a hot source is not gathered in either way."""
+    few = small(blocks, BROADCAST_SOURCES)
+    if few is not blocks:
+        return rows.join(few, "source")
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("k", F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"]).drop("salt")
+
+
 def mix(docs: DataFrame, tokens: Column, key: list[str], target_entropy: float = 0.95, max_repeats: float = 4.0, budget: float | None = 1.0, seed: int = 1, source_col: str = "source") -> DataFrame:
     """The mixture: ``row`` (the input's columns), ``source``, ``tokens``, ``epoch`` from 0, ``block``, ``position`` (the
     copy's first token in its source's sequence). ``key`` names the columns that are hashed for the order."""
@@ -86,7 +97,7 @@ def mix(docs: DataFrame, tokens: Column, key: list[str], target_entropy: float =
     blocks = F.least(F.ceil(F.col("docs") / BLOCK_DOCS), F.lit(MAX_BLOCKS)).cast("long")
     plan = durable(shares.select("source", "total", wanted.alias("wanted"), blocks.alias("blocks")), "mix-plan")
 
-    blocked = rows.join(plan.select("source", "blocks"), "source").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks"))).drop("blocks")
+    blocked = _with_blocks(rows, plan.select("source", "blocks")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks"))).drop("blocks")
     filled = blocked.groupBy("source", "block").agg(F.sum("tokens").alias("filled")).join(plan, "source")
     epochs = filled.select("source", "block", "filled", "total", "wanted", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("wanted") / F.col("total"))).cast("int") - 1)).alias("epoch"))
     order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "block", "epoch"), "block").rowsBetween(Window.unboundedPreceding, -1)

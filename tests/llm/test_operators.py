@@ -290,7 +290,7 @@ def test_top_k_in_blocks(spark, monkeypatch):
 # --- 8 mixing ---
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     rng = random.Random(9)
     sizes = {"big": 300, "mid": 60, "small": 20, None: 6}
     rows = [(i, s, rng.randrange(1, 40)) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
@@ -318,6 +318,9 @@ def test_mixing(spark):
         if budget is None:
             assert set(got.doc_id) == {r[0] for r in rows}
     assert mixing.mix(docs.limit(0), F.col("tokens"), ["doc_id"]).count() == 0
+    same = sorted(map(tuple, mixing.mix(docs, F.col("tokens"), ["doc_id"]).select("row.doc_id", "epoch", "position").collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted(map(tuple, mixing.mix(docs, F.col("tokens"), ["doc_id"]).select("row.doc_id", "epoch", "position").collect())) == same
     one = mixing.mix(docs.where("source = 'mid'"), F.col("tokens"), ["doc_id"]).count()
     assert one == 60
     counted = frame(spark, [None, "", " a  b\n", "x"]).select(mixing.word_count(F.col("text"))).collect()
