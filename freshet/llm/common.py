@@ -70,11 +70,6 @@ def input_mb(df: DataFrame) -> float:
         return 0.0
 
 
-def keyed_partitions(spark: SparkSession, df: DataFrame, mb_each: float) -> int:
-    """A number of shuffle partitions that follows the input, so that a partition stays bounded."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(np.ceil(input_mb(df) / mb_each)))
-
-
 def text_column(batch: pa.RecordBatch, name: str) -> list[str]:
     """The texts of an Arrow column; a null is an empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

@@ -169,7 +169,7 @@ def frequent_tokens(rows: DataFrame, bits: int, ranges: int) -> Often:
     while left > TABLE_TOKENS:
         left -= levels.get(least, 0)
         least += 1
-    cut = np.asarray([r.h for r in found.where(F.floor(F.log2("n")) >= least).select("h").collect()], np.int64).astype(np.uint64)
+    cut = np.asarray(found.where(F.floor(F.log2("n")) >= least).select("h").toArrow().column("h"), np.int64).astype(np.uint64)
     return Often(cut, bits)
 
 

@@ -45,7 +45,7 @@ def counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
     return values[first], np.diff(np.append(first, len(values))) if weights is None else np.add.reduceat(weights, first)
 
 
-def send_counts(chunks: Iterator[np.ndarray], bits: int, ranges: int, least_here: int = 1) -> Iterator[pa.RecordBatch]:
+def send_counts(chunks: Iterator[np.ndarray], bits: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """Blobs for each range of hashes cut to ``bits``: ``part``, ``values``, ``more`` (places and counts over 1)."""
     held: list[np.ndarray] = []
     total = 0
@@ -119,10 +119,9 @@ def frequent_bits(sent: DataFrame, ranges: int, bits: int, least: int, table_bit
 def bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A table of 2^bits bits with those set that ``hashes`` has at its top bits: at most 2^(bits-6) rows come to the driver."""
     words = hashes.select(F.expr(f"shiftrightunsigned({column}, {64 - bits + 6})").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).collect()
+    set_ = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
-    for r in rows:
-        table[r.word] = r.bit
+    table[np.asarray(set_.column("word"))] = np.asarray(set_.column("bit"))
     return table
 
 

@@ -43,10 +43,10 @@ def word_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[b] * power[:n], out=total[1:])
     # the sum over a word, raised to the power that it has at the block's end: the same wherever the word stands
-    return starts, mixed((total[ends] - total[starts]) * power[n - starts] * _end_power(n) + (ends - starts).astype(np.uint64))
+    return starts, mixed((total[ends] - total[starts]) * power[n - starts] * end_power(n) + (ends - starts).astype(np.uint64))
 
 
-def _end_power(n: int) -> np.uint64:
+def end_power(n: int) -> np.uint64:
     """The inverse of BASE^n, so that hashes do not depend on the block's length."""
     return np.uint64(pow(pow(BASE, n, 1 << 64), -1, 1 << 64))
 

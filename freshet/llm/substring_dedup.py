@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from freshet.llm import packed
 from freshet.llm.common import bounded_broadcast, durable, input_mb, plain, release_shuffles, rows_of
-from freshet.llm.shingles import BASE, _end_power, mixed, powers
+from freshet.llm.shingles import end_power, mixed, powers
 
 LENGTH, GRAM = 100, 24
 #: Bytes that are looked at together; contexts that a task holds before it sends them; anchors a MB of input, about.
@@ -59,7 +59,7 @@ def anchors(block: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[block] * power[:n], out=total[1:])
     grams = n - GRAM + 1
-    h = mixed((total[GRAM:] - total[:grams]) * power[n : n - grams : -1] * _end_power(n))
+    h = mixed((total[GRAM:] - total[:grams]) * power[n : n - grams : -1] * end_power(n))
     keys = (h & ~np.uint64(0xFFFFFF)) | np.arange(grams, dtype=np.uint64)
     width, have = LENGTH - GRAM + 1, 1
     least = keys
