@@ -27,8 +27,8 @@ from freshet.llm.common import bounded_broadcast, plain, rows_of, text_column
 
 #: Bytes of a vocabulary file that are broadcast at most.
 VOCABULARY_BOUND = 64_000_000
-#: Words of a chunk that are remembered, the longest chunk that is, and the longest word that is scanned.
-REMEMBERED, REMEMBERED_CHARS, SCANNED = 200_000, 48, 400
+#: Chunks and words that are remembered, the longest that are, and the longest word that is scanned.
+CHUNKS, REMEMBERED, REMEMBERED_CHARS, SCANNED = 80_000, 200_000, 32, 400
 NO_RANK, ID_BITS, ID_MASK = 1 << 60, 24, (1 << 24) - 1
 
 #: How the vocabulary splits text into words.
@@ -132,7 +132,7 @@ class WordBPE:
             words = (lowered,) if lowered.isalpha() else WORDS.findall(lowered)
         ids = self.word(words[0]) if len(words) == 1 else tuple(i for word in words for i in self.word(word))
         if len(chunk) <= REMEMBERED_CHARS:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= CHUNKS:
                 self.known.clear()
             self.known[chunk] = ids
         return ids
