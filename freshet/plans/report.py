@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.errors import Defer, FreshetError, LookupFailed
 from freshet.operators import reports
-from freshet.plans.model import Pipeline, Rule, declared_names, task_frame
+from freshet.plans.model import Pipeline, Rule, declared_names, path_frame, task_frame
 from freshet.plans.planner import cascade, plan
 from freshet.sources import tokens
 from freshet.sources.scratch import durable
@@ -80,17 +80,24 @@ def why(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: str |
 
 
 def files(spark: SparkSession, pipeline: Pipeline) -> tuple[DataFrame, list[Rule]]:
-    """``rule``, ``ord``, ``part`` (in, out), ``path`` of all tasks; and the rules whose matrix is not ready."""
-    rows, waiting = [], []
+    """``rule``, ``part`` (in, out), ``path`` of all tasks; and the rules whose matrix is not ready."""
+    rows, waiting, frames = [], [], []
     for rule in pipeline.rules:
+        frame = path_frame(spark, rule)
+        if frame is not None:
+            frames.append(frame.select(F.lit(rule.name).alias("rule"), "part", "path"))
+            continue
         try:
-            for i, kwargs in enumerate(rule.rows()):
-                rows += [(rule.name, i, "in", str(v)) for v in tokens.resolved(rule.inputs, kwargs).values()]
-                rows += [(rule.name, i, "out", str(v)) for v in tokens.outputs_of(rule.outputs, kwargs).values()]
+            for kwargs in rule.rows():
+                rows += [(rule.name, "in", str(v)) for v in tokens.resolved(rule.inputs, kwargs).values()]
+                rows += [(rule.name, "out", str(v)) for v in tokens.outputs_of(rule.outputs, kwargs).values()]
         except Defer:
             log.warning("%s: matrix not ready, left out", rule.name)
             waiting.append(rule)
-    return spark.createDataFrame(rows, "rule string, ord long, part string, path string"), waiting
+    found = spark.createDataFrame(rows, "rule string, part string, path string")
+    for frame in frames:
+        found = found.unionByName(frame)
+    return found, waiting
 
 
 def lint(spark: SparkSession, pipeline: Pipeline) -> DataFrame:

@@ -139,6 +139,15 @@ def test_lint(spark, tmp_path):
     assert got == [("near_miss", "proc", "gen", 2, "out/gen/1.txt"), ("external", "agg", None, 1, None), ("missing_dependency", "agg", "proc", 1, None)]
 
 
+def test_paths_of_a_grid_are_the_lists(spark):
+    grid = {"z": ["it's", None, 1.5], ("b", "a"): [(1, True), (-3, False)]}
+    r = Rule(lambda inputs, outputs, z, a, b: None, inputs={"x": "in/{a}/{z}"}, outputs={"y": FileToken("o/{b}-{a}.{z}"), "k": "const"}, matrix=grid, given_name="r")
+    odd = Rule(lambda outputs, n: None, outputs={"y": "o/{n:03d}"}, matrix={"n": [1, 22]}, given_name="odd")
+    found, _ = report.files(spark, Pipeline([r, odd]))
+    want = [("r", part, str(v)) for k in r.rows() for part, spec in (("in", r.inputs), ("out", r.outputs)) for v in (str(t).format(**k) for t in spec.values())]
+    assert sorted(map(tuple, found.collect())) == sorted([*want, ("odd", "out", "o/001"), ("odd", "out", "o/022")])
+
+
 def test_lookup_and_infos(spark, tmp_path):
     p, store = chain(tmp_path), ParquetStore(tmp_path / "s")
     key = task_key("combine", {})
