@@ -19,6 +19,9 @@ Stages and what moves (input: texts, read by column once for each of 1 to 3 and
 5. candidates are verified; links give components; then in each frequent signature with more than one component, the
    nodes outside its largest component are held against all of its nodes, salted, with bitmaps at hand, and what
    passes is verified too. So no pair that shares a signature is left out but those already connected.
+``jaccard_components`` stops there: its links connect each component, but are not all of them. ``jaccard_links`` takes
+every pair of a frequent signature instead of 4 and 5 (its parts against each other, bitmaps at hand), verifies what
+passes, and gives all links and their number for each document; its work grows with the number of links.
 
 Hashes: tokens and sets are 64-bit hashes; a wrong result needs two different shingles in a pair, or two different
 sets in the corpus, with the same hash.
@@ -308,6 +311,13 @@ def verified(pairs: DataFrame, rows: DataFrame, label: str) -> DataFrame:
     return durable(both.mapInArrow(check, "a long, b long"), f"{label}-links")
 
 
+def unite(group: pa.Table) -> pa.Table:
+    """A node's partners in all its signatures, each once."""
+    node = group.column(0)[0].as_py()
+    near = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in group.column(1).to_pylist()]))
+    return pa.table({"a": pa.array(np.minimum(near, node)), "b": pa.array(np.maximum(near, node))})
+
+
 def across(signed: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of nodes that share a frequent signature, lie in different components and pass the filters."""
     placed = durable(signed.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label")), "placed")
@@ -338,19 +348,46 @@ def across(signed: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
                 others.append(np.unique(np.concatenate(near)).tobytes())
         return pa.table({"node": pa.array(own, pa.int64()), "near": pa.array(others, pa.binary())})
 
-    def unite(group: pa.Table) -> pa.Table:
-        """A node's partners in all its signatures, each once."""
-        node = group.column(0)[0].as_py()
-        near = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in group.column(1).to_pylist()]))
-        return pa.table({"a": pa.array(np.minimum(near, node)), "b": pa.array(np.maximum(near, node))})
-
     found = all_rows.unionByName(outside).groupBy("sig", "salt").applyInArrow(hold, "node long, near binary")
     return found.groupBy("node").applyInArrow(unite, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """For each row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest ``doc_id`` reachable by links);
-    and the links between distinct sets (``a``, ``b``: nodes) that were verified."""
+def within(signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of nodes that share a frequent signature and pass the filters. A signature's nodes are salted into parts
+    of about SALTED rows, and each two parts meet in a group of their own."""
+    sizes = signed.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
+    here = signed.join(sizes, "sig").join(nodes.select("node", "n", "bits"), "node").withColumn("salts", F.ceil(F.col("rows") / SALTED).cast("int"))
+    here = here.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    met = here.select("sig", "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"), "node", "n", "bits")
+
+    def hold(group: pa.Table) -> pa.Table:
+        node, n, salt = (np.asarray(group.column(c), np.int64) for c in ("node", "n", "salt"))
+        one_part, bits = bool((salt == salt[0]).all()), group.column("bits").to_pylist()
+        widths = np.asarray([len(x) // 8 for x in bits])
+        full = {w: np.flatnonzero(widths == w) for w in set(widths.tolist())}
+        maps = {w: np.frombuffer(b"".join(bits[i] for i in at), "<u8").reshape(-1, w) for w, at in full.items()}
+        own, others = [], []
+        for i in range(len(node)):
+            mine, near = np.frombuffer(bits[i], "<u8"), []
+            for w, at in full.items():
+                fits = (node[at] > node[i]) & (DENOMINATOR * np.minimum(n[at], n[i]) >= NUMERATOR * np.maximum(n[at], n[i]))
+                if not one_part:
+                    fits &= salt[at] != salt[i]
+                if fits.any():
+                    fits[fits] = may_link(distance(maps[w][fits], mine), n[at[fits]], n[i])
+                    near.append(node[at[fits]])
+            if near and sum(map(len, near)):
+                own.append(node[i])
+                others.append(np.concatenate(near).tobytes())
+        return pa.table({"node": pa.array(own, pa.int64()), "near": pa.array(others, pa.binary())})
+
+    parts = met.select("sig", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "salt", "node", "n", "bits")
+    found = parts.groupBy("sig", "low", "high").applyInArrow(hold, "node long, near binary")
+    return found.groupBy("node").applyInArrow(unite, "a long, b long")
+
+
+def prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
+    """Ids and texts, each document's node, the distinct nodes, their frequent signatures, and the candidates of rare tokens."""
     spark, rows = docs.sparkSession, plain(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     mb = input_mb(docs)
@@ -362,7 +399,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = durable(docs_nodes.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct-nodes")
     signed = durable(docs_nodes.where("size(pairs) > 0").select("node", F.explode("pairs").alias("sig")).distinct(), "signatures")
 
-    rare = rare_candidates(rare_prefixes(rows, often, max(3, ranges)))
+    return rows, docs_nodes, nodes, signed, rare_candidates(rare_prefixes(rows, often, max(3, ranges)))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """For each row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest ``doc_id`` reachable by links);
+    and the links between distinct sets (``a``, ``b``: nodes) that were verified, which connect every component but are not
+    all of its links (``jaccard_links`` has these)."""
+    rows, docs_nodes, nodes, signed, rare = prepared(docs, id_col, text_col)
     links = verified(close(rare.union(star_candidates(signed)).distinct(), nodes), rows, "first")
     labels = components(links)
     more = verified(across(signed, nodes, labels), rows, "across")
@@ -373,3 +417,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = docs_nodes.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("label", "node").alias("label"))
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")), links
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """For each row of ``docs``: ``doc_id``, ``n_shingles``, ``node`` (null: no words), ``n_links`` (other rows of similarity
+    0.8 or more, copies among them); and all links between distinct sets (``a`` < ``b``: nodes)."""
+    rows, docs_nodes, nodes, signed, rare = prepared(docs, id_col, text_col)
+    links = verified(close(rare, nodes).union(within(signed, nodes)).distinct(), rows, "all")
+    copies = durable(docs_nodes.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")), "copies")
+    ends = links.select("a", "b").union(links.select("b", "a")).toDF("node", "to")
+    linked = ends.join(copies.toDF("to", "m"), "to").groupBy("node").agg(F.sum("m").alias("m"))
+    number = copies.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    counted = docs_nodes.join(number, "node", "left")
+    return counted.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links

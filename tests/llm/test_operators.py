@@ -372,6 +372,30 @@ def test_jaccard_keeps_repeated_rows(spark):
     assert sorted(map(tuple, got.collect())) == [(2, 2, 2), (5, 2, 2), (5, 2, 2), (9, 0, 9)]
 
 
+@pytest.mark.parametrize("salted", [4096, 7])
+def test_jaccard_links_are_all_links(spark, texts, salted, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    monkeypatch.setattr(ngram_join, "SALTED", salted)
+    rng = random.Random(8)
+    whole = prose(rng, 120, 5000).split(" ")
+    group = []
+    for k in range(30):  # each is a word off the same text, so nearly all pairs are links
+        group.append(" ".join([*whole[: 3 * k], f"n{k}", *whole[3 * k + 1 :]]))
+    texts = [*texts, *group, group[0]]
+    found = sets(texts)
+    similar = [[bool(x and y) and 100 * len(x & y) >= 80 * len(x | y) for y in found] for x in found]
+    docs = frame(spark, texts).repartition(4)
+    placed, links = ngram_join.jaccard_links(docs)
+    rows = placed.collect()
+    assert {r.doc_id: (r.n_shingles, r.n_links) for r in rows} == {i: (len(x), sum(similar[i]) - bool(x)) for i, x in enumerate(found)}
+    node = {r.doc_id: r.node for r in rows}
+    want = {tuple(sorted((node[i], node[j]))) for i in node for j in node if similar[i][j] and node[i] != node[j]}
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert ngram_join.jaccard_components(docs)[1].count() < len(want)  # those only connect
+    assert ngram_join.jaccard_links(docs.limit(0))[0].count() == 0
+
+
 def test_signatures_meet():
     """Any two similar sets share a rare token of both prefixes or a signature."""
     rng = np.random.default_rng(0)
