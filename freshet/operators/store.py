@@ -43,6 +43,16 @@ def array_index(tasks: DataFrame, group: str, order: list[str]) -> DataFrame:
     return tasks.withColumn("array_index", (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
 
 
+def places(tasks: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """The place of each task among all, from 1, by ``group``, then ``order``: its rank in the group and the number of
+    tasks in the groups before, so that only the groups' counts are gathered."""
+    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tasks.groupBy(group).count().select(F.col(group).alias("of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    ranked = tasks.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    placed = ranked.join(F.broadcast(offsets), F.col(group).eqNullSafe(F.col("of")))
+    return placed.select((F.col("offset") + F.col("rank")).cast("long").alias("place"), *tasks.columns)
+
+
 def consecutive_batches(rows: DataFrame, value: str, order: str, within: str) -> DataFrame:
     """Number of the run of equal consecutive values, from 1, within each group."""
     w = Window.partitionBy(within).orderBy(order)

@@ -436,9 +436,14 @@ def resource_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT place, id, rule FROM (SELECT row_number() OVER (ORDER BY rule, id) AS place, id, rule FROM ({OWN}) WHERE reason IS NOT NULL) WHERE place <= 50")
 def runnable_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first fifty runnable tasks by rule, then place in the matrix (the progress report's i of n)."""
-    first = _own(spark, d).where("reason is not null").orderBy("rule", "id").limit(50)
-    return first.select(F.row_number().over(Window.orderBy("rule", "id")).cast("long").alias("place"), "id", "rule")
+    """The first fifty of ``runnable_places``."""
+    return runnable_places(spark, d).where("place <= 50")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY rule, id) AS place, id, rule FROM ({OWN}) WHERE reason IS NOT NULL")
+def runnable_places(spark: SparkSession, d: str) -> DataFrame:
+    """Every runnable task by rule, then place in the matrix (the progress report's i of n)."""
+    return store.places(_own(spark, d).where("reason is not null").select("id", "rule"), "rule", ["id"])
 
 
 # --- workloads ---

@@ -8,6 +8,7 @@ import pytest
 
 from freshet.functions.errors import QueryError
 from freshet.functions.predicate import compile_query, evaluate
+from freshet.operators import store
 from freshet.operators.reports import near_misses
 from freshet.plans import catalogue
 from freshet.plans.model import Rule, task_frame, kwargs_id, task_key
@@ -94,6 +95,15 @@ def test_catalogue(spark, duck, name):
     assert sorted(tuple(map(plain, r)) for r in got.select(*names).collect()) == sorted(tuple(plain(r[i]) for i in order) for r in sql.fetchall())
 
 
+def test_every_runnable_task_has_a_place(spark):
+    runnable = catalogue.queries()["own_rerun_reasons"](spark, SF).where("reason is not null").select("rule", "id").collect()
+    got = catalogue.queries()["runnable_places"](spark, SF).orderBy("place").collect()
+    assert [(r.rule, r.id) for r in got] == sorted(map(tuple, runnable)) and len(got) > 50
+    assert [r.place for r in got] == list(range(1, len(got) + 1))
+    rows = spark.createDataFrame([("b", 2), (None, 7), ("b", 1), ("a", 9)], "rule string, id long")
+    assert sorted(tuple(r) for r in store.places(rows, "rule", ["id"]).collect()) == [(1, None, 7), (2, "a", 9), (3, "b", 1), (4, "b", 2)]
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
