@@ -28,8 +28,9 @@ from freshet.llm.common import SPACE_CLASS, durable, small
 
 SYMBOLS = r"[#*$%&|<>]"
 DIMENSIONS = 4
-#: Least standard deviation of each statistic: its resolution.
-FLOORS = (0.08, 0.05, 0.15, 0.15)
+#: Least standard deviation of each statistic: its resolution. A share of repeated lines or words of 0.25 above the
+#: group's centre is beyond the cutoff by itself.
+FLOORS = (0.08, 0.05, 0.05, 0.05)
 #: Rows from which a group has its own estimate; share of the rows that are concentrated on; steps; chi-square quantile.
 MIN_GROUP, SUBSET, STEPS, QUANTILE = 40, 0.75, 4, 0.9999
 #: Bins of ln(distance^2) to one unit; groups whose estimates are broadcast at most (about 200 bytes each); files of their table.

@@ -258,6 +258,15 @@ def test_quality_outliers(spark):
     assert quality_rules.quality_filter(docs.where("doc_id < 10")).count() == 10  # too few for an estimate
 
 
+def test_quality_rejects_repeated_lines(spark):
+    rng, line = random.Random(4), lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(8))
+    pages = [[line() for _ in range(20)] for _ in range(200)]
+    words_once = [["same three words " + x for x in page] for page in pages[:6]]  # 0.27 of the words, no line twice
+    planted = [page[:14] + page[:6] for page in pages[:6]] + words_once  # 0.3 of the lines
+    docs = frame(spark, ["\n".join(x) for x in [*pages, *planted]])
+    assert {r.doc_id for r in quality_rules.quality_filter(docs).collect()} == set(range(200))
+
+
 # --- 7 search ---
 
 
