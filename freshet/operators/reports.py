@@ -30,14 +30,26 @@ def reason_tally(tasks: DataFrame, rule: str, reasons: str) -> DataFrame:
     return tasks.select(rule, F.explode(reasons).alias("category")).groupBy(rule, "category").agg(F.count("*").alias("n"))
 
 
+def _signed(records: DataFrame, order: str, exception: str, label: str) -> DataFrame:
+    """Failures with their signature: ``type``, and ``place``, the frames in a row."""
+    frames = traceback_frames(F.col(exception))
+    return records.select(order, label, exception_type(F.col(exception)).alias("type"), F.array_join(frames, "|").alias("place"))
+
+
 def failure_groups(records: DataFrame, order: str, exception: str, label: str) -> DataFrame:
     """Failures with the same exception type and frames: count, first example, deepest frame."""
-    frames = traceback_frames(F.col(exception))
-    signed = records.select(order, label, exception_type(F.col(exception)).alias("type"), frames.alias("frames"))
-    found = signed.groupBy("type", F.array_join("frames", "|").alias("place")).agg(F.count("*").alias("n"), F.min_by(label, order).alias("example"), F.min(order).alias("first_seen"))
+    found = _signed(records, order, exception, label).groupBy("type", "place").agg(F.count("*").alias("n"), F.min_by(label, order).alias("example"), F.min(order).alias("first_seen"))
     return found.select("type", F.when(F.col("place") != "", F.element_at(F.split("place", r"\|"), -1)).alias("deepest"), "n", "example", "first_seen")
 
 
+def failure_members(records: DataFrame, order: str, exception: str, label: str) -> DataFrame:
+    """Every failure with its group: the signature (``type``, ``place``), the group's ``first_seen``, and the failure's own
+    label and order. A group is joined, not gathered."""
+    signed = _signed(records, order, exception, label)
+    first = signed.groupBy(F.col("type").alias("t"), F.col("place").alias("p")).agg(F.min(order).alias("first_seen"))
+    return signed.join(first, F.col("type").eqNullSafe(F.col("t")) & F.col("place").eqNullSafe(F.col("p"))).select("type", "place", "first_seen", label, order)
+
+
 def similarity(a: str, b: str) -> float:
     """The ratio of matching blocks of ``b`` against ``a``."""
     return SequenceMatcher(None, a, b).ratio()

@@ -36,6 +36,12 @@ def status(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: st
     return {"rules": listed, "totals": {n: sum(r.get(n, 0) for r in listed) for n in names}}
 
 
+def failed_members(spark: SparkSession, store: StateStore) -> DataFrame:
+    """Every failed task with the signature of its group: ``type``, ``place``, ``first_seen``, ``key``, ``at``."""
+    failed = store.records(spark).where("status = 2").withColumn("at", F.struct("event_seq", "key"))
+    return reports.failure_members(failed, "at", "exception", "key")
+
+
 def failures(spark: SparkSession, pipeline: Pipeline, store: StateStore) -> list[dict]:
     """Failed tasks grouped by exception type and frames, first seen first."""
     failed = store.records(spark).where("status = 2").withColumn("at", F.struct("event_seq", "key"))

@@ -1,5 +1,6 @@
 """The query language compiled to columns against the plain evaluator and Python's own; the catalogue against its SQL."""
 
+import collections
 import os
 import random
 
@@ -9,7 +10,7 @@ import pytest
 from freshet.functions.errors import QueryError
 from freshet.functions.predicate import compile_query, evaluate
 from freshet.operators import store
-from freshet.operators.reports import near_misses
+from freshet.operators.reports import failure_groups, failure_members, near_misses
 from freshet.plans import catalogue
 from freshet.plans.model import Rule, task_frame, kwargs_id, task_key
 
@@ -104,6 +105,16 @@ def test_every_runnable_task_has_a_place(spark):
     assert sorted(tuple(r) for r in store.places(rows, "rule", ["id"]).collect()) == [(1, None, 7), (2, "a", 9), (3, "b", 1), (4, "b", 2)]
 
 
+def test_failure_members_are_all_listed(spark):
+    trace = 'Traceback (most recent call last):\n  File "run.py", line {}, in step\n{}: x'
+    rows = [(i, f"k{i}", trace.format(i % 2, "KeyError" if i % 3 else "ValueError")) for i in range(12)] + [(12, "k12", None), (13, "k13", None)]
+    failed = spark.createDataFrame(rows, "at long, key string, exception string")
+    got = failure_members(failed, "at", "exception", "key").collect()
+    assert sorted(r.key for r in got) == sorted(k for _, k, _ in rows)
+    sizes = collections.Counter((r.type, r.first_seen) for r in got)
+    assert sizes == {(g.type, g.first_seen): g.n for g in failure_groups(failed, "at", "exception", "key").collect()} and max(sizes.values()) == 4
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
