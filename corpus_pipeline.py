@@ -39,9 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture with the smallest budget that takes every document once: small sources are repeated, up to 1.25 times,
+    """The mixture with the smallest budget that takes every document once: small sources are repeated, up to 4 times,
     towards 0.95 of the largest entropy."""
-    return mix(docs, word_count(F.col("text")), ["doc_id"], target_entropy=0.95, max_repeats=1.25, budget=None).select("row.*")
+    return mix(docs, word_count(F.col("text")), ["doc_id"], target_entropy=0.95, max_repeats=4.0, budget=None).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,13 @@ def test_mixture_takes_every_document(passed):
     assert (repeats >= 1).all() and (repeats <= 1.25 + 0.1).all() and np.isclose(repeats.min(), 1)
 
 
+def test_mixture_reaches_its_entropy(spark):
+    rows = [(i, "word " * 50, "en", "hot" if i < 200 else f"s{i % 19}", 250) for i in range(580)]  # a third, and 19 others
+    after = corpus_pipeline.mixture(spark, spark.createDataFrame(rows, SCHEMA), "").groupBy("source").count().toPandas()["count"].to_numpy()
+    share = after / after.sum()
+    assert -(share * np.log(share)).sum() / np.log(20) > 0.945
+
+
 def test_tokens(passed):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     import hashlib
