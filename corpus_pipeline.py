@@ -29,13 +29,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.8 connect: the one with the smallest id. Of repeated rows
-    (equal id and text) one stays; documents without words stay."""
-    found = durable(jaccard_components(docs)[0], "components")
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("__twin", F.xxhash64("text")).dropDuplicates(["doc_id", "__twin"]).drop("__twin")
+    """One document of each group that links of similarity 0.8 connect: the one with the smallest id, a null id last. Rows
+    are told apart by id and text. Of repeated rows (equal id and text) one stays; documents without words stay."""
+    twin = F.xxhash64("text")
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", twin.alias("twin")).alias("row_id"), "text")
+    found = durable(jaccard_components(rows, id_col="row_id")[0], "components")
+    gone = found.where("not (doc_id <=> component_id)").select("doc_id.doc_id", "doc_id.twin").distinct().toDF("gone", "gone_twin")
+    kept = docs.withColumn("__twin", twin).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")) & (F.col("__twin") == F.col("gone_twin")), "left_anti")
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__twin"])
+    return kept.select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,15 @@ def test_one_of_each_group_stays(passed):
     assert len(rows(passed[3])) == 120
 
 
+def test_near_duplicates_are_rows_not_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 80, 5000) for _ in range(3))
+    given = [(1, a), (2, a + " more"), (2, b), (None, b + " more"), (None, c), (None, c), (None, c + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(got) == 3 and set(got) - {(None, c), (None, c + " more")} == {(1, a), (2, b)}
+
+
 def test_mixture_takes_every_document(passed):
     before, after = passed[3].toPandas(), passed[4].toPandas()
     assert set(before.doc_id) == set(after.doc_id)
