@@ -11,7 +11,8 @@ from freshet.llm.common import durable
 def components(links: DataFrame) -> DataFrame:
     """``links`` (``a``, ``b`` long) to ``node``, ``label`` (the least node of its component), for each node that
     has a link. Each round every node hooks to its least neighbour, pointers are doubled until they end at roots,
-    and the links are contracted to roots; the nodes of a component at least halve in a round."""
+    and the links are contracted to roots; the nodes of a component at least halve in a round. A root of many nodes is a
+    hot key of these joins: both sides are written tables, so that Spark's adaptive execution splits its rows."""
     edges = durable(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels: DataFrame | None = None
     while not edges.isEmpty():

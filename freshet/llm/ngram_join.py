@@ -9,20 +9,31 @@ a token for each class. Classes are hash classes; their number follows a band of
 end of a band is indexed for the next band too. Candidates pass a size filter, a position filter and a filter by
 parity bitmaps (their Hamming distance never exceeds the symmetric difference), then are verified by their whole sets.
 
-Stages and what moves (input: texts, read by column once for each of 1 to 3 and for the sets that 5 needs):
-1. exact document counts of all shingles, as packed sorted differences (about 3 bytes each); frequent tokens have
-   FREQUENT documents or more, and at most TABLE_TOKENS of them (else the least count is raised) are broadcast;
+Stages and what moves (input: texts, read by column once for each of 1 to 3 and for the sets that 4 needs):
+1. exact document counts of all shingles, as packed sorted differences (about 3 bytes each); those of FREQUENT documents
+   or more set a bit of a table that is broadcast (at most 2^OFTEN_BITS bits). A rare token whose bit is set by another
+   one counts as frequent too, for all documents alike; so a full table costs signatures, not results, and the lists of
+   rare tokens stay short at any size;
 2. a node for each distinct set (hash of the set), its size, bitmap, and signatures of frequent pairs;
 3. packed (token, node, size, position) of rare prefix tokens by token range; within a token's few documents the pairs
-   that pass the filters are candidates;
-4. for frequent signatures the least node is paired with the others (grouping is pre-aggregated, so no hot key);
-5. candidates are verified; links give components; then in each frequent signature with more than one component, the
-   nodes outside its largest component are held against all of its nodes, salted, with bitmaps at hand, and what
-   passes is verified too. So no pair that shares a signature is left out but those already connected.
+   that pass the filters are candidates; so is, for each frequent signature, its least node with each other one;
+4. the sets of the candidates' nodes and of nodes with a frequent signature are written once; candidates are verified,
+   and links give components;
+5. rounds over the frequent signatures whose nodes lie in several components. A signature's largest component is its
+   head. Each node outside the head is held against the signature's nodes in other components, by size and bitmap, in
+   blocks of bounded rows and bytes, and names its nearest node in each of at most k other components (k: 1, 2, 4, ...
+   round by round). These pairs are verified; links unite components, refused pairs are remembered. Who named none is
+   done, since components only grow, so the next round asks the others alone; the rounds end when none is named. A link
+   between two components so ends their comparison, and no pair that shares a signature is left out but those already
+   connected. What moves is k pairs a node and round; comparisons within a signature are (nodes outside its head) times
+   (nodes), a few words each, and make no rows.
 ``jaccard_components`` stops there: its links connect each component, but are not all of them. ``jaccard_links`` takes
-every pair of a frequent signature instead of 4 and 5 (its parts against each other, bitmaps at hand), verifies what
+every pair of a frequent signature instead of 5 (its parts against each other, bitmaps at hand), verifies what
 passes, and gives all links and their number for each document; its work grows with the number of links.
 
+Hot signatures, nodes and components: counts and least ids are pre-aggregated; a join by such a key has two written
+tables at its sides, so that Spark's adaptive execution splits the hot one's rows.
+
 Hashes: tokens and sets are 64-bit hashes; a wrong result needs two different shingles in a pair, or two different
 sets in the corpus, with the same hash.
 
@@ -47,10 +58,12 @@ from freshet.llm.shingles import mixed, shingle_lists
 
 #: Words of a shingle; similarity as a whole-number ratio; documents from which a token is frequent.
 WORDS, NUMERATOR, DENOMINATOR, FREQUENT = 5, 80, 100, 64
-#: Frequent tokens, and bits of the table of nodes to fetch, that are broadcast at most.
-TABLE_TOKENS, FETCH_BITS, TABLE_BOUND = 1 << 20, 23, 32_000_000
-#: Set sizes a class of frequent tokens; rows of a salted part of a frequent signature; shingles a MB of input, about.
-CLASS_SIZE, SALTED, SHINGLES_MB = 8, 4096, 250_000
+#: log2 of the bits, at most, of the tables of frequent tokens and of nodes to fetch, and their bound in bytes.
+OFTEN_BITS, FETCH_BITS, TABLE_BOUND = 28, 28, 40_000_000
+#: Set sizes a class of frequent tokens; shingles a MB of input, about.
+CLASS_SIZE, SHINGLES_MB = 8, 250_000
+#: Rows and bytes of bitmaps, about, of a block of a frequent signature.
+SALTED, SALTED_BYTES = 32_768, 16 << 20
 
 
 def required(n: int) -> int:
@@ -63,8 +76,8 @@ def similar(common, n, m):
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens that fall on each bit; 64 bits or the power of two that is at least twice the set's size."""
-    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    """Parity of the tokens that fall on each bit; 64 bits or the power of two that is at least four times the set's size."""
+    bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
     parity = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
 
@@ -129,21 +142,13 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 class Often:
-    """The frequent tokens: a table of bits first, then the list."""
+    """The frequent tokens, by a table of bits."""
 
-    def __init__(self, cut: np.ndarray, bits: int):
-        self.cut, self.bits = np.sort(cut), bits
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.cut >> np.uint64(bits - 20)).astype(np.int64)] = True
+    def __init__(self, table: np.ndarray, bits: int):
+        self.table, self.bits = table, bits
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
-        found = self.table[(tokens >> np.uint64(44)).astype(np.int64)]
-        if len(self.cut) and found.any():
-            at = np.flatnonzero(found)
-            cut = tokens[at] >> np.uint64(64 - self.bits)
-            place = np.minimum(np.searchsorted(self.cut, cut), len(self.cut) - 1)
-            found[at] = self.cut[place] == cut
-        return found
+        return packed.has_bit(self.table, tokens, self.bits)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -157,23 +162,13 @@ def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         yield batch, [np.unique(x) for x in shingle_lists(text_column(batch, "text"), WORDS)]
 
 
-def count_tokens(rows: DataFrame, bits: int, ranges: int, least: int) -> DataFrame:
+def frequent_tokens(rows: DataFrame, bits: int, ranges: int, table_bits: int) -> Often:
+    """The tokens of FREQUENT documents or more, by their hashes cut to ``bits``."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from packed.send_counts((x for _, sets in sets_of(batches) for x in sets if len(x)), bits, ranges)
 
-    return packed.frequent(rows.select("text").mapInArrow(send, packed.SENT), ranges, bits, least)
-
-
-def frequent_tokens(rows: DataFrame, bits: int, ranges: int) -> Often:
-    """The frequent tokens; if there are more than TABLE_TOKENS, the least count is raised by powers of two."""
-    found = durable(count_tokens(rows, bits, ranges, FREQUENT), "tokens")
-    levels = {r.level: r.n for r in found.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()}
-    least, left = min(levels, default=0), sum(levels.values())
-    while left > TABLE_TOKENS:
-        left -= levels.get(least, 0)
-        least += 1
-    cut = np.asarray(found.where(F.floor(F.log2("n")) >= least).select("h").toArrow().column("h"), np.int64).astype(np.uint64)
-    return Often(cut, bits)
+    return Often(packed.frequent_bits(rows.select("text").mapInArrow(send, packed.SENT), ranges, bits, FREQUENT, table_bits), table_bits)
 
 
 def nodes_of(rows: DataFrame, often, kind: str) -> DataFrame:
@@ -262,8 +257,8 @@ def rare_candidates(sent: DataFrame) -> DataFrame:
 
 def star_candidates(signed: DataFrame) -> DataFrame:
     """For each frequent signature its least node with each other one."""
-    least = signed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("sig", "a")
-    return signed.join(least, "sig").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    least = durable(signed.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("sig", "a"), "least")
+    return signed.select("sig", "node").join(least, "sig").where("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
 def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -281,82 +276,132 @@ def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.mapInArrow(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, label: str) -> DataFrame:
-    """The pairs whose whole sets are similar: ``a``, ``b``. Only the sets of the pairs' nodes move."""
-    spark = rows.sparkSession
-    pairs = durable(pairs, f"{label}-candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    table = packed.bit_table(wanted, "node", FETCH_BITS)
-    fetch = bounded_broadcast(spark, table, table.nbytes, TABLE_BOUND, "the table of nodes to fetch")
+def sets_for(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node``, ``tokens`` (the sorted set as binary) of the nodes of ``wanted``. Only these sets move, and a few that
+    the table of bits takes for one of them."""
+    wanted = durable(wanted.distinct(), "wanted")
+    bits = int(min(FETCH_BITS, max(16, np.ceil(np.log2(16 * max(wanted.count(), 1))))))
+    table = packed.bit_table(wanted, "node", bits)
+    fetch = bounded_broadcast(rows.sparkSession, table, table.nbytes, TABLE_BOUND, "the table of nodes to fetch")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, sets in sets_of(batches):
             ids = np.asarray([set_id(x) if len(x) else 0 for x in sets], np.int64)
-            kept = [i for i in np.flatnonzero(packed.has_bit(fetch.value, ids.view(np.uint64), FETCH_BITS)) if len(sets[i])]
+            kept = [i for i in np.flatnonzero(packed.has_bit(fetch.value, ids.view(np.uint64), bits)) if len(sets[i])]
             yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array([sets[i].tobytes() for i in kept], pa.binary())], ["node", "tokens"])
 
+    fetched = rows.select("text").mapInArrow(emit, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return durable(fetched.join(wanted, "node", "left_semi"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """``a``, ``b`` of ``pairs`` and ``linked``: whether their whole sets are similar. Spark splits a hot node's pairs."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 hit.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit, pa.bool_())) for c in (batch.column(0), batch.column(1))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.bool_())], ["a", "b", "linked"])
 
-    if pairs.isEmpty():
-        return pairs
-    fetched = rows.select("text").mapInArrow(emit, "node long, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    sets = durable(fetched.join(wanted.distinct(), "node", "left_semi"), f"{label}-sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return durable(both.mapInArrow(check, "a long, b long"), f"{label}-links")
+    return durable(both.mapInArrow(check, "a long, b long, linked boolean"), label)
 
 
-def unite(group: pa.Table) -> pa.Table:
-    """A node's partners in all its signatures, each once."""
-    node = group.column(0)[0].as_py()
-    near = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in group.column(1).to_pylist()]))
-    return pa.table({"a": pa.array(np.minimum(near, node)), "b": pa.array(np.maximum(near, node))})
+def blocks(rows, size):
+    return F.greatest(F.ceil(rows / SALTED), F.ceil(size / SALTED_BYTES)).cast("int")
 
 
-def across(signed: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a frequent signature, lie in different components and pass the filters."""
-    placed = durable(signed.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label")), "placed")
-    sizes = placed.groupBy("sig", "label").agg(F.count("*").alias("n"))
-    mixed_sigs = sizes.groupBy("sig").agg(F.count("*").alias("labels"), F.sum("n").alias("rows"), F.max_by("label", F.struct("n", "label")).alias("main")).where("labels > 1")
-    info = nodes.select("node", "n", "bits")
-    here = placed.join(mixed_sigs, "sig").join(info, "node").withColumn("salts", F.ceil(F.col("rows") / SALTED).cast("int"))
-    all_rows = here.select("sig", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("outside"), "node", "label", "n", "bits")
-    outside = here.where("label <> main").select("sig", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("outside"), "node", "label", "n", "bits")
+def nearest(asked: DataFrame, members: DataFrame, info: DataFrame, placed, refused: DataFrame | None, k: int) -> DataFrame:
+    """For each node of ``asked`` (``sig``, ``node``, ``bytes``, ``ins``: blocks of its signature) its nearest node in each of at
+    most k other components among its signatures' ``members``, of those that pass the filters: ``a`` < ``b``. ``info``: ``node``,
+    ``n``, ``bits``; ``placed`` adds labels; ``refused``: pairs to leave out."""
+    dealt = durable(asked.groupBy("sig").agg(blocks(F.count("*"), F.sum("bytes")).alias("outs"), F.first("ins").alias("ins")), "blocks")
+    number = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    outer = placed(asked.select("sig", "node").join(dealt, "sig"), "ins", "outs").select("sig", number("outs").alias("o"), each("ins").alias("i"), F.lit(True).alias("outer"), "node", "label").join(info, "node")
+    inner = placed(members.select("sig", "node").join(dealt, "sig"), "ins", "outs").select("sig", each("outs").alias("o"), number("ins").alias("i"), F.lit(False).alias("outer"), "node", "label").join(info, "node")
+    if refused is None:
+        outer = outer.withColumn("refused", F.lit(None).cast("array<long>"))
+    else:
+        both = refused.select(F.col("a").alias("node"), "b").union(refused.select(F.col("b").alias("node"), "a"))
+        outer = outer.join(both.groupBy("node").agg(F.collect_set("b").alias("refused")), "node", "left")
+    inner = inner.withColumn("refused", F.lit(None).cast("array<long>"))
 
     def hold(group: pa.Table) -> pa.Table:
         node, label, n = (np.asarray(group.column(c), np.int64) for c in ("node", "label", "n"))
-        outer, bits = np.asarray(group.column("outside"), bool), group.column("bits").to_pylist()
+        outer, bits = np.asarray(group.column("outer"), bool), group.column("bits").to_pylist()
         # sizes of a signature's sets lie in a band and next to it, so widths are few
         widths = np.asarray([len(x) // 8 for x in bits])
-        full = {w: (np.flatnonzero((widths == w) & ~outer)) for w in set(widths.tolist())}
-        maps = {w: np.frombuffer(b"".join(bits[i] for i in at), "<u8").reshape(-1, w) if len(at) else np.zeros((0, w), np.uint64) for w, at in full.items()}
-        own, others = [], []
-        for i in np.flatnonzero(outer):
-            mine, near = np.frombuffer(bits[i], "<u8"), []
-            for w, at in full.items():
+        full = {w: np.flatnonzero((widths == w) & ~outer) for w in set(widths.tolist())}
+        maps = {w: np.frombuffer(b"".join(bits[j] for j in at), "<u8").reshape(-1, w) for w, at in full.items() if len(at)}
+        out: list[tuple] = []
+        for j in np.flatnonzero(outer).tolist():
+            mine, found = np.frombuffer(bits[j], "<u8"), []
+            refused = group.column("refused")[j].as_py()
+            for w, rows in maps.items():
+                at = full[w]
+                fits = (label[at] != label[j]) & (DENOMINATOR * np.minimum(n[at], n[j]) >= NUMERATOR * np.maximum(n[at], n[j]))
+                if refused:
+                    fits &= ~np.isin(node[at], refused)
+                at = at[fits]
                 if len(at):
-                    fits = (label[at] != label[i]) & (DENOMINATOR * np.minimum(n[at], n[i]) >= NUMERATOR * np.maximum(n[at], n[i]))
-                    fits[fits] = may_link(distance(maps[w][fits], mine), n[at[fits]], n[i])
-                    near.append(node[at[fits]])
-            if near and sum(map(len, near)):
-                own.append(node[i])
-                others.append(np.unique(np.concatenate(near)).tobytes())
-        return pa.table({"node": pa.array(own, pa.int64()), "near": pa.array(others, pa.binary())})
-
-    found = all_rows.unionByName(outside).groupBy("sig", "salt").applyInArrow(hold, "node long, near binary")
-    return found.groupBy("node").applyInArrow(unite, "a long, b long").distinct()
+                    far = distance(rows[fits], mine)
+                    near = may_link(far, n[at], n[j])
+                    found.append(np.stack([far[near], node[at[near]], label[at[near]]]))
+            if found:
+                far, near, of = np.concatenate(found, axis=1)
+                order = np.lexsort((near, far))
+                first = np.sort(np.unique(of[order], return_index=True)[1])[:k]
+                out.extend((node[j], f, x, y) for f, x, y in zip(far[order][first], near[order][first], of[order][first]))
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table({c: pa.array(np.asarray(v, np.int64)) for c, v in zip(("node", "far", "near", "of"), columns)})
+
+    found = outer.unionByName(inner).groupBy("sig", "o", "i").applyInArrow(hold, "node long, far long, near long, of long")
+    best = found.groupBy("node", "of").agg(F.min(F.struct("far", "near")).alias("best"))  # a node is in some of its signatures' blocks
+    named = best.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("best")), 1, k).alias("best")).select("node", F.explode("best.near").alias("near"))
+    return named.select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()
+
+
+def united(signed: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rounds: labels of all components, and the links that were found."""
+
+    def placed(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"), *more)
+
+    sizes = placed(signed, "bytes").groupBy("sig", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sigs = sizes.groupBy("sig").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("head"), blocks(F.sum("n"), F.sum("bytes")).alias("ins"))
+    heads = durable(sigs.where("parts > 1").select("sig", "head", "ins"), "heads")
+    members = durable(signed.join(heads, "sig").select("sig", "node", "bytes"), "members")
+    info = nodes.select("node", "n", "bits")
+    links: DataFrame | None = None
+    refused: DataFrame | None = None
+    asking: DataFrame | None = None  # nodes that named another one in the last round
+    k = 1
+    while True:
+        now = durable(heads.join(labels.toDF("head", "label"), "head", "left").select("sig", F.coalesce("label", "head").alias("head"), "ins"), "now")
+        rows = members if asking is None else members.join(asking, "node", "left_semi").select("sig", "node", "bytes")
+        asked = durable(placed(rows.join(now, "sig"), "head", "ins", "bytes").where("label <> head").select("sig", "node", "ins", "bytes"), "asked")
+        if asked.isEmpty():
+            return labels, links
+        pairs = durable(nearest(asked, members, info, placed, refused, k), "named")
+        if pairs.isEmpty():
+            return labels, links
+        judged = verified(pairs, sets, "round-links")
+        new, gone = judged.where("linked").select("a", "b"), judged.where("not linked").select("a", "b")
+        links = new if links is None else links.union(new)
+        refused = gone if refused is None else refused.union(gone)
+        asking = durable(ends_of(pairs).distinct(), "asking")
+        labels = components(labels.toDF("a", "b").union(new))
+        k *= 2
 
 
 def within(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs of nodes that share a frequent signature and pass the filters. A signature's nodes are salted into parts
     of about SALTED rows, and each two parts meet in a group of their own."""
     sizes = signed.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
-    here = signed.join(sizes, "sig").join(nodes.select("node", "n", "bits"), "node").withColumn("salts", F.ceil(F.col("rows") / SALTED).cast("int"))
+    here = signed.select("sig", "node").join(sizes, "sig").join(nodes.select("node", "n", "bits"), "node").withColumn("salts", F.ceil(F.col("rows") / SALTED).cast("int"))
     here = here.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     met = here.select("sig", "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"), "node", "n", "bits")
 
@@ -383,7 +428,14 @@ def within(signed: DataFrame, nodes: DataFrame) -> DataFrame:
 
     parts = met.select("sig", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "salt", "node", "n", "bits")
     found = parts.groupBy("sig", "low", "high").applyInArrow(hold, "node long, near binary")
-    return found.groupBy("node").applyInArrow(unite, "a long, b long")
+    return found.groupBy("node").applyInArrow(partners, "a long, b long")
+
+
+def partners(group: pa.Table) -> pa.Table:
+    """A node's partners in all its signatures, each once."""
+    node = group.column(0)[0].as_py()
+    near = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in group.column(1).to_pylist()]))
+    return pa.table({"a": pa.array(np.minimum(near, node)), "b": pa.array(np.maximum(near, node))})
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
@@ -392,41 +444,51 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, ..
     kind = rows.schema["doc_id"].dataType.simpleString()
     mb = input_mb(docs)
     ranges, bits = packed.range_bits(SHINGLES_MB * mb), int(min(64, 40 + max(0, np.ceil(np.log2(max(mb, 1) / 512)))))
-    table = frequent_tokens(rows, bits, ranges)
-    often = bounded_broadcast(spark, table, table.cut.nbytes + table.table.nbytes, TABLE_BOUND, "the frequent tokens")
+    table_bits = int(min(OFTEN_BITS, max(20, np.ceil(np.log2(max(16 * SHINGLES_MB * mb / FREQUENT, 1))))))
+    table = frequent_tokens(rows, bits, ranges, table_bits)
+    often = bounded_broadcast(spark, table, table.table.nbytes, TABLE_BOUND, "the table of frequent tokens")
 
     docs_nodes = durable(nodes_of(rows, often, kind), "nodes")
     nodes = durable(docs_nodes.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "distinct-nodes")
-    signed = durable(docs_nodes.where("size(pairs) > 0").select("node", F.explode("pairs").alias("sig")).distinct(), "signatures")
+    signed = durable(docs_nodes.where("size(pairs) > 0").select("node", F.length("bits").alias("bytes"), F.explode("pairs").alias("sig")).distinct(), "signatures")
 
     return rows, docs_nodes, nodes, signed, rare_candidates(rare_prefixes(rows, often, max(3, ranges)))
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """For each row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest ``doc_id`` reachable by links);
     and the links between distinct sets (``a``, ``b``: nodes) that were verified, which connect every component but are not
     all of its links (``jaccard_links`` has these)."""
     rows, docs_nodes, nodes, signed, rare = prepared(docs, id_col, text_col)
-    links = verified(close(rare.union(star_candidates(signed)).distinct(), nodes), rows, "first")
-    labels = components(links)
-    more = verified(across(signed, nodes, labels), rows, "across")
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
-
-    placed = docs_nodes.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("label", "node").alias("label"))
-    least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "label", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")), links
+    pairs = durable(close(rare.union(star_candidates(signed)).distinct(), nodes), "candidates")
+    sets = sets_for(rows, ends_of(pairs).union(signed.select("node")))
+    links = verified(pairs, sets, "first-links").where("linked").select("a", "b")
+    labels, more = united(signed, nodes, sets, components(links))
+    links = links if more is None else links.union(more)
+
+    # the least id of each node, of each component, and back: pre-aggregated, and joined from written tables
+    least = durable(docs_nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), "least-of-nodes")
+    joined = durable(labels.join(least, "node"), "labelled")
+    of_label = durable(joined.groupBy("label").agg(F.min("least").alias("component")), "least-of-labels")
+    of_node = durable(joined.join(of_label, "label").select("node", "component"), "components")
+    own = durable(least.join(of_node, "node", "left").select("node", F.coalesce("component", "least").alias("component")), "least")
+    placed = docs_nodes.select("doc_id", "n", "node").join(own, "node", "left")
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), links
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """For each row of ``docs``: ``doc_id``, ``n_shingles``, ``node`` (null: no words), ``n_links`` (other rows of similarity
     0.8 or more, copies among them); and all links between distinct sets (``a`` < ``b``: nodes)."""
     rows, docs_nodes, nodes, signed, rare = prepared(docs, id_col, text_col)
-    links = verified(close(rare, nodes).union(within(signed, nodes)).distinct(), rows, "all")
+    pairs = durable(close(rare, nodes).union(within(signed, nodes)).distinct(), "all-candidates")
+    links = verified(pairs, sets_for(rows, ends_of(pairs)), "all-links").where("linked").select("a", "b")
     copies = durable(docs_nodes.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")), "copies")
     ends = links.select("a", "b").union(links.select("b", "a")).toDF("node", "to")
     linked = ends.join(copies.toDF("to", "m"), "to").groupBy("node").agg(F.sum("m").alias("m"))
-    number = copies.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
-    counted = docs_nodes.join(number, "node", "left")
+    number = durable(copies.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("m", F.lit(0))).alias("n_links")), "numbers")
+    counted = docs_nodes.select("doc_id", "n", "node").join(number, "node", "left")
     return counted.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 #: Hashes that a task holds before it sorts and sends them, and hashes that a range should get, about.
 HELD, RANGE = 3_000_000, 500_000
+#: log2 of the number of ranges at most, and hashes that a task holds for each range at least, so that blobs do not get small.
+RANGE_BITS, HELD_RANGE = 20, 16
 
 
 def range_bits(expected: float) -> int:
     """log2 of the number of ranges for so many hashes."""
-    return int(min(16, max(3, np.ceil(np.log2(max(expected, 1) / RANGE)))))
+    return int(min(RANGE_BITS, max(3, np.ceil(np.log2(max(expected, 1) / RANGE)))))
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -66,7 +68,7 @@ def send_counts(chunks: Iterator[np.ndarray], bits: int, ranges: int) -> Iterato
     for chunk in chunks:
         held.append(chunk)
         total += len(chunk)
-        if total >= HELD:
+        if total >= max(HELD, HELD_RANGE << ranges):
             yield flush()
             held, total = [], 0
     if total:
@@ -90,16 +92,6 @@ def _merged(group: pa.Table, ranges: int, bits: int, least: int) -> tuple[int, n
     return group.column("part")[0].as_py(), v[c >= least], c[c >= least]
 
 
-def frequent(sent: DataFrame, ranges: int, bits: int, least: int) -> DataFrame:
-    """The hashes (cut to ``bits``) that were counted ``least`` times or more: ``h``, ``n``."""
-
-    def merge(group: pa.Table) -> pa.Table:
-        part, v, c = _merged(group, ranges, bits, least)
-        return pa.table({"h": (v + (np.uint64(part) << np.uint64(bits - ranges))).astype(np.int64), "n": c})
-
-    return sent.groupBy("part").applyInArrow(merge, "h long, n long")
-
-
 def frequent_bits(sent: DataFrame, ranges: int, bits: int, least: int, table_bits: int) -> np.ndarray:
     """A table of 2^table_bits bits, with those set that a frequent hash has at its top: each range sends its own slice."""
 
