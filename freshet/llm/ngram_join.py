@@ -21,8 +21,8 @@ Stages and what moves (input: texts, read by column once for each of 1 to 3 and
    and links give components;
 5. rounds over the frequent signatures whose nodes lie in several components. A signature's largest component is its
    head. Each node outside the head is held against the signature's nodes in other components, by size and bitmap, in
-   blocks of bounded rows and bytes, and names its nearest node in each of at most k other components (k: 1, 2, 4, ...
-   round by round). These pairs are verified; links unite components, refused pairs are remembered. Who named none is
+   blocks of bounded rows and bytes, and names the k nearest nodes (k: 1, 8, 64, ... round by round). These pairs are
+   verified; links unite components, refused pairs are remembered. Who named none is
    done, since components only grow, so the next round asks the others alone; the rounds end when none is named. A link
    between two components so ends their comparison, and no pair that shares a signature is left out but those already
    connected. What moves is k pairs a node and round; comparisons within a signature are (nodes outside its head) times
@@ -314,8 +314,8 @@ def blocks(rows, size):
 
 
 def nearest(asked: DataFrame, members: DataFrame, info: DataFrame, placed, refused: DataFrame | None, k: int) -> DataFrame:
-    """For each node of ``asked`` (``sig``, ``node``, ``bytes``, ``ins``: blocks of its signature) its nearest node in each of at
-    most k other components among its signatures' ``members``, of those that pass the filters: ``a`` < ``b``. ``info``: ``node``,
+    """For each node of ``asked`` (``sig``, ``node``, ``bytes``, ``ins``: blocks of its signature) its k nearest nodes in other
+    components among its signatures' ``members``, of those that pass the filters: ``a`` < ``b``. ``info``: ``node``,
     ``n``, ``bits``; ``placed`` adds labels; ``refused``: pairs to leave out."""
     dealt = durable(asked.groupBy("sig").agg(blocks(F.count("*"), F.sum("bytes")).alias("outs"), F.first("ins").alias("ins")), "blocks")
     number = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
@@ -349,18 +349,18 @@ def nearest(asked: DataFrame, members: DataFrame, info: DataFrame, placed, refus
                 if len(at):
                     far = distance(rows[fits], mine)
                     near = may_link(far, n[at], n[j])
-                    found.append(np.stack([far[near], node[at[near]], label[at[near]]]))
+                    found.append(np.stack([far[near], node[at[near]]]))
             if found:
-                far, near, of = np.concatenate(found, axis=1)
-                order = np.lexsort((near, far))
-                first = np.sort(np.unique(of[order], return_index=True)[1])[:k]
-                out.extend((node[j], f, x, y) for f, x, y in zip(far[order][first], near[order][first], of[order][first]))
-        columns = list(zip(*out)) or [()] * 4
-        return pa.table({c: pa.array(np.asarray(v, np.int64)) for c, v in zip(("node", "far", "near", "of"), columns)})
-
-    found = outer.unionByName(inner).groupBy("sig", "o", "i").applyInArrow(hold, "node long, far long, near long, of long")
-    best = found.groupBy("node", "of").agg(F.min(F.struct("far", "near")).alias("best"))  # a node is in some of its signatures' blocks
-    named = best.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("best")), 1, k).alias("best")).select("node", F.explode("best.near").alias("near"))
+                far, near = np.concatenate(found, axis=1)
+                order = np.lexsort((near, far))[:k]
+                out.extend((node[j], f, x) for f, x in zip(far[order], near[order]))
+        columns = list(zip(*out)) or [()] * 3
+        return pa.table({c: pa.array(np.asarray(v, np.int64)) for c, v in zip(("node", "far", "near"), columns)})
+
+    found = outer.unionByName(inner).groupBy("sig", "o", "i").applyInArrow(hold, "node long, far long, near long")
+    # a node is in a block of each of its signatures, with k rows at most
+    best = found.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "near"))), 1, k).alias("best"))
+    named = best.select("node", F.explode("best.near").alias("near"))
     return named.select(F.least("node", "near").alias("a"), F.greatest("node", "near").alias("b")).distinct()
 
 
@@ -393,8 +393,19 @@ def united(signed: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFra
         links = new if links is None else links.union(new)
         refused = gone if refused is None else refused.union(gone)
         asking = durable(ends_of(pairs).distinct(), "asking")
-        labels = components(labels.toDF("a", "b").union(new))
-        k *= 2
+        if not new.isEmpty():
+            labels = relabelled(labels, new)
+        k *= 8
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels of components after more links."""
+    edges = links
+    for end in ("a", "b"):
+        edges = edges.join(labels.toDF(end, "to"), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    over = components(edges.select("a", "b"))
+    moved = labels.join(over.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return durable(moved.union(over.join(labels, "node", "left_anti").select("node", "label")), "labels")
 
 
 def within(signed: DataFrame, nodes: DataFrame) -> DataFrame:
