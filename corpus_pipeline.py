@@ -30,15 +30,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of similarity 0.8 connect: the one with the smallest id, a null id last. Rows
-    are told apart by id and text. Of repeated rows (equal id and text) one stays; documents without words stay."""
-    twin = F.xxhash64("text")
-    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", twin.alias("twin")).alias("row_id"), "text")
-    found = durable(jaccard_components(rows, id_col="row_id")[0], "components")
-    gone = found.where("not (doc_id <=> component_id)").select("doc_id.doc_id", "doc_id.twin").distinct().toDF("gone", "gone_twin")
-    kept = docs.withColumn("__twin", twin).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")) & (F.col("__twin") == F.col("gone_twin")), "left_anti")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__twin"])
-    return kept.select(*docs.columns)
+    are told apart by id and text. Of repeated rows (equal id and text) one stays, the one with the least hash of all its
+    columns; documents without words stay."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("twin"))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = durable(jaccard_components(rows.select("key", F.col("row.text").alias("text")), id_col="key")[0], "components")
+    kept = rows.join(found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti")
+    again = durable(found.groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key"), "repeated-rows")
+    if not again.isEmpty():
+        one = kept.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(again, "key", "left_anti").unionByName(one)
+    return kept.select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
