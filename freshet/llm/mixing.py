@@ -10,7 +10,8 @@ Plan: (source, tokens) and (source, block, tokens) are pre-aggregated; running t
 a block, so no source is gathered in one task.
 
 Cases: a null or empty text counts as one token, so it can be placed; a null source is ""; repeated rows are rows of
-their own; the result has the input's columns under ``row``, whatever their names; an empty table gives an empty
+their own; rows with equal keys are ordered by a hash of all their columns, so that the result does not depend on the
+input's order (rows that are equal throughout may change places); the result has the input's columns under ``row``, whatever their names; an empty table gives an empty
 result; one source has weight 1.
 """
 
@@ -79,7 +80,7 @@ def _with_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, tokens: Column, key: list[str], target_entropy: float = 0.95, max_repeats: float = 4.0, budget: float | None = 1.0, seed: int = 1, source_col: str = "source") -> DataFrame:
     """The mixture: ``row`` (the input's columns), ``source``, ``tokens``, ``epoch`` from 0, ``block``, ``position`` (the
     copy's first token in its source's sequence). ``key`` names the columns that are hashed for the order."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"), F.greatest(tokens, F.lit(1)).cast("long").alias("tokens"), F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key]).alias("k"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"), F.greatest(tokens, F.lit(1)).cast("long").alias("tokens"), F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key]).alias("k"), F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]).alias("whole"))
     sources = durable(rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("total")), "mix-sources")
     everything = sources.agg(F.sum("total").alias("t")).first().t or 1
     shares = durable(sources.select("source", "docs", "total", (F.col("total") / F.lit(float(everything))).alias("p")), "mix-shares")
@@ -105,7 +106,7 @@ def mix(docs: DataFrame, tokens: Column, key: list[str], target_entropy: float =
     starts = epochs.withColumn("first", first).where(F.col("first") < F.col("wanted"))
     starts = durable(starts.groupBy("source", "block").agg(F.max("wanted").alias("wanted"), F.array_sort(F.collect_list(F.struct("epoch", "first"))).alias("starts")), "mix-blocks")
 
-    copies = blocked.join(starts, ["source", "block"]).select("row", "source", "tokens", "k", "block", "wanted", F.explode("starts").alias("s")).select("row", "source", "tokens", "k", "block", "wanted", "s.epoch", "s.first")
-    inside = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64("k", "epoch"), "k").rowsBetween(Window.unboundedPreceding, -1)
+    copies = blocked.join(starts, ["source", "block"]).select("row", "source", "tokens", "k", "whole", "block", "wanted", F.explode("starts").alias("s")).select("row", "source", "tokens", "k", "whole", "block", "wanted", "s.epoch", "s.first")
+    inside = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64("k", "epoch"), "k", "whole").rowsBetween(Window.unboundedPreceding, -1)
     placed = copies.withColumn("position", F.col("first") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     return placed.where(F.col("position") < F.col("wanted")).select("row", "source", "tokens", "epoch", "block", "position")
