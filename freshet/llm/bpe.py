@@ -4,7 +4,9 @@ Method: a contiguous rank array. A word is held as a row of parts with the rank
 beside it; the least rank is found by a scan, the boundary between its two parts is deleted, and the
 ranks on both sides are refreshed, until no pair can be merged.
 
-Cases: a null text is an empty text; an empty text has no tokens and decodes to an empty text; a very
+Characters that Python's Unicode tables do not know yet are normalised and classed by the library's; all merging is done here.
+
+Cases: of pairs with equal rank, which are the same pair, the leftmost is merged first; a null text is an empty text; an empty text has no tokens and decodes to an empty text; a very
 long chunk without white space is merged through a heap with the same result; repeated rows each give
 a row; extra columns are ignored; an empty table gives an empty result.
 """
@@ -58,6 +60,7 @@ class WordBPE:
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
+        self.pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         letters = byte_letters()
         self.inner = [vocab[x] for x in letters]
         self.last = [vocab[x + self.end] for x in letters]
@@ -128,8 +131,7 @@ class WordBPE:
             lowered = chunk.lower()
             words = (lowered,) if lowered.isalpha() else ASCII_WORDS.findall(lowered)
         else:
-            lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            words = (lowered,) if lowered.isalpha() else WORDS.findall(lowered)
+            words = self.other_words(chunk)
         ids = self.word(words[0]) if len(words) == 1 else tuple(i for word in words for i in self.word(word))
         if len(chunk) <= REMEMBERED_CHARS:
             if len(self.known) >= CHUNKS:
@@ -137,6 +139,23 @@ class WordBPE:
             self.known[chunk] = ids
         return ids
 
+    @functools.cached_property
+    def library_rules(self):
+        """The library's normal form and split into words."""
+        import tokenizers
+
+        normal = tokenizers.normalizers.Sequence([tokenizers.normalizers.NFC(), tokenizers.normalizers.Lowercase()])
+        return normal, tokenizers.pre_tokenizers.Split(tokenizers.Regex(self.pattern), "removed", invert=True)
+
+    def other_words(self, chunk: str) -> tuple[str, ...] | list[str]:
+        """The words of a chunk that is not ASCII."""
+        if any(unicodedata.category(c) == "Cn" for c in chunk):
+            # not in Python's Unicode tables: normal form, case and class are those of the library's own tables
+            normal, split = self.library_rules
+            return [w for w, _ in split.pre_tokenize_str(normal.normalize_str(chunk))]
+        lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        return (lowered,) if lowered.isalpha() else WORDS.findall(lowered)
+
     def ordinary(self, text: str) -> list[int]:
         chunks = SPACES.split(text) if SEPARATORS.search(text) else text.split()
         known, out = self.known.get, []
