@@ -33,7 +33,62 @@ TEMPLATE_BOUND = 64_000_000
 _PUNCTUATION = string.punctuation.encode()
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
 
-#: Short forms and opening notices of common licenses.
+#: Whole texts of short licenses and notices.
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
+to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_2_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_3_CLAUSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked
+as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+distribution."""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any
+and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to
+the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present
+and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed
+to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public
+License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+#: Short forms, opening notices and whole texts of common licenses.
 TEMPLATES = {
     "MIT-short": "Released under the MIT License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -47,6 +102,15 @@ TEMPLATES = {
     "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-text": MIT_TEXT,
+    "BSD-2-Clause-text": BSD_2_TEXT,
+    "BSD-3-Clause-text": BSD_2_TEXT.replace("THIS SOFTWARE IS", f"{BSD_3_CLAUSE} THIS SOFTWARE IS", 1),
+    "ISC-text": ISC_TEXT,
+    "Zlib-text": ZLIB_TEXT,
+    "Unlicense-text": UNLICENSE_TEXT,
+    "Apache-2.0-notice": APACHE_NOTICE,
+    "GPL-3.0-notice": GPL_NOTICE,
+    "MPL-2.0-notice": MPL_NOTICE,
 }
 
 
@@ -54,18 +118,19 @@ def shingles(text: str) -> np.ndarray:
     return combined(word_hashes(text.encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION))[1], WORDS)
 
 
-def signatures(tokens: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """A row for each band: its hash for each window of ``size`` shingles."""
-    out = np.zeros((BANDS, len(starts)), np.uint64)
+def signatures(tokens: np.ndarray, windows: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """For each (starts, size): a row for each band, its hash for each window of ``size`` shingles. The shingles are hashed once
+    a seed; the least hashes of 1, 2, 4, ... shingles are shared by all sizes, two of which cover a window."""
+    out = [np.zeros((BANDS, len(starts)), np.uint64) for starts, _ in windows]
+    levels = max(size for _, size in windows).bit_length() - 1
     for k, seed in enumerate(_SEEDS):
-        least = mixed(tokens ^ seed)
-        have = 1
-        while 2 * have <= size:
-            least = np.minimum(least[:-have], least[have:])
-            have *= 2
-        if have < size:
-            least = np.minimum(least[: len(least) - (size - have)], least[size - have :])
-        out[k // BAND_ROWS] = mixed(out[k // BAND_ROWS] * np.uint64(0x9E3779B97F4A7C15) + least[starts] + np.uint64(k))
+        least = [mixed(tokens ^ seed)]
+        for j in range(levels):
+            least.append(np.minimum(least[j][: -(1 << j)], least[j][1 << j :]))
+        for rows, (starts, size) in zip(out, windows):
+            j = size.bit_length() - 1
+            least_here = np.minimum(least[j][starts], least[j][starts + size - (1 << j)])
+            rows[k // BAND_ROWS] = mixed(rows[k // BAND_ROWS] * np.uint64(0x9E3779B97F4A7C15) + least_here + np.uint64(k))
     return out
 
 
@@ -79,7 +144,7 @@ class Templates:
                 raise ValueError(f"the template {name} has fewer than {WORDS} words")
             self.sets[name] = set(tokens.tolist())
             tables = self.bands.setdefault(len(tokens), [{} for _ in range(BANDS)])
-            for table, h in zip(tables, signatures(tokens, np.zeros(1, np.int64), len(tokens))[:, 0].tolist()):
+            for table, h in zip(tables, signatures(tokens, [(np.zeros(1, np.int64), len(tokens))])[0][:, 0].tolist()):
                 table.setdefault(h, []).append(name)
         self.sizes = {name: len(shingles(text)) for name, text in templates.items()}
         self.all = np.unique(np.fromiter((t for s in self.sets.values() for t in s), np.uint64))
@@ -92,13 +157,16 @@ class Templates:
         hint = np.flatnonzero(self.hint[(tokens >> np.uint64(48)).astype(np.int64)])
         if not len(hint) or not np.isin(tokens[hint], self.all).any():
             return []
-        found: dict[str, None] = {}
-        for size, tables in self.bands.items():
+        windows = []
+        for size in self.bands:
             # a text that is shorter than the template is one window
             starts = np.arange(0, max(1, len(tokens) - size + 1), max(1, size // STRIDES))
             if len(tokens) > size and starts[-1] != len(tokens) - size:
                 starts = np.append(starts, len(tokens) - size)
-            for table, row in zip(tables, signatures(tokens, starts, min(size, len(tokens)))):
+            windows.append((starts, min(size, len(tokens))))
+        found: dict[str, None] = {}
+        for tables, rows in zip(self.bands.values(), signatures(tokens, windows)):
+            for table, row in zip(tables, rows):
                 for h in np.intersect1d(row, np.fromiter(table, np.uint64)).tolist():
                     found.update(dict.fromkeys(table[h]))
         return list(found)
