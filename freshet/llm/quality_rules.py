@@ -2,12 +2,14 @@
 
 Method: each text has a vector of transformed statistics (log mean word length, log symbols a word, share of
 repeated lines, share of words in repeated 3-word windows). For each language and source the minimum
-covariance determinant is estimated: from medians and absolute deviations, concentration steps take the three
-quarters of the rows with the least Mahalanobis distance and estimate mean and covariance anew. Rows
-whose distance under the final, consistency-corrected estimate exceeds a chi-square quantile are rejected.
+covariance determinant is estimated. It has three fixed starts (medians with absolute deviations, means with covariances,
+medians with the covariance of spatial signs). Concentration steps take the rows with the least Mahalanobis
+distance, three quarters or a little more, and estimate mean and covariance anew, corrected for the share that was
+taken; after FIRST_STEPS each group keeps the start with the least determinant, and goes on until its determinant falls no
+more (STEPS at most). Rows whose distance under the estimate exceeds a chi-square quantile are rejected.
 
 Each step is one pre-aggregated shuffle of (group, distance bin) sums, so a hot group is never gathered; the
-three quarters are taken by whole bins of distance. A group with fewer than MIN_GROUP usable rows takes its
+three quarters are taken by whole bins of distance, so rows of equal distance stay together. A group with fewer than MIN_GROUP usable rows takes its
 language's estimate, then that of all rows; where even these are fewer, no row is rejected by the method. The
 variance of each statistic has a floor (its resolution), since most texts have no symbol or repeat.
 
@@ -31,8 +33,10 @@ DIMENSIONS = 4
 #: Least standard deviation of each statistic: its resolution. A share of repeated lines or words of 0.25 above the
 #: group's centre is beyond the cutoff by itself.
 FLOORS = (0.08, 0.05, 0.05, 0.05)
-#: Rows from which a group has its own estimate; share of the rows that are concentrated on; steps; chi-square quantile.
-MIN_GROUP, SUBSET, STEPS, QUANTILE = 40, 0.75, 4, 0.9999
+#: Rows from which a group has its own estimate; share of the rows that are concentrated on; chi-square quantile.
+MIN_GROUP, SUBSET, QUANTILE = 40, 0.75, 0.9999
+#: Concentration steps of every start, and of the best one at most; the fall of ln(determinant) from which steps go on.
+FIRST_STEPS, STEPS, FALL = 2, 10, 1e-3
 #: Bins of ln(distance^2) to one unit; groups whose estimates are broadcast at most (about 200 bytes each); files of their table.
 BINS, BROADCAST_GROUPS, FILES = 8, 50_000, 4
 
@@ -51,8 +55,15 @@ def chi_square_quantile(p: float, half: int) -> float:
 
 
 CUTOFF = chi_square_quantile(QUANTILE, DIMENSIONS // 2)
-#: What makes the covariance of the inner three quarters that of all, for normal rows.
-CONSISTENCY = SUBSET / chi_square(chi_square_quantile(SUBSET, DIMENSIONS // 2), DIMENSIONS // 2 + 1)
+#: What makes the covariance of the inner rows that of all, for normal rows, by their share: from SUBSET to 1 in steps of 1/SHARES.
+SHARES = 200
+
+
+def consistency(share: float) -> float:
+    return 1.0 if share >= 1 else share / chi_square(chi_square_quantile(share, DIMENSIONS // 2), DIMENSIONS // 2 + 1)
+
+
+CONSISTENCY = [consistency(k / SHARES) for k in range(int(SUBSET * SHARES), SHARES + 1)]
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -99,15 +110,18 @@ def with_statistics(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     return counted.select("row", "lang", "source", F.inline(F.array(F.struct(*made))))
 
 
+PAIRS = [(i, j) for i in range(DIMENSIONS) for j in range(i + 1)]
+
+
 def _factor(groups: DataFrame, covariance: dict[tuple[int, int], Column]) -> DataFrame:
-    """Adds the Cholesky factor ``l_ij`` of the covariance with floors, an entry at a time."""
+    """Adds the Cholesky factor ``l_ij`` of the covariance with floors, an entry at a time, and ``size``, ln(determinant)."""
     for i in range(DIMENSIONS):
         for j in range(i + 1):
             rest = covariance[i, j] + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return groups
+    return groups.withColumn("size", 2 * sum((F.log(f"l{i}{i}") for i in range(1, DIMENSIONS)), F.log("l00")))
 
 
 MODEL = [f"m{i}" for i in range(DIMENSIONS)] + [f"l{i}{j}" for i in range(DIMENSIONS) for j in range(i + 1)]
@@ -123,31 +137,70 @@ def _with_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") ** 2 for i in range(1, DIMENSIONS)), F.col("z0") ** 2))
 
 
+KEY = ["level", "g_lang", "g_source"]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """The three starts of each group that has rows enough: KEY, ``start``, ``n``, the columns MODEL, ``size``."""
+    x = [f"x{i}" for i in range(DIMENSIONS)]
+    middle = durable(rows.groupBy(KEY).agg(F.count("*").alias("n"), *[F.percentile(F.round(c, 3), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(x)]).where(F.col("n") >= MIN_GROUP), "mcd-medians", FILES)
+    spread = rows.join(small(middle, BROADCAST_GROUPS), KEY).groupBy(KEY).agg(*[F.percentile(F.round(F.abs(F.col(c) - F.col(f"m{i}")), 3), F.lit(0.5)).alias(f"s{i}") for i, c in enumerate(x)])
+    centre = middle.join(spread, KEY).select(*KEY, "n", *[f"m{i}" for i in range(DIMENSIONS)], *[F.greatest(1.4826 * F.col(f"s{i}"), F.lit(FLOORS[i])).alias(f"s{i}") for i in range(DIMENSIONS)], *[F.col(f"s{i}").alias(f"d{i}") for i in range(DIMENSIONS)])
+    centre = durable(centre, "mcd-centres", FILES)
+    off = rows.join(small(centre, BROADCAST_GROUPS), KEY).select(*KEY, *[(F.col(x[i]) - F.col(f"m{i}")).alias(f"o{i}") for i in range(DIMENSIONS)], *[((F.col(x[i]) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(DIMENSIONS)])
+    off = off.withColumn("length", sum((F.col(f"z{i}") ** 2 for i in range(1, DIMENSIONS)), F.col("z0") ** 2))
+    sums = off.groupBy(KEY).agg(*[F.avg(f"o{i}").alias(f"a{i}") for i in range(DIMENSIONS)], *[F.avg(F.col(f"o{i}") * F.col(f"o{j}")).alias(f"b{i}{j}") for i, j in PAIRS], *[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.greatest("length", F.lit(1e-9))).alias(f"g{i}{j}") for i, j in PAIRS])
+    known = durable(centre.join(sums, KEY), "mcd-sums", FILES)
+    ways = [
+        ([F.col(f"m{i}") for i in range(DIMENSIONS)], {(i, j): (F.col(f"d{i}") * 1.4826) ** 2 if i == j else F.lit(0.0) for i, j in PAIRS}),
+        ([F.col(f"m{i}") + F.col(f"a{i}") for i in range(DIMENSIONS)], {(i, j): F.col(f"b{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}") for i, j in PAIRS}),
+        ([F.col(f"m{i}") for i in range(DIMENSIONS)], {(i, j): DIMENSIONS * F.col(f"s{i}") * F.col(f"s{j}") * F.col(f"g{i}{j}") for i, j in PAIRS}),
+    ]
+    each = [known.select(*KEY, F.lit(k).alias("start"), "n", *[m.alias(f"m{i}") for i, m in enumerate(means)], *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()]) for k, (means, cov) in enumerate(ways)]
+    return durable(_factor(each[0].union(each[1]).union(each[2]), {(i, j): F.col(f"c{i}{j}") for i, j in PAIRS}).select(*KEY, "start", "n", *MODEL, "size"), "mcd-starts", FILES)
+
+
+def concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """One step: each start's estimate from the rows that are nearest under ``model``."""
+    by = [*KEY, "start"]
+    near = _with_distance(rows.join(small(model, BROADCAST_GROUPS), KEY)).withColumn("bin", F.floor(BINS * F.log(F.col("d2") + 1e-6)))
+    off = [(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(DIMENSIONS)]
+    sums = near.groupBy(*by, "bin").agg(F.count("*").alias("c"), *[F.sum(o).alias(f"a{i}") for i, o in enumerate(off)], *[F.sum(off[i] * off[j]).alias(f"b{i}{j}") for i, j in PAIRS])
+    before = Window.partitionBy(by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    inner = sums.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).join(model.select(*by, "n"), by).where(F.col("before") < F.col("n") * SUBSET)
+    total = inner.groupBy(by).agg(F.sum("c").alias("c"), *[F.sum(f"a{i}").alias(f"a{i}") for i in range(DIMENSIONS)], *[F.sum(f"b{i}{j}").alias(f"b{i}{j}") for i, j in PAIRS])
+    moved = model.select(*by, "n", *[F.col(f"m{i}").alias(f"o{i}") for i in range(DIMENSIONS)]).join(total, by)
+    moved = moved.withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"a{i}") / F.col("c") for i in range(DIMENSIONS)})
+    share = F.floor(F.col("c") / F.col("n") * SHARES).cast("int") - int(SUBSET * SHARES)
+    scale = F.get(F.array(*[F.lit(c) for c in CONSISTENCY]), F.greatest(share, F.lit(0)))
+    covariance = {(i, j): scale * (F.col(f"b{i}{j}") / F.col("c") - F.col(f"a{i}") / F.col("c") * F.col(f"a{j}") / F.col("c")) for i, j in PAIRS}
+    return _factor(moved, covariance).select(*by, "n", *MODEL, "size")
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """Each group's estimate of the least determinant: KEY, ``start``, the columns MODEL, ``size``."""
+    by = [*KEY, "start"]
+    model = starts(rows)
+    for _ in range(FIRST_STEPS):
+        model = durable(concentrated(rows, model), "mcd-step", FILES)
+    chosen = model.groupBy(KEY).agg(F.min(F.struct("size", "start")).alias("best")).select(*KEY, "best.start")
+    done = model = durable(model.join(chosen, by), "mcd-chosen", FILES)
+    for _ in range(STEPS - FIRST_STEPS):  # ``done``: the best of each group so far; ``model``: those that still fall
+        if model.isEmpty():
+            break
+        after = durable(concentrated(rows, model), "mcd-step", FILES)
+        fallen = after.join(model.select(*by, F.col("size").alias("was")), by).where(F.col("size") < F.col("was") - FALL).drop("was")
+        fallen = durable(fallen, "mcd-fallen", FILES)
+        done = durable(done.join(fallen.select(by), by, "left_anti").unionByName(fallen), "mcd-done", FILES)
+        model = fallen
+    return done
+
+
 def fit_groups(stats: DataFrame) -> DataFrame:
     """The estimate of each language and source: ``lang``, ``source``, and the columns MODEL (null: none)."""
     x = [f"x{i}" for i in range(DIMENSIONS)]
-    key = ["level", "g_lang", "g_source"]
     levels = F.array(*[F.struct(F.lit(i).alias("level"), a.alias("g_lang"), b.alias("g_source")) for i, (a, b) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), F.lit("")), (F.lit(""), F.lit(""))])])
-    rows = stats.where(~F.col("base_failed")).select(F.explode(levels).alias("key"), *x).select("key.*", *x)
-
-    middle = durable(rows.groupBy(key).agg(F.count("*").alias("n"), *[F.percentile(F.round(c, 3), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(x)]).where(F.col("n") >= MIN_GROUP), "mcd-medians", FILES)
-    spread = rows.join(small(middle, BROADCAST_GROUPS), key).groupBy(key).agg(*[F.percentile(F.round(F.abs(F.col(c) - F.col(f"m{i}")), 3), F.lit(0.5)).alias(f"s{i}") for i, c in enumerate(x)])
-    covariance = {(i, j): (F.col(f"s{i}") * 1.4826) ** 2 if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(i + 1)}
-    model = durable(_factor(middle.join(spread, key), covariance).select(*key, "n", *MODEL), "mcd-start", FILES)
-    pairs = list(dict.fromkeys((i, j) for i in range(DIMENSIONS) for j in range(i + 1)))
-    for step in range(STEPS):
-        last = step == STEPS - 1
-        near = _with_distance(rows.join(small(model, BROADCAST_GROUPS), key)).withColumn("bin", F.floor(BINS * F.log(F.col("d2") + 1e-6)))
-        off = [(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(DIMENSIONS)]
-        sums = near.groupBy(*key, "bin").agg(F.count("*").alias("c"), *[F.sum(o).alias(f"a{i}") for i, o in enumerate(off)], *[F.sum(off[i] * off[j]).alias(f"b{i}{j}") for i, j in pairs])
-        before = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        inner = sums.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).join(model.select(*key, "n"), key).where(F.col("before") < F.col("n") * SUBSET)
-        total = inner.groupBy(key).agg(F.sum("c").alias("c"), *[F.sum(f"a{i}").alias(f"a{i}") for i in range(DIMENSIONS)], *[F.sum(f"b{i}{j}").alias(f"b{i}{j}") for i, j in pairs])
-        scale = CONSISTENCY if last else 1.0
-        moved = model.select(*key, "n", *[F.col(f"m{i}").alias(f"o{i}") for i in range(DIMENSIONS)]).join(total, key)
-        moved = moved.withColumns({f"m{i}": F.col(f"o{i}") + F.col(f"a{i}") / F.col("c") for i in range(DIMENSIONS)})
-        covariance = {(i, j): F.lit(scale) * (F.col(f"b{i}{j}") / F.col("c") - F.col(f"a{i}") / F.col("c") * F.col(f"a{j}") / F.col("c")) for i, j in pairs}
-        model = durable(_factor(moved, covariance).select(*key, "n", *MODEL), "mcd-step", FILES)
+    model = estimates(stats.where(~F.col("base_failed")).select(F.explode(levels).alias("key"), *x).select("key.*", *x))
 
     groups = stats.select("lang", "source").distinct()
     for k, by in enumerate((["lang", "source"], ["lang"], [])):
