@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.llm import oracles
 from freshet.llm.common import table
 
 #: The rules of the registered url query.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+OP2_SQL = oracles.OP2
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +43,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from freshet.llm.secrets import secret_spans
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    found = secret_spans(table(spark, sf_dir, "documents"))
+    found = secret_spans(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     def number(kind: str):
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -64,20 +68,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "row.source", n.cast("long").alias("n_lines"), (n - kept).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
 
-OP2_SQL = r"""
-WITH pages AS (SELECT doc_id, source, text, coalesce(source, '') AS host FROM documents),
-lines AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM pages),
-totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
-common AS (
-  SELECT l.host, l.line FROM (SELECT host, line, count(DISTINCT doc_id) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY host, line) l
-  JOIN totals t ON l.host = t.host WHERE l.n >= 5 AND l.n > 0.1 * t.pages),
-marked AS (SELECT l.doc_id, l.line, l.pos, c.line IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.host = c.host AND l.line = c.line),
-joined AS (SELECT doc_id, count(*) AS n, sum(gone::INT) AS d, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM marked GROUP BY doc_id)
-SELECT p.doc_id, p.source, coalesce(j.n, 0)::BIGINT AS n_lines, coalesce(j.d, 0)::BIGINT AS n_dropped, j.kept AS text
-FROM pages p LEFT JOIN joined j ON p.doc_id = j.doc_id
-"""
-
-
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from freshet.llm.quality_rules import fit_groups, judged, with_statistics
     from freshet.llm.common import durable
@@ -114,9 +104,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_matches(table(spark, sf_dir, "documents"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone decide of op1's rows."""
+    found = op1_url_filter(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fixed patterns find of op5's rows."""
+    return op5_secrets(spark, sf_dir).drop("spans")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and fixed rules of op6's rows."""
+    return op6_quality_rules(spark, sf_dir).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_line_dedup": op2_line_dedup, "op3_bpe": op3_bpe, "op4_substring_dedup": op4_substring_dedup, "op5_secrets": op5_secrets, "op6_quality_rules": op6_quality_rules, "op7_top_k": op7_top_k, "op8_mixing": op8_mixing, "op9_jaccard_join": op9_jaccard_join, "op10_license_scan": op10_license_scan}
+    ops = [op1_url_filter, op2_line_dedup, op3_bpe, op4_substring_dedup, op5_secrets, op6_quality_rules, op7_top_k, op8_mixing, op9_jaccard_join, op10_license_scan]
+    return {f.__name__: f for f in [*ops, url_rules, secret_base, quality_base]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    """SQL where it can express a query. ``url_rules``, ``secret_base`` and ``quality_base`` are the columns of op1, op5 and op6 that
+    it can express."""
+    return {"op2_line_dedup": oracles.OP2, "op7_top_k": oracles.TOP_K, "op9_jaccard_join": oracles.JACCARD, "url_rules": oracles.url_rules(URL_RULES), "secret_base": oracles.SECRET_BASE, "quality_base": oracles.QUALITY_BASE}
