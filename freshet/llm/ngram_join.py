@@ -210,7 +210,8 @@ def rare_prefixes(rows: DataFrame, often, ranges: int) -> DataFrame:
         for _, sets in sets_of(batches):
             for x in sets:
                 if len(x) > 3:  # smaller sets are similar to equal ones only
-                    few = x[~table.of(x)][: len(x) - required(len(x)) + 1]
+                    # prefixes have small hashes, being the first in order: spread them again, so that ranges fill alike
+                    few = mixed(x[~table.of(x)][: len(x) - required(len(x)) + 1] + np.uint64(1))
                     k = len(few)
                     held.append((few, np.full(k, set_id(x), np.int64), np.full(k, len(x), np.uint32), np.arange(k, dtype=np.uint32)))
                     total += k
