@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     names one, else (tests on one machine) a temporary folder, which is then put into that setting."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="freshet-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
