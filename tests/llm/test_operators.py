@@ -56,6 +56,15 @@ def test_url_rules_and_method(spark):
     assert url_filter.url_filter(pages.limit(0), rules).count() == 0
 
 
+def test_labelled_rows_are_a_parameter(spark):
+    labelled = spark.createDataFrame([("http://bad.example/x", 1)] * 3 + [("http://good.example/y", 0)] * 3, "url string, label int")
+    pages = spark.createDataFrame([(1, "http://bad.example/x"), (2, "http://good.example/y"), (3, None)], "page_id long, url string")
+    got = url_filter.url_filter(pages, [], labelled, prior=None).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block", "allow", "allow"]
+    one_side = url_filter.url_filter(pages, [], labelled, prior=None, most_labelled=1).collect()
+    assert len({r.verdict for r in one_side if r.page_id < 3}) == 1
+
+
 def test_url_method_holds_out():
     labels = url_filter.built_in_labels()
     right = 0
@@ -113,6 +122,19 @@ def test_bpe_is_the_library(spark, texts):
     assert bpe.bpe_encode(frame(spark, texts).limit(0), path).count() == 0
 
 
+def test_bpe_of_every_code_point():
+    """Each code point between two letters, and after a letter with a mark that may combine: the library's ids."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), bpe.encoder(bpe.read_vocabulary(path))
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(points), 5000):
+        text = " ".join(f"a{chr(c)}b" for c in points[start : start + 5000])
+        if own.encode(text) != library.encode(text, add_special_tokens=False).ids:
+            assert [c for c in points[start : start + 5000] if own.encode(f"a{chr(c)}b") != library.encode(f"a{chr(c)}b", add_special_tokens=False).ids] == []
+            raise AssertionError(hex(points[start]))
+
+
 # --- 4 substrings ---
 
 
@@ -182,13 +204,67 @@ def test_secrets(spark):
     assert secrets.secret_spans(frame(spark, texts).limit(0)).count() == 0
 
 
+def plain_cost(value, words):
+    """The least cost over every segmentation, one by one: each segment's cost is found from its text and what is before it."""
+    def cost(i, j):
+        x, low, out = value[i:j], value[i:j].lower(), []
+        out.append(("brute", sum(np.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in x)))
+        if low in words:
+            out.append(("word", words[low] + 0.3 * (x != low)))
+        elif low.translate(secrets.LEET) in words:
+            out.append(("word", words[low.translate(secrets.LEET)] + 0.6))
+        if (m := secrets.DATE.match(value, i)) and m.end() == j:
+            out.append(("date", secrets.DATE_COST))
+        if len(x) >= 4 and all(secrets.neighbours(c, d) for c, d in zip(low, low[1:])):
+            out.append(("walk", secrets.WALK_START + secrets.WALK_STEP * len(x)))
+        if len(x) >= 3 and len(set(x)) == 1:
+            out.append(("repeat", secrets.brute_cost(x[0]) + secrets.REPEAT_COST + np.log10(len(x))))
+        if 2 <= len(x) <= 8 and i >= len(x) and value[i - len(x) : i] == x:
+            out.append(("repeat", secrets.REPEAT_COST))
+        return out
+
+    best = np.inf
+    for cuts in range(1 << (len(value) - 1)):
+        ends = [0, *(k + 1 for k in range(len(value) - 1) if cuts >> k & 1), len(value)]
+        best = min(best, sum(secrets.SEGMENT_COST + min(c for _, c in cost(i, j)) for i, j in zip(ends, ends[1:])))
+    return best
+
+
 def test_guess_cost_is_least():
     """The programme against all segmentations of short values."""
-    cost = {v: secrets.segmentation(v)[0] for v in ("password", "passwordx7", "aaaa", "qwerty", "zxcvbnm1", "x7Gk!p2", "2019", "abcabcabc")}
-    assert cost["password"] < 1 and cost["password"] < cost["passwordx7"] < cost["password"] + 3 and cost["aaaa"] < 4 and cost["abcabcabc"] < 5 and cost["x7Gk!p2"] == pytest.approx(7 + secrets.SEGMENT_COST)
-    for v in cost:
+    rng, known = random.Random(7), secrets.dictionary(tuple(secrets.COMMON))
+    values = ["password", "p@ssw0rd", "aaaa", "qwerty", "zxcvbnm1", "x7Gk!p2", "2019", "abcabcabc", "Admin123", "31.12.19", "xx11111y"]
+    values += ["".join(rng.choice("pasword1@2zxcQ!") for _ in range(rng.randrange(1, 10))) for _ in range(60)]
+    for v in values:
         total, parts = secrets.segmentation(v)
-        assert parts[0][0] == 0 and parts[-1][1] == len(v) and all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and total <= len(v) * secrets.BRUTE_COST + secrets.SEGMENT_COST
+        assert total == pytest.approx(plain_cost(v, known.cost)), v
+        assert parts[0][0] == 0 and parts[-1][1] == len(v) and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_names_and_words_are_no_secrets(tmp_path):
+    import json
+
+    vocabulary = tmp_path / "v.json"
+    vocabulary.write_text(json.dumps({"model": {"end_of_word_suffix": "</w>", "vocab": {"x": 0, "development</w>": 1, "environment</w>": 2, "process</w>": 3, "settings</w>": 4, "a1</w>": 5}}}))
+    words = secrets.ranked_words(str(vocabulary))
+    assert words[len(secrets.COMMON) :] == ["development", "environment", "process", "settings"]
+    known = secrets.Dictionary(words)
+    for text in ("auth_key: development", "credential: environment", "access_key = process.env.ACCESS_KEY", "private_key=${PRIVATE_KEY}", "pwd: os.environ[", "credential = YOUR_API_KEY_HERE"):
+        assert secrets.scan(text, known) == [], text
+    # a value that goes on beyond a fixed pattern's span is judged whole; one inside it is not
+    assert secrets.scan("password = hunter2!x9$Kq#Zz@1", known) == [("assign", 0, 18), ("guess", 11, 29)]
+    assert secrets.scan("password = hunter2x9KqZz1", known) == [("assign", 0, 25)]
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        began = time.perf_counter()
+        assert len(secrets.scan("password=abcdefgh " * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 0.5
 
 
 # --- 6 quality ---
@@ -214,43 +290,38 @@ def test_quality_counts(spark, texts):
         assert tuple(r)[1:6] == c and r.base_failed == (c[0] < 50 or 100 * c[4] > 50 * c[0]), (r, c)
 
 
-def plain_mcd(x):
-    """The same estimate in numpy."""
-    def factor(cov):
-        low = np.zeros((4, 4))
-        for i in range(4):
-            for j in range(i + 1):
-                rest = cov[i, j] + (quality_rules.FLOORS[i] ** 2 if i == j else 0) - low[i, :j] @ low[j, :j]
-                low[i, j] = np.sqrt(max(rest, quality_rules.FLOORS[i] ** 2 / 4)) if i == j else rest / low[j, j]
-        return low
+def least_determinant(x, take):
+    """The subset of so many rows with the least determinant (floors included), by trying all of them."""
+    import itertools
+
+    floors = np.diag(np.square(quality_rules.FLOORS))
+    return min((np.linalg.slogdet(np.cov(x[list(rows)].T, bias=True) + floors)[1], rows) for rows in itertools.combinations(range(len(x)), take))[1]
 
-    m = np.median(x.round(3), axis=0)
-    low = factor(np.diag((1.4826 * np.median(np.abs(x - m).round(3), axis=0)) ** 2))
-    for step in range(quality_rules.STEPS):
-        d = (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0)
-        b = np.floor(quality_rules.BINS * np.log(d + 1e-6))
-        near = x[[np.count_nonzero(b < v) < quality_rules.SUBSET * len(x) for v in b]]
-        m = near.mean(axis=0)
-        low = factor(np.cov(near.T, bias=True) * (quality_rules.CONSISTENCY if step == quality_rules.STEPS - 1 else 1))
-    return m, low
+
+def test_estimates_are_of_the_least_determinant(spark, monkeypatch):
+    """Small groups with outliers, against an exhaustive search: the same rows lie within the cutoff."""
+    monkeypatch.setattr(quality_rules, "MIN_GROUP", 10)
+    rng, rows, truth = np.random.default_rng(3), [], {}
+    for g in range(4):
+        x = rng.normal([1.5, 0.2, 0.1, 0.2], 0.04, (12, 4))
+        x[9:] += rng.choice([-1, 1], (3, 4)) * rng.uniform(0.6, 2.0, (3, 4)) if g else 0
+        rows += [(f"l{g}", "s", False, *map(float, r.round(6))) for r in x]
+        inner = x[list(least_determinant(x.round(6), 9))]
+        cov = quality_rules.consistency(0.75) * np.cov(inner.T, bias=True) + np.diag(np.square(quality_rules.FLOORS))
+        off = x - inner.mean(axis=0)
+        truth[f"l{g}"] = np.einsum("ij,ij->i", off @ np.linalg.inv(cov), off) <= quality_rules.CUTOFF
+    stats = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, x0 double, x1 double, x2 double, x3 double").coalesce(1)
+    got = quality_rules.judged(stats, quality_rules.fit_groups(stats)).toPandas()
+    place = {tuple(r[3:]): i % 12 for i, r in enumerate(rows)}
+    for r in got.itertuples():
+        assert r.kept == truth[r.lang][place[r.x0, r.x1, r.x2, r.x3]], r
+    assert sum((~v).sum() for v in truth.values()) == 9
 
 
 def test_quality_outliers(spark):
     rng = random.Random(2)
     texts = [prose(rng, rng.randrange(60, 200)) for _ in range(120)] + [" ".join(w + "###" for w in prose(rng, 80).split()) for _ in range(6)] + [None, "", "short"]
     docs = frame(spark, texts)
-    stats = quality_rules.with_statistics(docs)
-    rows = stats.select("row.doc_id", "lang", "source", "base_failed", "x0", "x1", "x2", "x3").toPandas()
-    groups = quality_rules.fit_groups(stats)
-    model = groups.toPandas()
-    own = rows[~rows.base_failed]
-    for g in model.itertuples():
-        part = own[(own.lang == g.lang) & (own.source == g.source)]
-        for level in (part, own[own.lang == g.lang], own):
-            if len(level) >= quality_rules.MIN_GROUP:
-                m, low = plain_mcd(level[["x0", "x1", "x2", "x3"]].to_numpy())
-                assert np.allclose([g.m0, g.m1, g.m2, g.m3], m) and np.allclose([g.l00, g.l10, g.l33, g.l32], [low[0, 0], low[1, 0], low[3, 3], low[3, 2]])
-                break
     kept = {r.doc_id for r in quality_rules.quality_filter(docs).collect()}
     assert kept == set(range(120))
     empty = quality_rules.quality_filter(docs.limit(0))
@@ -288,6 +359,19 @@ def test_top_k(spark):
     assert topk.top_k(few, few).count() == 6 and topk.top_k(few.limit(0), few.limit(0)).count() == 0 and topk.top_k(few.limit(1), few.limit(1)).count() == 0
 
 
+def test_top_k_of_any_size(spark):
+    """Components beyond 64 bits: ranks follow the exact scores, and a score that does not fit is the nearest that does."""
+    vectors = {0: [1.0], 1: [1e8], 2: [2e8], 3: [3e8], 4: [1e30], 5: [3e38], 6: [-3e38], 7: [2.9e38], 8: [5e17, 1e20], 50: [3e38, 1e-3], 100: [-1e20, 2e20]}
+    table = spark.createDataFrame([(i, v) for i, v in vectors.items()], "vec_id long, embedding array<float>").repartition(3)
+    whole = {i: [int(np.floor(256 * float(np.float32(x)))) if abs(x) < 1e15 else 256 * int(float(np.float32(x))) for x in v] for i, v in vectors.items()}
+    want = []
+    for q in (0, 50, 100):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -x))) for k, (x, i) in enumerate(scored)]
+    got = topk.top_k(table, table.where("vec_id % 50 = 0")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     table = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
@@ -336,6 +420,44 @@ def test_mixing(spark, monkeypatch):
     assert [r[0] for r in counted] == [0, 0, 2, 1]
 
 
+def plain_mix(rows, target_share, blocks, seed, spark):
+    """One budget's mixture with given weights, row by row; hashes are Spark's."""
+    hashed = spark.createDataFrame(rows, "doc_id long, source string, tokens long").select("*", F.xxhash64(F.lit(seed), "doc_id").alias("k"), F.xxhash64("doc_id", "source", "tokens").alias("whole"))
+    hashed = hashed.withColumns({"b": F.xxhash64("k"), **{f"e{e}": F.xxhash64("k", F.lit(e)) for e in range(4)}}).collect()
+    order = {(b, e): h for b, e, h in ((r.b, r.e, r.h) for r in spark.range(64).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("e")).withColumn("h", F.xxhash64(F.lit(seed), "b", "e")).collect())}
+    out = []
+    for source, wanted in target_share.items():
+        own, place, epoch = [r for r in hashed if r.source == source], 0, 0
+        while place < wanted:
+            for block in sorted({r.b % blocks[source] for r in own}, key=lambda b: (order[b, epoch], b)):
+                for r in sorted((r for r in own if r.b % blocks[source] == block), key=lambda r: (r[f"e{epoch}"], r.k, r.whole)):
+                    if place < wanted:
+                        out.append((r.doc_id, source, r.tokens, epoch, block, place))
+                    place += r.tokens
+            epoch += 1
+    return out
+
+
+def test_mixing_is_the_plain_one(spark, monkeypatch):
+    """Against a row-by-row version, in any order of the input, with equal keys."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 8)
+    rng = random.Random(21)
+    rows = [(i % 40, "a" if i < 60 else "b", rng.randrange(1, 30)) for i in range(90)]
+    total = {s: sum(t for _, x, t in rows if x == s) for s in "ab"}
+    got = []
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame(given, "doc_id long, source string, tokens long").repartition(3)
+        mixed = mixing.mix(docs, F.col("tokens"), ["doc_id"], target_entropy=0.999, max_repeats=3.0, budget=1.0)
+        got.append(sorted(map(tuple, mixed.select("row.doc_id", "source", "tokens", "epoch", "block", "position").collect())))
+    assert got[0] == got[1]
+    shares = spark.createDataFrame([(s, n / sum(total.values())) for s, n in total.items()], "source string, p double")
+    a = mixing.exponent(shares, 0.999, 3.0, 1.0)
+    p = {s: n / sum(total.values()) for s, n in total.items()}
+    z = sum(v**a for v in p.values())
+    wanted = {s: int(np.ceil(round(v**a / z * sum(total.values()), 3))) for s, v in p.items()}
+    assert got[0] == sorted(plain_mix(rows, wanted, {"a": 8, "b": 4}, 1, spark))
+
+
 # --- 9 join ---
 
 
@@ -473,3 +595,24 @@ def test_license_bands_retrieve_changed_notices():
             own = len(set(tokens.tolist()) & known.sets[name]) / len(known.sets[name])
             assert (name in [m[0] for m in known.scan(changed, tokens)]) == (own >= lic.CONTAINED), (name, own)
 
+
+
+def test_licenses_against_every_window():
+    """Whole scans against a plain search: every window of a template's length in every text, with words altered."""
+    rng, known = random.Random(17), lic.Templates(lic.TEMPLATES)
+    total = 0
+    for k in range(60):
+        name = list(lic.TEMPLATES)[k % len(lic.TEMPLATES)]
+        w = lic.TEMPLATES[name].split()
+        for _ in range(rng.randrange(0, 1 + len(w) // 25)):
+            w[rng.randrange(len(w))] = "altered"
+        text = f"{prose(rng, rng.randrange(0, 90))} {' '.join(w)} {prose(rng, rng.randrange(0, 90))}"
+        tokens = lic.shingles(text)
+        listed, want = tokens.tolist(), set()
+        for other, own in known.sets.items():
+            size = known.sizes[other]
+            if any(len(own.intersection(listed[i : i + size])) >= lic.CONTAINED * len(own) for i in range(max(1, len(listed) - size + 1))):
+                want.add(other)
+        assert {m[0] for m in known.scan(text, tokens)} == want, name
+        total += len(want)
+    assert total > 60
