@@ -5,10 +5,10 @@ from freshet.plans.execute import Executor, LocalExecutor, SparkExecutor, run
 from freshet.plans.model import Pipeline, Rule, load_pipeline, rule
 from freshet.plans.planner import plan
 from freshet.sources.matrix import deferrable
+from freshet.sources.outputs import Output, array_store, spark_table
 from freshet.sources.state import ParquetStore, StateStore
-from freshet.sources.tokens import FileToken, HadoopToken, StoreToken, TableToken, Token
 
 __all__ = [
-    "Defer", "Executor", "FileToken", "FreshetError", "HadoopToken", "LocalExecutor", "LookupFailed", "ParquetStore", "Pipeline", "QueryError", "Rule",
-    "SignatureError", "SparkExecutor", "StateStore", "StoreToken", "TableToken", "Token", "deferrable", "load_pipeline", "plan", "rule", "run",
+    "Defer", "Executor", "FreshetError", "LocalExecutor", "LookupFailed", "Output", "ParquetStore", "Pipeline", "QueryError", "Rule", "SignatureError",
+    "SparkExecutor", "StateStore", "array_store", "deferrable", "load_pipeline", "plan", "rule", "run", "spark_table",
 ]

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 
 from freshet.functions.errors import FreshetError
 from freshet.plans import execute, report
-from freshet.plans.model import load_pipeline
+from freshet.plans.model import CHECKS, load_pipeline
 from freshet.sources.files import log_to, task_log
 from freshet.sources.state import ParquetStore
 from freshet.streaming.ingest import ingest
@@ -20,14 +20,18 @@ from freshet.streaming.ingest import ingest
 VERSION = "0.1.0"
 
 
-def executor(name: str, logs: str) -> execute.Executor:
-    """local, spark, or a dotted path to a class of the user's."""
+def executor(name: str, logs: str, width: int | None = None) -> execute.Executor:
+    """local, spark, or ``module:Class`` (or a dotted path) of the user's."""
     if name in ("local", "spark"):
-        return execute.LocalExecutor(logs) if name == "local" else execute.SparkExecutor(logs=logs)
-    module, _, cls = name.rpartition(".")
-    if not module:
-        raise FreshetError(f"no executor is called {name}")
-    return getattr(importlib.import_module(module), cls)()
+        return execute.LocalExecutor(logs) if name == "local" else execute.SparkExecutor(width, logs)
+    module, _, cls = name.partition(":") if ":" in name else name.rpartition(".")
+    try:
+        found = getattr(importlib.import_module(module), cls) if module else None
+    except (ImportError, AttributeError) as e:
+        raise FreshetError(f"no executor is called {name}: {e}") from e
+    if not (isinstance(found, type) and issubclass(found, execute.Executor)):
+        raise FreshetError(f"{name} is no class of executors")
+    return found()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,10 +47,14 @@ def parser() -> argparse.ArgumentParser:
                 c.add_argument(*(["-Q"] if o == "query" else ["-E"] if o == "executor" else []), f"--{o}", default="local" if o == "executor" else None)
             elif o.startswith("name"):
                 c.add_argument("name")
+            elif o == "nproc":
+                c.add_argument("--nproc", type=int, help="partitions over which the tasks of a rule are spread")
+            elif o == "check-outputs=":
+                c.add_argument("--check-outputs", choices=CHECKS)
             else:
                 c.add_argument(f"--{o}", action="store_true")
 
-    add("run", "query", "executor", "force", "dry-run", "ignore-code-changes")
+    add("run", "query", "executor", "nproc", "check-outputs=", "force", "dry-run", "ignore-code-changes", "raise")
     add("run-task", "key", "query")
     add("set-state", "query", "success", "pending", "check-outputs", "no-cascade", "dry-run")
     add("info", "query", "json", "failures")
@@ -82,7 +90,7 @@ def command(args, spark: SparkSession) -> int:
     home = Path(args.pipeline).resolve().parent / ".freshet"
     store = pipeline.store or ParquetStore(home / "state")
     log_to(home / "logs")
-    ingest(spark, home / "results", store)
+    ingest(spark, home / "results", store, pipeline)
     name = args.command
 
     def show(value) -> None:
@@ -98,7 +106,10 @@ def command(args, spark: SparkSession) -> int:
             query = " and ".join([f"rule == {task.rule!r}", *(f"{k} == {v!r}" for k, v in kw.items())])
             done = execute.run(spark, pipeline, store, executor("local", str(home / "tasks")), query=query, force=True)
         else:
-            done = execute.run(spark, pipeline, store, executor(args.executor, str(home / "tasks")), args.query, args.force, args.ignore_code_changes, args.dry_run)
+            pipeline.check_outputs = args.check_outputs or pipeline.check_outputs
+            chosen = executor(args.executor, str(home / "tasks"), args.nproc)
+            chosen.raise_on_failure = chosen.raise_on_failure or getattr(args, "raise")
+            done = execute.run(spark, pipeline, store, chosen, args.query, args.force, args.ignore_code_changes, args.dry_run)
         show(done)
         return int(done["failed"] > 0)
     if name == "set-state":

@@ -6,26 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def task_key(rule: Column | str, kwargs_text: Column) -> Column:
-    """The identity of a task: SHA-1 of the rule's name and its canonical kwargs text."""
-    return F.sha1(F.concat(F.lit(rule) if isinstance(rule, str) else rule, F.lit(":"), kwargs_text).cast("binary"))
-
-
-def kwargs_json(*names: str) -> Column:
-    """Canonical text of kwargs held in typed columns: JSON with sorted names, nulls kept."""
-    return F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})
-
-
-def sharded(key: Column) -> Column:
-    """``ab/cdef...`` for a key ``abcdef...``: results are spread over 256 folders."""
-    return F.concat(F.substring(key, 1, 2), F.lit("/"), F.substring(key, 3, 100))
-
-
-def status_name(status: Column) -> Column:
-    """0 pending, 1 success, 2 failed; anything else is pending too."""
-    return F.when(status == 1, "success").when(status == 2, "failed").otherwise("pending")
-
-
 def human_bytes(n: Column) -> Column:
     """Bytes in steps of 1024: whole bytes, else one decimal, ties to even."""
     one = lambda x: F.bround(x, 1)

@@ -1,4 +1,4 @@
-"""Staleness along edges between rules, as joins: element-wise on shared kwargs, or conservative."""
+"""What a task learns of its upstream tasks: of the one with its own kwargs where both rules have one matrix, else of all."""
 
 from __future__ import annotations
 
@@ -6,38 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def elementwise(down: DataFrame, up_rerun: DataFrame, on: str, up_on: str | None = None) -> DataFrame:
-    """Downstream tasks whose upstream task with the same kwargs reruns."""
-    return down.join(up_rerun.select(F.col(up_on or on).alias(on)), on, "left_semi")
+def with_upstream(tasks: DataFrame, upstream: DataFrame, elementwise: bool, facts: list[Column]) -> DataFrame:
+    """``tasks`` with aggregates over their upstream tasks, pre-aggregated: by ``kw_id``, or one broadcast row."""
+    if elementwise:
+        return tasks.join(upstream.groupBy("kw_id").agg(*facts), "kw_id", "left")
+    return tasks.join(F.broadcast(upstream.agg(*facts)), F.lit(True))
 
 
-def conservative(down: DataFrame, up_rerun: DataFrame) -> DataFrame:
-    """All downstream tasks if any upstream task reruns. One row of the upstream side is broadcast."""
-    return down.join(F.broadcast(up_rerun.select(F.lit(1).alias("any_upstream")).limit(1)), F.lit(True), "left_semi")
+def not_tainted(tasks: DataFrame, failed: DataFrame, elementwise: bool) -> DataFrame:
+    """``tasks`` without a failed upstream task (``kw_id``) in this run."""
+    if elementwise:
+        return tasks.join(failed.select("kw_id").distinct(), "kw_id", "left_anti")
+    return tasks.join(F.broadcast(failed.select(F.lit(1).alias("any_failed")).limit(1)), F.lit(True), "left_anti")
 
 
-def durable_newer(down: DataFrame, up: DataFrame, on: str, seq: str, up_seq: str) -> DataFrame:
-    """Downstream tasks older than their upstream task: strictly smaller clocks; unknown clocks never count."""
-    return down.join(up.select(on, F.col(up_seq).alias("__up")), on).where(F.col("__up") > F.col(seq)).drop("__up")
-
-
-def durable_newer_than_any(down: DataFrame, up: DataFrame, seq: str, up_seq: str) -> DataFrame:
-    """Downstream tasks older than the newest upstream task (one broadcast row)."""
-    newest = up.agg(F.max(up_seq).alias("__up"))
-    return down.join(F.broadcast(newest), F.col("__up") > F.col(seq)).drop("__up")
-
-
-def not_tainted(down: DataFrame, failed: DataFrame, on: str) -> DataFrame:
-    """Downstream tasks without a failed upstream task in this run."""
-    return down.join(failed.select(on).distinct(), on, "left_anti")
-
-
-def cascade(down: DataFrame, settled: DataFrame, on: str, newer: DataFrame) -> DataFrame:
-    """Successful downstream tasks of settled ones, but those with an independently newer upstream task."""
-    return down.join(settled.select(on).distinct(), on, "left_semi").join(newer.select(on).distinct(), on, "left_anti")
-
-
-def reasons(*flags: tuple[Column, str]) -> Column:
-    """The messages of the flags that hold, in order, joined by ' + '; null if none does."""
-    joined = F.concat_ws(" + ", *[F.when(flag, F.lit(message)) for flag, message in flags])
-    return F.when(joined != "", joined)
+def ran_later(upstream_clock: Column, own_clock: Column) -> Column:
+    """Whether an upstream task ran after a task: strictly; unknown clocks never count."""
+    return F.coalesce(upstream_clock > own_clock, F.lit(False))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,15 +33,15 @@ def reason_tally(tasks: DataFrame, rule: str, reasons: str) -> DataFrame:
 
 
 def _signed(records: DataFrame, order: str, exception: str, label: str) -> DataFrame:
-    """Failures with their signature: ``type``, and ``place``, the frames in a row."""
+    """Failures with their signature: ``type``, and ``place``, the frames, outermost first."""
     frames = traceback_frames(F.col(exception))
-    return records.select(order, label, exception_type(F.col(exception)).alias("type"), F.array_join(frames, "|").alias("place"))
+    return records.select(order, label, exception_type(F.col(exception)).alias("type"), frames.alias("place"))
 
 
 def failure_groups(records: DataFrame, order: str, exception: str, label: str) -> DataFrame:
     """Failures with the same exception type and frames: count, first example, deepest frame."""
     found = _signed(records, order, exception, label).groupBy("type", "place").agg(F.count("*").alias("n"), F.min_by(label, order).alias("example"), F.min(order).alias("first_seen"))
-    return found.select("type", F.when(F.col("place") != "", F.element_at(F.split("place", r"\|"), -1)).alias("deepest"), "n", "example", "first_seen")
+    return found.select("type", F.try_element_at("place", F.lit(-1)).alias("deepest"), "n", "example", "first_seen")
 
 
 def failure_members(records: DataFrame, order: str, exception: str, label: str) -> DataFrame:
@@ -50,6 +52,18 @@ def failure_members(records: DataFrame, order: str, exception: str, label: str)
     return signed.join(first, F.col("type").eqNullSafe(F.col("t")) & F.col("place").eqNullSafe(F.col("p"))).select("type", "place", "first_seen", label, order)
 
 
+def proven_elements(needs: DataFrame, gives: DataFrame, place: str, path: str) -> DataFrame:
+    """For each place among ``needs`` whether all its paths are given at the same place: ``proven``. Pairs are compared,
+    nothing is gathered."""
+    given = gives.select(place, path, F.lit(True).alias("__given")).distinct()
+    return needs.join(given, [place, path], "left").groupBy(place).agg(F.bool_and(F.col("__given").isNotNull()).alias("proven"))
+
+
+def still_active(recorded: DataFrame, queue: DataFrame) -> DataFrame:
+    """The recorded jobs (``key``, ``job``) that a queue (``job``, ``state``; a row a job) still has."""
+    return recorded.join(queue, "job").select("key", "job", "state")
+
+
 def similarity(a: str, b: str) -> float:
     """The ratio of matching blocks of ``b`` against ``a``."""
     return SequenceMatcher(None, a, b).ratio()
@@ -66,6 +80,13 @@ def near_misses(paths: DataFrame, known: DataFrame, least: float = 0.9) -> DataF
     letters = lambda c: F.split(c, "")
     missing = F.size(F.array_except(letters(F.col("path")), letters(F.col("other"))))  # distinct letters without a partner cost one each
     likely = blocked.where(2 * F.least("n", "m") >= F.lit(least) * (F.col("n") + F.col("m"))).where(2 * (F.col("n") - missing) >= F.lit(least) * (F.col("n") + F.col("m")))
-    rated = likely.withColumn("ratio", F.udf(similarity, "double")("other", "path")).where(F.col("ratio") >= least)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            rated = [(x, y, r) for x, y in pairs if (r := similarity(y, x)) >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rated) if rated else [()] * 3, (pa.string(), pa.string(), pa.float64()))], ["path", "other", "ratio"])
+
+    rated = likely.select("path", "other").mapInArrow(rate, "path string, other string, ratio double")
     best = Window.partitionBy("path").orderBy(F.desc("ratio"), F.desc("other"))
     return rated.withColumn("place", F.row_number().over(best)).where("place = 1").select("path", F.col("other").alias("suggestion"), F.round("ratio", 6).alias("ratio"))

@@ -1,8 +1,8 @@
 """The registered queries of the task plane and the data plane, with their SQL.
 
-The driver's tables stand in for the task plane: ``events`` is an execution log (user = key, event = sequence; signup
-deletes, error fails), ``orders`` and ``lineitem`` are upstream and downstream tasks with the order key as shared kwarg,
-``customer`` the known tasks, ``documents.text`` a code store, ``nation`` x order year a matrix.
+Planning, cascades, lint and reports run over the pipelines of ``shop.py``, whose tasks and records are made from the driver's
+tables, through the functions that the commands use. Elsewhere ``events`` is an execution log (user = key, event = sequence;
+signup deletes, error fails), and ``documents.text`` a code store.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from freshet.functions import columns as C
-from freshet.functions.predicate import compile_query
-from freshet.operators import propagation, reports, store, workloads
-from freshet.sources import matrix
+from freshet.operators import reports, store, workloads
+from freshet.operators.propagation import not_tainted
+from freshet.plans import report, shop
+from freshet.plans.model import Pipeline, Rule, path_frame, task_frame
+from freshet.plans.planner import Plan, cascade, plan, versions
+from freshet.sources import outputs
+from freshet.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -42,82 +46,77 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _years(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "orders").select(F.year("o_orderdate").cast("long").alias("year")).distinct()
-
-
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    """Tasks of the rule ``load``: nation x year."""
-    grid = matrix.cartesian([_table(spark, d, "nation").select(F.col("n_name").alias("nation")), _years(spark, d)])
-    kw = C.kwargs_json("nation", "year")
-    return grid.withColumn("rule", F.lit("load")).withColumn("kw", kw).withColumn("key", C.task_key("load", F.col("kw")))
-
-
-GRID = """SELECT n_name AS nation, y.year, 'load' AS rule, '{"nation":"' || n_name || '","year":' || y.year || '}' AS kw,
- sha1('load:{"nation":"' || n_name || '","year":' || y.year || '}') AS key
- FROM nation CROSS JOIN (SELECT DISTINCT year(o_orderdate)::BIGINT AS year FROM orders) y"""
-
-
 # --- expansion and selection ---
 
+YEARS = "(SELECT DISTINCT year(o_orderdate)::BIGINT AS year FROM orders)"
+GRID = f"""SELECT 'load' AS rule, (n_nationkey * (SELECT count(*) FROM {YEARS}) + row_number() OVER (PARTITION BY n_nationkey ORDER BY year) - 1)::BIGINT AS ord, n_name AS nation, year,
+ '{{"nation": "' || n_name || '", "year": ' || year || '}}' AS kw, sha1('load:{{''nation'': ''' || n_name || ''', ''year'': ' || year || '}}') AS key FROM nation CROSS JOIN {YEARS}"""
+TASK = ["rule", "ord", "kw", "key"]
 
-@query(GRID)
+
+@query(f"SELECT rule, ord, kw, key FROM ({GRID})")
 def matrix_cartesian(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d)
+    return task_frame(spark, shop.grid_rules(spark, d)[0], 0).select(*TASK)
 
 
-@query("SELECT r_name AS region, p_brand AS brand, p_size::BIGINT AS size FROM region CROSS JOIN (SELECT DISTINCT p_brand, p_size FROM part)")
+@query("""SELECT 'pick' AS rule, sha1('pick:{''brand'': ''' || p_brand || ''', ''region'': ''' || r_name || ''', ''size'': ' || p_size || '}') AS key
+ FROM region CROSS JOIN (SELECT DISTINCT p_brand, p_size FROM part)""")
 def matrix_grouped_axis(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").cast("long").alias("size")).distinct()
-    return matrix.cartesian([_table(spark, d, "region").select(F.col("r_name").alias("region")), pairs])
+    """Brand and size are bound together; every pair goes with every region."""
+    pairs = [tuple(r) for r in _table(spark, d, "part").select("p_brand", "p_size").distinct().collect()]
+    regions = [r.r_name for r in _table(spark, d, "region").select("r_name").collect()]
+    pick = Rule(lambda region, brand, size: None, matrix={"region": regions, ("brand", "size"): pairs}, given_name="pick")
+    return task_frame(spark, pick, 0).select("rule", "key")
 
 
-@query("SELECT v.model, v.level::BIGINT AS level, r_name FROM (VALUES ('era5', 1), ('era5', 1), ('cmip', 2), ('cmip', 0)) v(model, level) JOIN region ON r_regionkey = v.level")
+@query("""SELECT 'run' AS rule, i::BIGINT AS ord, '{"level": ' || level || ', "model": "' || model || '"}' AS kw, sha1('run:{''level'': ' || level || ', ''model'': ''' || model || '''}') AS key
+ FROM (VALUES (0, 'era5', 1), (1, 'era5', 1), (2, 'cmip', 2), (3, 'cmip', 0)) v(i, model, level)""")
 def matrix_explicit(spark: SparkSession, d: str) -> DataFrame:
-    rows = matrix.explicit(spark, [{"model": "era5", "level": 1}, {"model": "era5", "level": 1}, {"model": "cmip", "level": 2}, {"model": "cmip", "level": 0}])
-    return rows.join(_table(spark, d, "region"), F.col("level") == F.col("r_regionkey")).select("model", "level", "r_name")
+    rows = [{"model": m, "level": n} for m, n in (("era5", 1), ("era5", 1), ("cmip", 2), ("cmip", 0))]
+    return task_frame(spark, Rule(lambda model, level: None, matrix=rows, given_name="run"), 0).select(*TASK)
 
 
-@query("SELECT '' AS rule_kwargs, sha1('collect:{}') AS key")
+@query("SELECT 'collect' AS rule, 0::BIGINT AS ord, '{}' AS kw, sha1('collect:{}') AS key")
 def matrix_none(spark: SparkSession, d: str) -> DataFrame:
-    return matrix.none(spark).select(F.lit("").alias("rule_kwargs"), C.task_key("collect", F.lit("{}")).alias("key"))
+    return task_frame(spark, Rule(lambda: None, given_name="collect"), 0).select(*TASK)
 
 
-@query("SELECT k, count(*) AS n, sha1('process:{\"k\":' || k || '}') AS key FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE k IS NOT NULL GROUP BY k")
+@query("SELECT 'process' AS rule, '{\"k\": ' || k || '}' AS kw, sha1('process:{''k'': ' || k || '}') AS key FROM (SELECT DISTINCT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE k IS NOT NULL")
 def matrix_dynamic_json(spark: SparkSession, d: str) -> DataFrame:
-    found = matrix.discovered(_table(spark, d, "events"), "props", "k long")
-    return found.groupBy("k").agg(F.count("*").alias("n")).withColumn("key", C.task_key("process", C.kwargs_json("k")))
+    """A matrix that a function reads from an upstream's JSON; the tasks are named where the relation lies."""
+
+    def found() -> DataFrame:
+        return _table(spark, d, "events").select(F.from_json("props", "k long").alias("kw")).select("kw.*").dropna("all").distinct()
 
+    return task_frame(spark, Rule(lambda k: None, matrix=found, given_name="process"), 0).select("rule", "kw", "key")
 
-@query(f"SELECT * FROM ({GRID}) WHERE year > 1996 AND nation IN ('NATION_1', 'NATION_7', 'NATION_20') OR year = 1995 AND nation < 'NATION_13'")
+
+SELECT = "year > 1996 and nation in ['NATION_1', 'NATION_7', 'NATION_20'] or year == 1995 and nation < 'NATION_13'"
+
+
+@query(f"SELECT rule, ord, kw, key FROM ({GRID}) WHERE year > 1996 AND nation IN ('NATION_1', 'NATION_7', 'NATION_20') OR year = 1995 AND nation < 'NATION_13'")
 def task_query_filter(spark: SparkSession, d: str) -> DataFrame:
-    grid = _grid(spark, d)
-    keep = compile_query("year > 1996 and nation in ['NATION_1', 'NATION_7', 'NATION_20'] or year == 1995 and nation < 'NATION_13'", {"nation", "year"}, "load")
-    return grid.where(keep)
+    return task_frame(spark, shop.grid_rules(spark, d)[0], 0, SELECT).select(*TASK)
 
 
-@query("""SELECT 'load' AS rule, n_name AS nation, y.year::VARCHAR AS year FROM nation CROSS JOIN (SELECT DISTINCT year(o_orderdate)::BIGINT AS year FROM orders) y WHERE year > 1996
- UNION ALL SELECT 'merge' AS rule, n_name AS nation, '-' AS year FROM nation WHERE n_name >= 'NATION_2'""")
+@query(f"""SELECT rule, kw FROM ({GRID}) WHERE year > 1996
+ UNION ALL SELECT 'merge' AS rule, '{{"nation": "' || n_name || '"}}' AS kw FROM nation WHERE n_name >= 'NATION_2'""")
 def task_query_missing_name(spark: SparkSession, d: str) -> DataFrame:
     """``merge`` has no ``year``: where it is evaluated the query is false, where ``or`` stops first it is not."""
+    load, merge = shop.grid_rules(spark, d)
     text = "rule == 'merge' and nation >= 'NATION_2' or year > 1996"
-    load = _grid(spark, d).where(compile_query(text, {"nation", "year"}, "load")).select("rule", "nation", F.col("year").cast("string").alias("year"))
-    merge = _table(spark, d, "nation").select(F.col("n_name").alias("nation"))
-    kept = merge.where(compile_query(text, {"nation"}, "merge"))
-    lost = merge.where(compile_query("year > 1996 or rule == 'merge'", {"nation"}, "merge"))
-    shape = [F.lit("merge").alias("rule"), "nation", F.lit("-").alias("year")]
-    return load.unionByName(kept.select(*shape)).unionByName(lost.select(*shape))
+    found = task_frame(spark, load, 0, text).unionByName(task_frame(spark, merge, 1, text))
+    return found.unionByName(task_frame(spark, merge, 1, "year > 1996 or rule == 'merge'")).select("rule", "kw")
 
 
-@query(f"SELECT key, 'out/' || nation || '/' || year || '.nc' AS path, 'results/' || substring(key, 1, 2) || '/' || substring(key, 3) AS shard FROM ({GRID})")
+@query(f"SELECT 'out' AS part, 'out/' || nation || '/' || year || '.nc' AS path FROM ({GRID}) UNION ALL SELECT 'in', 'in/' || year || '/' || nation || '.csv' FROM ({GRID})")
 def path_template(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).select("key", matrix.template("out/{nation}/{year}.nc").alias("path"), F.concat(F.lit("results/"), C.sharded(F.col("key"))).alias("shard"))
+    return path_frame(spark, shop.grid_rules(spark, d)[0]).select("part", "path")
 
 
-@query(f"SELECT substring(key, 1, 1) AS prefix, count(*) AS hits, (count(*) = 1) AS is_unique, min(key) AS first_key FROM ({GRID}) GROUP BY 1")
+@query(f"""SELECT rule, kw, key FROM (SELECT rule, kw, key FROM ({GRID}) UNION ALL SELECT 'merge', '{{"nation": "' || n_name || '"}}', sha1('merge:{{''nation'': ''' || n_name || '''}}') FROM nation) WHERE key LIKE 'a%'""")
 def key_prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
-    found = _grid(spark, d).groupBy(F.substring("key", 1, 1).alias("prefix")).agg(F.count("*").alias("hits"), F.min("key").alias("first_key"))
-    return found.withColumn("is_unique", F.col("hits") == 1)
+    return report.with_prefix(report.all_tasks(spark, Pipeline(shop.grid_rules(spark, d))), "a").select("rule", "kw", "key")
 
 
 # --- the state store ---
@@ -187,158 +186,175 @@ def spec_diff_keys(spark: SparkSession, d: str) -> DataFrame:
     return old.join(new, "name", "full").where(~F.col("before").eqNullSafe(F.col("after"))).select("name", change.alias("change"), "before", "after")
 
 
-@query(f"SELECT key, arg_max(status, value) AS status, max(value) AS ingested FROM (SELECT key, status, wall_s AS value FROM ({LOG}) WHERE kind = 'exec') GROUP BY key")
+RESULTS = """SELECT user_id::VARCHAR AS key, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS status, event_id % 7 AS run_seq, lpad(event_id::VARCHAR, 9, '0') AS timestamp FROM events"""
+
+
+@query(f"""SELECT r.key, r.status, r.run_seq, r.timestamp FROM (SELECT key, arg_max(status, run_seq * 1000000000 + timestamp::BIGINT) AS status, max(run_seq) AS run_seq, arg_max(timestamp, run_seq * 1000000000 + timestamp::BIGINT) AS timestamp FROM ({RESULTS}) GROUP BY key) r
+ LEFT JOIN (SELECT c_custkey::VARCHAR AS key, c_custkey % 9 AS had, CASE WHEN c_custkey % 2 = 0 THEN '000000100' ELSE '999999999' END AS ts FROM customer WHERE c_custkey % 4 <> 0) k ON k.key = r.key
+ WHERE k.key IS NULL OR r.run_seq > k.had OR r.run_seq = k.had AND r.timestamp > k.ts""")
 def ingest_late_results(spark: SparkSession, d: str) -> DataFrame:
-    """Results in scan order (here ``value``): the last that is ingested wins, whatever its clock says."""
-    results = _log(spark, d).where("kind = 'exec'").select("key", "status", F.col("wall_s").alias("ingested"))
-    return store.latest(results, "key", "ingested", ["status"])
+    """The newest result of each task by its run clock, but where the record ran later."""
+    results = _table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("status"), (F.col("event_id") % 7).alias("run_seq"), F.lpad(F.col("event_id").cast("string"), 9, "0").alias("timestamp"))
+    records = _table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").cast("string").alias("key"), (F.col("c_custkey") % 9).alias("run_seq"), F.when(F.col("c_custkey") % 2 == 0, "000000100").otherwise("999999999").alias("ts"))
+    return ingest.unsurpassed(ingest.newest(results), records).select("key", "status", "run_seq", "timestamp")
 
 
 @query("SELECT DISTINCT run_seq, run_seq = max(run_seq) OVER () AS is_latest FROM (SELECT (event_id // 500)::BIGINT AS run_seq FROM events)")
 def latest_spec(spark: SparkSession, d: str) -> DataFrame:
     runs = _table(spark, d, "events").select(F.floor(F.col("event_id") / 500).cast("long").alias("run_seq")).distinct()
-    return runs.join(F.broadcast(runs.agg(F.max("run_seq").alias("newest"))), F.lit(True)).select("run_seq", (F.col("run_seq") == F.col("newest")).alias("is_latest"))
+    return store.marked_latest(runs, "run_seq").select("run_seq", "is_latest")
 
 
 @query("""SELECT o_orderkey FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY
- AND o_orderkey NOT IN (SELECT max(o_orderkey) FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 7 DAY)""")
+ AND o_orderkey NOT IN (SELECT max(o_orderkey) FROM orders)""")
 def spec_pruning(spark: SparkSession, d: str) -> DataFrame:
     """Specs of more than seven days go, but for the one submitted last."""
     orders = _table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    old = orders.join(F.broadcast(orders.agg(F.max("o_orderdate").alias("now"))), F.col("o_orderdate") < F.col("now") - F.expr("INTERVAL 7 DAY")).select("o_orderkey")
-    return old.join(F.broadcast(old.agg(F.max("o_orderkey").alias("o_orderkey"))), "o_orderkey", "left_anti")
+    now = orders.agg(F.max("o_orderdate").alias("now")).first().now
+    return store.outdated(store.marked_latest(orders, "o_orderkey"), "o_orderdate", F.lit(now), 7).select("o_orderkey")
 
 
 # --- planning: own reasons and propagation ---
 
-TASKS = f"""SELECT c_custkey AS id, c_mktsegment AS rule, r.status, c_nationkey % 4 = 1 AS code_changed, c_acctbal < 0 AS uses_changed
- FROM customer LEFT JOIN ({RECORDS}) r ON c_custkey = r.key"""
-OWN = f"""SELECT id, rule, status, CASE WHEN status IS NULL THEN 'never run' ELSE nullif(concat_ws(' + ', CASE WHEN status <> 1 THEN 'last run failed' END,
- CASE WHEN code_changed THEN 'run code changed' END, CASE WHEN uses_changed THEN 'uses changed' END), '') END AS reason FROM ({TASKS})"""
-
-
-def _own(spark: SparkSession, d: str) -> DataFrame:
-    tasks = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("rule"), (F.col("c_nationkey") % 4 == 1).alias("code_changed"), (F.col("c_acctbal") < 0).alias("uses_changed"))
-    known = tasks.join(_records(spark, d).select(F.col("key").alias("id"), "status"), "id", "left")
-    why = propagation.reasons((F.col("status") != 1, "last run failed"), (F.col("code_changed"), "run code changed"), (F.col("uses_changed"), "uses changed"))
-    return known.select("id", "rule", "status", F.when(F.col("status").isNull(), "never run").otherwise(why).alias("reason"))
+CLOCK = "(year(o_orderdate) - 1990) * 12 + month(o_orderdate)"
+ORDERS = f"""SELECT o_orderkey AS o, {CLOCK} AS clock, CASE WHEN o_orderkey % 10 <> 0 THEN CASE WHEN o_orderstatus = 'P' AND o_orderkey % 4 = 0 THEN 2 ELSE 1 END END AS status,
+ o_custkey % 7 = 0 AS code, o_custkey % 11 = 0 AS uses, o_custkey % 5 <> 0 AND o_custkey % 13 = 0 AS io FROM orders"""
+ORDER = f"""SELECT o, clock, status, CASE WHEN status IS NULL THEN 'never-run' ELSE concat_ws('+', CASE WHEN status = 2 THEN 'last-run-failed' END, CASE WHEN code THEN 'code-changed' END,
+ CASE WHEN uses THEN 'uses-changed' END, CASE WHEN io THEN 'io-changed' END) END AS reasons FROM ({ORDERS})"""
+SHIP = f"""SELECT o, own, recorded, concat_ws('+', CASE WHEN NOT recorded THEN 'never-run' END, CASE WHEN up THEN 'upstream-rerun' END,
+ CASE WHEN recorded AND NOT up AND clock > own THEN 'upstream-newer' END) AS reasons FROM (
+ SELECT o_orderkey AS o, o_orderkey % 15 <> 0 AS recorded, CASE WHEN o_custkey % 17 <> 0 THEN {CLOCK} + o_custkey % 4 - 1 END AS own, CASE WHEN s.status IS NOT NULL THEN s.clock END AS clock, s.reasons <> '' AS up
+ FROM orders JOIN ({ORDER}) s ON s.o = o_orderkey)"""
+SHOP = f"""SELECT 'order' AS rule, '{{"o": ' || o || '}}' AS kw, status, reasons FROM ({ORDER}) UNION ALL SELECT 'ship', '{{"o": ' || o || '}}', CASE WHEN recorded THEN 1 END, reasons FROM ({SHIP})
+ UNION ALL SELECT 'stamp', '{{"region": "' || r_name || '"}}', 1, 'upstream-rerun' FROM region UNION ALL SELECT 'total', '{{}}', 1, 'upstream-rerun'"""
 
 
-@query(f"SELECT id, rule, coalesce(status, 0)::BIGINT AS status, reason FROM ({OWN})")
-def own_rerun_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _own(spark, d).withColumn("status", F.coalesce("status", F.lit(0)).cast("long"))
-
-
-PARTITION = f"""count(*) AS tasks, count(*) FILTER (WHERE status = 1 AND reason IS NULL) AS up_to_date, count(*) FILTER (WHERE status = 1 AND reason IS NOT NULL) AS stale,
- count(*) FILTER (WHERE status = 2) AS failed, count(*) FILTER (WHERE status IS NULL) AS pending, count(*) FILTER (WHERE reason IS NOT NULL) AS to_run FROM ({OWN})"""
-
+def _planned(spark: SparkSession, d: str) -> Plan:
+    pipeline, records = shop.shop(spark, d)
+    return plan(spark, pipeline, records)
 
-def _states(spark: SparkSession, d: str) -> DataFrame:
-    named = F.when(F.col("status").isNotNull(), C.status_name(F.col("status")))
-    return _own(spark, d).select("rule", named.alias("status"), F.col("reason").isNotNull().alias("to_run"))
 
+def _told(tasks: DataFrame) -> DataFrame:
+    return tasks.withColumn("reasons", F.array_join(F.col("reasons.category"), "+"))
 
-@query(f"SELECT rule, {PARTITION} GROUP BY rule")
-def status_partition(spark: SparkSession, d: str) -> DataFrame:
-    return reports.status_partition(_states(spark, d), "rule", "status", "to_run")
 
-
-@query(f"SELECT rule, {PARTITION} GROUP BY GROUPING SETS ((rule), ())")
-def status_totals(spark: SparkSession, d: str) -> DataFrame:
-    return reports.status_partition(_states(spark, d), "rule", "status", "to_run", totals=True)
+def _of(found: Plan, rule: str) -> DataFrame:
+    return _told(next(f for r, f in found.by_rule.items() if r.name == rule)).withColumn("o", F.get_json_object("kw", "$.o").cast("long"))
 
 
-@query(f"SELECT rule, category, count(*) AS n FROM (SELECT rule, unnest(string_split(reason, ' + ')) AS category FROM ({OWN}) WHERE reason IS NOT NULL) GROUP BY rule, category")
-def reason_tally(spark: SparkSession, d: str) -> DataFrame:
-    return reports.reason_tally(_own(spark, d).where("reason is not null").withColumn("reasons", F.split("reason", r" \+ ")), "rule", "reasons")
-
-
-def _up(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000").select(F.col("o_orderkey").alias("orderkey"))
+@query(f"SELECT o, coalesce(status, 0)::BIGINT AS status, reasons <> '' AS will_run, reasons FROM ({ORDER})")
+def own_rerun_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _of(_planned(spark, d), "order").select("o", F.coalesce("status", F.lit(0)).cast("long").alias("status"), "will_run", "reasons")
 
 
-def _down(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), "l_linenumber", "l_partkey", "l_shipdate")
+@query(f"SELECT rule, kw, reasons FROM ({SHOP}) WHERE reasons <> ''")
+def rerun_closure(spark: SparkSession, d: str) -> DataFrame:
+    """All that reruns, over element-wise and conservative edges, and why."""
+    return _told(_planned(spark, d).tasks.where("will_run")).select("rule", "kw", "reasons")
 
 
-@query("SELECT l_orderkey AS orderkey, l_linenumber, l_partkey FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F' AND o_totalprice > 200000)")
+@query(f"SELECT o FROM ({SHIP}) WHERE reasons LIKE '%upstream-rerun%'")
 def rerun_elementwise(spark: SparkSession, d: str) -> DataFrame:
-    return propagation.elementwise(_down(spark, d), _up(spark, d), "orderkey").select("orderkey", "l_linenumber", "l_partkey")
+    return _of(_planned(spark, d), "ship").where("contains(reasons, 'upstream-rerun')").select("o")
 
 
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 400000) UNION ALL SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0)")
+@query(f"SELECT kw, reasons FROM ({SHOP}) WHERE rule = 'stamp' OR rule = 'total'")
 def rerun_conservative(spark: SparkSession, d: str) -> DataFrame:
-    orders = _table(spark, d, "orders")
-    some = propagation.conservative(_table(spark, d, "customer").select("c_custkey"), orders.where("o_totalprice > 400000"))
-    none = propagation.conservative(_table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey")), orders.where("o_totalprice < 0"))
-    return some.unionByName(none)
-
+    found = _planned(spark, d)
+    return _of(found, "stamp").unionByName(_of(found, "total")).select("kw", "reasons")
 
-@query("""WITH seeds AS (SELECT c_custkey FROM customer WHERE c_acctbal < -500), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM seeds) OR o_orderpriority = '1-URGENT' AND o_totalprice > 300000)
- SELECT 'customer' AS rule, c_custkey AS id, 1::BIGINT AS tasks FROM seeds UNION ALL SELECT 'orders', o_orderkey, 1 FROM o
- UNION ALL SELECT 'lineitem', l_orderkey, count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) GROUP BY l_orderkey""")
-def rerun_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds of two rules, propagated over two element-wise edges."""
-    customers = _table(spark, d, "customer").where("c_acctbal < -500").select("c_custkey")
-    orders = _table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderpriority").eqNullSafe("1-URGENT") & (F.col("o_totalprice") > 300000)).alias("own"))
-    hit = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("up")).distinct(), "o_custkey", "left").where(F.coalesce("up", F.lit(False)) | F.col("own")).select("o_orderkey")
-    lines = propagation.elementwise(_table(spark, d, "lineitem").select("l_orderkey"), hit, "l_orderkey", "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("tasks"))
-    one = F.lit(1).cast("long").alias("tasks")
-    return customers.select(F.lit("customer").alias("rule"), F.col("c_custkey").alias("id"), one).unionByName(hit.select(F.lit("orders").alias("rule"), F.col("o_orderkey").alias("id"), one)).unionByName(lines.select(F.lit("lineitem").alias("rule"), F.col("l_orderkey").alias("id"), "tasks"))
 
-
-@query("SELECT l_orderkey AS orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderdate > l_shipdate - INTERVAL 10 DAY")
+@query(f"SELECT o FROM ({SHIP}) WHERE reasons = 'upstream-newer'")
 def durable_newer(spark: SparkSession, d: str) -> DataFrame:
-    up = _table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), "o_orderdate")
-    down = _down(spark, d).withColumn("seq", F.col("l_shipdate") - F.expr("INTERVAL 10 DAY"))
-    return propagation.durable_newer(down, up, "orderkey", "seq", "o_orderdate").select("orderkey", "l_linenumber", "l_partkey")
+    return _of(_planned(spark, d), "ship").where("reasons = 'upstream-newer'").select("o")
 
 
-@query("SELECT event_id FROM events WHERE event_id < (SELECT max(o_custkey) FROM orders)")
+@query(f"SELECT c_custkey AS o, CASE WHEN c_custkey % 200 < (SELECT max({CLOCK}) FROM orders) THEN 'upstream-newer' ELSE '' END AS reasons FROM customer")
 def durable_newer_conservative(spark: SparkSession, d: str) -> DataFrame:
-    return propagation.durable_newer_than_any(_table(spark, d, "events").select("event_id"), _table(spark, d, "orders"), "event_id", "o_custkey")
+    pipeline, records = shop.calm(spark, d)
+    return _of(plan(spark, pipeline, records), "late").select("o", "reasons")
 
 
-@query("""SELECT l_orderkey AS orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linestatus = 'F' AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')
- AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 40)""")
+@query(f"""WITH ship AS (SELECT o, recorded, own FROM ({SHIP})), chosen AS (SELECT o_orderkey AS o FROM orders WHERE o_orderkey % 10 = 0),
+ ships AS (SELECT s.* FROM ship s JOIN chosen c ON s.o = c.o WHERE s.recorded),
+ stamps AS (SELECT r_name FROM (SELECT r_name, CASE WHEN row_number() OVER (ORDER BY r_name) <= 2 THEN 50 ELSE 1000 END AS own FROM region)
+  WHERE (SELECT count(*) FROM ships) > 0 AND NOT coalesce((SELECT max(own) FROM ship WHERE recorded AND o NOT IN (SELECT o FROM ships)) > own, FALSE))
+ SELECT 'order' AS rule, '[["o", "' || o || '"]]' AS kw_id FROM chosen UNION ALL SELECT 'ship', '[["o", "' || o || '"]]' FROM ships
+ UNION ALL SELECT 'stamp', '[["region", "''' || r_name || '''"]]' FROM stamps""")
 def cascade_settled(spark: SparkSession, d: str) -> DataFrame:
-    """Downstream of settled orders, but where another upstream (the part) is independently newer."""
-    down = _table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("orderkey"), "l_linenumber", "l_partkey")
-    settled = _table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("orderkey"))
-    newer = _table(spark, d, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
-    return propagation.elementwise(down, settled, "orderkey").join(newer, "l_partkey", "left_anti").select("orderkey", "l_linenumber", "l_partkey")
+    """What is stamped along with every tenth order: its shipment, and the regions that no other shipment is newer than. The
+    total stays: a region that is not stamped ran later than it."""
+    pipeline, records = shop.shop(spark, d)
+    found = plan(spark, pipeline, records)
+    chosen = _of(found, "order").where("o % 10 = 0").select("rule", "kw_id")
+    return cascade(spark, pipeline, found.by_rule, chosen).select("rule", "kw_id")
 
 
-@query("SELECT l_orderkey AS orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F' AND o_totalprice > 200000)")
+@query(f"SELECT o FROM ({ORDER}) WHERE status IS NULL OR status <> 2")
 def upstream_failed_skip(spark: SparkSession, d: str) -> DataFrame:
-    return propagation.not_tainted(_down(spark, d), _up(spark, d), "orderkey").select("orderkey", "l_linenumber", "l_partkey")
+    """The shipments that a run would not leave out for a failed order."""
+    found = _planned(spark, d)
+    return not_tainted(_of(found, "ship"), _of(found, "order").where("status = 2").select("kw_id"), True).select("o")
 
 
-@query("""SELECT o_orderkey, bool_and(l_partkey % 10 <> 0) AS complete FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+@query("""SELECT o_orderkey, count(*) AS outputs, bool_and(p_partkey IS NOT NULL) AS complete FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+ LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0) ON p_partkey = l_partkey GROUP BY o_orderkey""")
 def outputs_complete(spark: SparkSession, d: str) -> DataFrame:
-    """A task is complete if it has outputs and all exist (here: parts that 10 does not divide)."""
-    outputs = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_and(F.col("l_partkey") % 10 != 0).alias("complete"))
-    return _table(spark, d, "orders").select("o_orderkey").join(outputs, "o_orderkey")
+    """A task is complete if it has outputs and a listing has them all (here: the parts that 10 does not divide)."""
+    named = lambda c: [F.lit("parts").alias("folder"), F.col(c).cast("string").alias("name")]
+    found = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), *named("l_partkey"), F.lit(None).cast("boolean").alias("checked"))
+    there = _table(spark, d, "part").where("p_partkey % 10 <> 0").select(*named("p_partkey"))
+    return outputs.completeness(found, there).select(F.col("key").alias("o_orderkey"), "outputs", "complete")
 
 
 @query("""WITH needs AS (SELECT DISTINCT l_orderkey AS i, l_partkey % 7 AS x FROM lineitem), gives AS (SELECT o_orderkey AS i, o_custkey % 7 AS x FROM orders)
  SELECT n.i, count(*) FILTER (WHERE g.i IS NULL) = 0 AS proven FROM needs n LEFT JOIN gives g ON n.i = g.i AND n.x = g.x GROUP BY n.i""")
 def elementwise_proof(spark: SparkSession, d: str) -> DataFrame:
     """Whether an element reads only what the upstream element with the same place gives."""
-    needs = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("i")).agg(F.collect_set(F.col("l_partkey") % 7).alias("needs"))
-    gives = _table(spark, d, "orders").groupBy(F.col("o_orderkey").alias("i")).agg(F.collect_set(F.col("o_custkey") % 7).alias("gives"))
-    missing = F.size(F.array_except("needs", F.coalesce("gives", F.array().cast("array<bigint>"))))
-    return needs.join(gives, "i", "left").select("i", (missing == 0).alias("proven"))
+    needs = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("i"), (F.col("l_partkey") % 7).alias("x"))
+    gives = _table(spark, d, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_custkey") % 7).alias("x"))
+    return reports.proven_elements(needs, gives, "i", "x")
 
 
-@query("""WITH RECURSIVE edges(dep, rule) AS (VALUES ('load', 'clean'), ('load', 'index'), ('clean', 'merge'), ('index', 'merge'), ('merge', 'report'), ('region', 'report')),
- walk(rule, depth) AS (SELECT DISTINCT dep, 0 FROM edges WHERE dep NOT IN (SELECT rule FROM edges) UNION ALL SELECT e.rule, w.depth + 1 FROM walk w JOIN edges e ON e.dep = w.rule)
- SELECT rule, max(depth) AS depth FROM walk GROUP BY rule""")
+@query("""WITH RECURSIVE walk(n_nationkey, depth) AS (SELECT n_nationkey, 0::BIGINT FROM nation WHERE n_nationkey = 0 UNION ALL SELECT n.n_nationkey, w.depth + 1 FROM walk w JOIN nation n ON n.n_nationkey // 2 = w.n_nationkey AND n.n_nationkey > 0)
+ SELECT n_name AS rule, depth FROM walk JOIN nation USING (n_nationkey)""")
 def rule_topology(spark: SparkSession, d: str) -> DataFrame:
-    """The depth of each rule, by Spark's recursive common table expression over the few rows of the rule graph."""
-    return spark.sql("""WITH RECURSIVE edges(dep, rule) AS (SELECT * FROM VALUES ('load', 'clean'), ('load', 'index'), ('clean', 'merge'), ('index', 'merge'), ('merge', 'report'), ('region', 'report')),
- walk(rule, depth) AS (SELECT DISTINCT dep, 0 FROM edges WHERE dep NOT IN (SELECT rule FROM edges) UNION ALL SELECT e.rule, w.depth + 1 FROM walk w JOIN edges e ON e.dep = w.rule)
- SELECT rule, max(depth) AS depth FROM walk GROUP BY rule""")
+    """The depth of each rule below the first ones, from the topological order."""
+    return spark.createDataFrame(sorted(report.depths(shop.family(spark, d)).items()), "rule string, depth long")
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY topo, ord) AS place, rule, kw FROM (
+ SELECT 0 AS topo, rule, ord, kw FROM ({GRID}) WHERE (ord + year) % 3 = 0
+ UNION ALL SELECT 1, 'merge', n_nationkey, '{{"nation": "' || n_name || '"}}' FROM nation)""")
+def runnable_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every runnable task with its place (the progress report's i of n): by rule, then place in the matrix."""
+    pipeline, records = shop.grid(spark, d)
+    return plan(spark, pipeline, records).placed().select("place", "rule", "kw")
+
+
+PARTITION = f"""count(*) AS tasks, count(*) FILTER (WHERE status = 1 AND reasons = '') AS up_to_date, count(*) FILTER (WHERE status = 1 AND reasons <> '') AS stale,
+ count(*) FILTER (WHERE status = 2) AS failed, count(*) FILTER (WHERE status IS NULL) AS pending, count(*) FILTER (WHERE reasons <> '') AS to_run FROM ({SHOP})"""
+
+
+@query(f"SELECT rule, {PARTITION} GROUP BY rule")
+def status_partition(spark: SparkSession, d: str) -> DataFrame:
+    return report.state_counts(_planned(spark, d)).where("rule is not null")
+
+
+@query(f"SELECT {PARTITION}")
+def status_totals(spark: SparkSession, d: str) -> DataFrame:
+    return report.state_counts(_planned(spark, d)).where("rule is null").drop("rule")
+
+
+@query(f"SELECT rule, category, count(*) AS n FROM (SELECT rule, unnest(string_split(reasons, '+')) AS category FROM ({SHOP}) WHERE reasons <> '') GROUP BY rule, category")
+def reason_tally(spark: SparkSession, d: str) -> DataFrame:
+    return report.reason_counts(_planned(spark, d))
+
+
+@query(f"SELECT count(DISTINCT (code, uses, CASE WHEN io IS NULL THEN 9 ELSE io END)) AS versions FROM (SELECT o_custkey % 7 = 0 AS code, o_custkey % 11 = 0 AS uses, CASE WHEN o_custkey % 5 <> 0 THEN (o_custkey % 13 = 0)::INT END AS io FROM orders WHERE o_orderkey % 10 <> 0)")
+def code_versions(spark: SparkSession, d: str) -> DataFrame:
+    """How many versions of code, declarations and specs the planner compares for a rule."""
+    return versions(_of(_planned(spark, d), "order")).agg(F.count("*").alias("versions"))
 
 
 # --- reports and lint ---
@@ -354,34 +370,30 @@ def failure_groups(spark: SparkSession, d: str) -> DataFrame:
     return reports.failure_groups(errors, "event_id", "exception", "user_id")
 
 
-@query("""SELECT DISTINCT 'lineitem' AS rule, 'part' AS missing, l_partkey AS path FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 5
- UNION ALL SELECT DISTINCT 'lineitem', 'supplier', l_suppkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE 'supplier' NOT IN ('orders', 'supplier')""")
+LINT = ["kind", "rule", "other_rule", "n", "example", "closest"]
+
+
+@query("SELECT 'missing_dependency' AS kind, 'agg' AS rule, 'proc' AS other_rule, count(*) AS n, min('out/proc/' || n_name || '.txt') AS example, NULL::VARCHAR AS closest FROM nation")
 def lint_missing_dependency(spark: SparkSession, d: str) -> DataFrame:
-    """Inputs that another rule produces, though it is no declared dependency (declared: orders, supplier)."""
-    produced = _table(spark, d, "part").where("p_size < 5").select(F.lit("part").alias("missing"), F.col("p_partkey").alias("path")).unionByName(_table(spark, d, "supplier").select(F.lit("supplier").alias("missing"), F.col("s_suppkey").alias("path")))
-    lines = _table(spark, d, "lineitem")
-    consumed = lines.select(F.lit("part").alias("missing"), F.col("l_partkey").alias("path")).unionByName(lines.select(F.lit("supplier").alias("missing"), F.col("l_suppkey").alias("path"))).distinct()
-    return consumed.join(produced, ["missing", "path"], "left_semi").where(~F.col("missing").isin("orders", "supplier")).select(F.lit("lineitem").alias("rule"), "missing", "path")
+    """Inputs that another rule produces, though it is no declared dependency."""
+    return report.lint(spark, shop.miswired(spark, d)).where("kind = 'missing_dependency'").select(*LINT)
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+@query("SELECT 'external' AS kind, 'agg' AS rule, NULL::VARCHAR AS other_rule, count(*) AS n, min('elsewhere/' || n_name || '.csv') AS example, NULL::VARCHAR AS closest FROM nation")
 def lint_external(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "orders").select("o_orderkey").join(_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    return report.lint(spark, shop.miswired(spark, d)).where("kind = 'external'").select(*LINT)
 
 
-@query(None)
+@query("SELECT 'near_miss' AS kind, 'proc' AS rule, 'gen' AS other_rule, count(*) AS n, min('out/genn/' || n_name || '.txt') AS example, arg_min('out/gen/' || n_name || '.txt', 'out/genn/' || n_name || '.txt') AS closest FROM nation")
 def lint_near_miss(spark: SparkSession, d: str) -> DataFrame:
-    names = _table(spark, d, "part").select(F.col("p_name").alias("path")).distinct()
-    return reports.near_misses(names, names)
+    return report.lint(spark, shop.miswired(spark, d)).where("kind = 'near_miss'").select(*LINT)
 
 
-@query("""SELECT kind, rule, n, example, row_number() OVER (ORDER BY kind <> 'near_miss', kind, rule) AS place FROM (
- SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'near_miss' WHEN o_orderstatus = 'F' THEN 'external' ELSE 'missing_dependency' END AS kind, o_orderpriority AS rule, count(*) AS n, arg_min(o_custkey, o_orderkey) AS example FROM orders GROUP BY 1, 2)""")
+@query("SELECT v.kind, v.rule, v.place::BIGINT AS place, (SELECT count(*) FROM nation) AS n FROM (VALUES ('near_miss', 'proc', 1), ('external', 'agg', 2), ('missing_dependency', 'agg', 3)) v(kind, rule, place)")
 def lint_order(spark: SparkSession, d: str) -> DataFrame:
-    """Findings counted with a first example; near misses come first."""
-    kind = F.when(F.col("o_orderpriority").startswith("1"), "near_miss").when(F.col("o_orderstatus") == "F", "external").otherwise("missing_dependency")
-    found = _table(spark, d, "orders").groupBy(kind.alias("kind"), F.col("o_orderpriority").alias("rule")).agg(F.count("*").alias("n"), F.min_by("o_custkey", "o_orderkey").alias("example"))
-    return found.withColumn("place", F.row_number().over(Window.orderBy(F.col("kind") != "near_miss", "kind", "rule")).cast("long"))
+    """Findings in the order of the report: near misses come first."""
+    found = report.lint(spark, shop.miswired(spark, d)).select("kind", "rule", "n").collect()  # a row for each kind, rule and other rule
+    return spark.createDataFrame([(r.kind, r.rule, i + 1, r.n) for i, r in enumerate(found)], "kind string, rule string, place long, n long")
 
 
 @query("SELECT event_type AS state, count(*) AS n, count(DISTINCT user_id % 7) AS reasons, array_to_string(list_sort(list(DISTINCT user_id % 7)), ',') AS listed FROM events GROUP BY 1")
@@ -392,7 +404,8 @@ def queue_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS most FROM events GROUP BY 1")
 def log_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(p)), 6).alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))], F.max("value").alias("most"))
+    found = store.percentiles(_table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return found.select("event_type", *[F.round(p, 6).alias(p) for p in ("p50", "p90", "p99")], "most")
 
 
 @query("SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) - 1 AS array_index FROM part")
@@ -413,18 +426,12 @@ def size_labels(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "orders").select("o_orderkey", C.human_bytes(n).alias("size"))
 
 
-@query("SELECT user_id, count(*) AS jobs, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS active FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type IN ('click', 'view')) > 60")
+@query("SELECT e.event_id AS key, e.user_id AS job, q.state FROM events e JOIN (SELECT user_id AS job, max(event_type) AS state FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 HAVING count(*) > 25) q ON q.job = e.user_id")
 def active_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Recorded jobs that the queue still has."""
-    jobs = _table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("jobs"), F.count_if(F.col("event_type").isin("click", "view")).alias("active"))
-    return jobs.where("active > 60")
-
-
-@query(f"SELECT rule, count(DISTINCT code_changed) AS code_versions, bool_or(uses_changed) AS any_uses_changed, bool_and(status IS NULL) AS all_pending FROM ({TASKS}) GROUP BY rule")
-def code_versions(spark: SparkSession, d: str) -> DataFrame:
-    own = _table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("rule"), (F.col("c_nationkey") % 4 == 1).alias("code_changed"), (F.col("c_acctbal") < 0).alias("uses_changed"))
-    known = own.join(_records(spark, d).select(F.col("key").alias("id"), "status"), "id", "left")
-    return known.groupBy("rule").agg(F.count_distinct("code_changed").alias("code_versions"), F.bool_or("uses_changed").alias("any_uses_changed"), F.bool_and(F.col("status").isNull()).alias("all_pending"))
+    """Recorded jobs that the queue still has, with their state there."""
+    events = _table(spark, d, "events")
+    queue = events.where("event_type in ('click', 'view')").groupBy(F.col("user_id").alias("job")).agg(F.count("*").alias("n"), F.max("event_type").alias("state")).where("n > 25")
+    return reports.still_active(events.select(F.col("event_id").alias("key"), F.col("user_id").alias("job")), queue.select("job", "state"))
 
 
 @query("SELECT event_id, CASE WHEN value > 50 THEN '{\"wall_s\":' || event_id % 97 || ',\"rss_method\":\"' || event_type || '\"}' ELSE '{\"rss_method\":\"' || event_type || '\"}' END AS value FROM events")
@@ -434,18 +441,6 @@ def resource_json(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.to_json(F.struct("wall_s", "rss_method")).alias("value"))
 
 
-@query(f"SELECT place, id, rule FROM (SELECT row_number() OVER (ORDER BY rule, id) AS place, id, rule FROM ({OWN}) WHERE reason IS NOT NULL) WHERE place <= 50")
-def runnable_order(spark: SparkSession, d: str) -> DataFrame:
-    """The first fifty of ``runnable_places``."""
-    return runnable_places(spark, d).where("place <= 50")
-
-
-@query(f"SELECT row_number() OVER (ORDER BY rule, id) AS place, id, rule FROM ({OWN}) WHERE reason IS NOT NULL")
-def runnable_places(spark: SparkSession, d: str) -> DataFrame:
-    """Every runnable task by rule, then place in the matrix (the progress report's i of n)."""
-    return store.places(_own(spark, d).where("reason is not null").select("id", "rule"), "rule", ["id"])
-
-
 # --- workloads ---
 
 
@@ -495,13 +490,13 @@ def mean_of_means(spark: SparkSession, d: str) -> DataFrame:
     return means.groupBy("o_orderpriority").agg(F.round(F.avg("m"), 4).alias("mean_of_means"), F.count("*").alias("groups"))
 
 
-@query("SELECT a.n_name AS first, b.n_name AS second, r_name AS region FROM (VALUES (0, 1), (2, 3), (5, 21), (8, 9)) v(i, j) JOIN nation a ON a.n_nationkey = i JOIN nation b ON b.n_nationkey = j CROSS JOIN region")
+@query("SELECT sha1('pair:{''first'': ''' || a.n_name || ''', ''region'': ''' || r_name || ''', ''second'': ''' || b.n_name || '''}') AS key FROM (VALUES (0, 1), (2, 3), (5, 21), (8, 9)) v(i, j) JOIN nation a ON a.n_nationkey = i JOIN nation b ON b.n_nationkey = j CROSS JOIN region")
 def pair_selection(spark: SparkSession, d: str) -> DataFrame:
     """A sparse set of pairs, bound together, with every region."""
-    nation = _table(spark, d, "nation")
-    pairs = matrix.explicit(spark, [{"i": i, "j": j} for i, j in ((0, 1), (2, 3), (5, 21), (8, 9))])
-    named = pairs.join(nation.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("first")), "i").join(nation.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("second")), "j")
-    return matrix.cartesian([named.select("first", "second"), _table(spark, d, "region").select(F.col("r_name").alias("region"))])
+    names = {r.n_nationkey: r.n_name for r in _table(spark, d, "nation").select("n_nationkey", "n_name").collect()}
+    regions = [r.r_name for r in _table(spark, d, "region").select("r_name").collect()]
+    pair = Rule(lambda first, second, region: None, matrix={("first", "second"): [(names[i], names[j]) for i, j in ((0, 1), (2, 3), (5, 21), (8, 9))], "region": regions}, given_name="pair")
+    return task_frame(spark, pair, 0).select("key")
 
 
 @query("""SELECT o_orderkey, round(o_totalprice - m, 4) AS anomaly FROM orders LEFT JOIN (SELECT o_orderpriority AS p, avg(o_totalprice) AS m FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1997 GROUP BY 1) ON p = o_orderpriority""")

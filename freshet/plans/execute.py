@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import logging
 import os
 import resource
+import threading
 import time
 import traceback
 from abc import ABC, abstractmethod
@@ -16,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.functions.code import with_uses
-from freshet.plans.model import Pipeline, Rule, same_matrix
+from freshet.functions.code import Bound
+from freshet.operators.propagation import not_tainted
+from freshet.plans.model import Pipeline, Rule
 from freshet.plans.planner import plan
-from freshet.sources import tokens
 from freshet.sources.files import to_task_log
+from freshet.sources.outputs import outputs_for, resolve
 from freshet.sources.state import FAILED, SUCCESS, StateStore, track
 
 log = logging.getLogger("freshet")
@@ -31,26 +34,65 @@ def now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
 
 
-def run_task(fn: Callable, inputs, outputs, kwargs: dict) -> dict:
+#: Seconds between two looks at a task's memory: if nothing usable is given, and the least.
+SAMPLE_SECONDS, LEAST_SECONDS = 0.05, 0.01
+
+
+def sampling_interval(given) -> float:
+    """Seconds from a rule's ``config["sample_seconds"]``; what is no positive number counts as not given."""
+    try:
+        seconds = float(given)
+    except (TypeError, ValueError):
+        return SAMPLE_SECONDS
+    return max(LEAST_SECONDS, seconds) if 0 < seconds < float("inf") else SAMPLE_SECONDS
+
+
+class MemorySampler(threading.Thread):
+    """The most memory that the process had while a task ran: looked at now and then, at the start and at the end."""
+
+    def __init__(self, every=None):
+        super().__init__(daemon=True)
+        self.every, self.over, self.peak = sampling_interval(every), threading.Event(), 0
+
+    def look(self) -> None:
+        with contextlib.suppress(OSError, IndexError, ValueError):
+            with open("/proc/self/statm") as f:
+                self.peak = max(self.peak, int(f.read().split()[1]) * resource.getpagesize())
+
+    def run(self) -> None:
+        self.look()
+        while not self.over.wait(self.every):
+            self.look()
+
+    def finish(self) -> tuple[int, str]:
+        """(bytes, how they were found); where there is nothing to sample, the process's peak since it started."""
+        self.look()
+        self.over.set()
+        self.join()
+        return (self.peak, "sampled") if self.peak else (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024, "process-peak")
+
+
+def run_task(fn: Callable, inputs, outputs, kwargs: dict, every=None) -> dict:
     """Run one task and say how it went. Parent folders of path outputs are made first; an error is a result, so Spark does
     not retry a task that failed; whether outputs are complete afterwards is not looked at."""
     began, cpu = time.perf_counter(), time.process_time()
-    status, error = SUCCESS, ""
+    status, error, sampler = SUCCESS, "", MemorySampler(every)
+    sampler.start()
     try:
         args = []
         if inputs is not None:
-            args.append(tokens.resolved(inputs, kwargs))
+            args.append(resolve(inputs, kwargs))
         if outputs is not None:
-            made = tokens.outputs_of(outputs, kwargs)
-            for token in made.values():
-                if isinstance(token, tokens.PathToken) and os.path.dirname(str(token)) and "://" not in str(token):
-                    os.makedirs(os.path.dirname(str(token)), exist_ok=True)
-            args.append({k: str(t) if isinstance(t, tokens.PathToken) else t for k, t in made.items()})
+            made = outputs_for(outputs, kwargs)
+            for x in made.values():
+                if x.check is None and "://" not in x.path:
+                    os.makedirs(os.path.dirname(x.path) or ".", exist_ok=True)
+            args.append({name: x.path for name, x in made.items()})
         fn(*args, **kwargs)
     except Exception:  # noqa: BLE001  the task's own failure
         status, error = FAILED, traceback.format_exc()
-    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
-    return {"status": status, "ts": now(), "exception": error, "wall_s": round(time.perf_counter() - began, 6), "cpu_s": round(time.process_time() - cpu, 6), "max_rss_bytes": peak, "rss_method": "process-peak"}
+    peak, method = sampler.finish()
+    return {"status": status, "ts": now(), "exception": error, "wall_s": round(time.perf_counter() - began, 6), "cpu_s": round(time.process_time() - cpu, 6), "max_rss_bytes": peak, "rss_method": method}
 
 
 class Executor(ABC):
@@ -70,11 +112,11 @@ class LocalExecutor(Executor):
         self.logs = logs
 
     def run_rule(self, spark: SparkSession, rule: Rule, tasks: DataFrame) -> DataFrame:
-        fn = with_uses(rule.fn, rule.uses)
+        fn = Bound(rule.fn, rule.uses)
         results = []
         for t in tasks.orderBy("ord").toLocalIterator():
             with to_task_log(self.logs, t.key):
-                r = run_task(fn, rule.inputs, rule.outputs, json.loads(t.kw))
+                r = run_task(fn, rule.inputs, rule.outputs, json.loads(t.kw), rule.config.get("sample_seconds"))
             results.append((t.key, t.kw_id, r["status"], r["ts"], r["exception"], r["wall_s"], r["cpu_s"], r["max_rss_bytes"], r["rss_method"]))
         return spark.createDataFrame(results, RESULT)
 
@@ -87,13 +129,13 @@ class SparkExecutor(Executor):
         self.width, self.logs = width, logs
 
     def run_rule(self, spark: SparkSession, rule: Rule, tasks: DataFrame) -> DataFrame:
-        fn, inputs, outputs, logs = with_uses(rule.fn, rule.uses), rule.inputs, rule.outputs, self.logs
+        fn, inputs, outputs, logs, every = Bound(rule.fn, rule.uses), rule.inputs, rule.outputs, self.logs, rule.config.get("sample_seconds")
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
                     with to_task_log(logs, row["key"]):
-                        result = run_task(fn, inputs, outputs, json.loads(row["kw"]))
+                        result = run_task(fn, inputs, outputs, json.loads(row["kw"]), every)
                     yield pa.RecordBatch.from_pylist([{"key": row["key"], "kw_id": row["kw_id"]} | result], pa.schema([("key", pa.string()), ("kw_id", pa.string()), ("status", pa.int32()), ("ts", pa.string()), ("exception", pa.string()), ("wall_s", pa.float64()), ("cpu_s", pa.float64()), ("max_rss_bytes", pa.int64()), ("rss_method", pa.string())]))
 
         width = self.width or spark.sparkContext.defaultParallelism
@@ -128,7 +170,7 @@ def run(spark: SparkSession, pipeline: Pipeline, store: StateStore, executor: Ex
                 continue
             for dep in rule.depends_on:
                 if dep in failures:
-                    own = own.join(failures[dep], "kw_id", "left_anti") if same_matrix(rule, dep) else own.where("false")
+                    own = not_tainted(own, failures[dep], rule.elementwise(dep))
             here = own.count()
             if here < n:
                 total["skipped"] += n - here
@@ -139,9 +181,8 @@ def run(spark: SparkSession, pipeline: Pipeline, store: StateStore, executor: Ex
             run_id, uses_id, io_id = track(store, rule)
             results = executor.run_rule(spark, rule, own)
             marked = results.withColumns({"rule": F.lit(rule.name), "kind": F.lit("exec"), "run_code_id": F.lit(run_id), "uses_code_id": F.lit(uses_id), "io_code_id": F.lit(io_id), "run_seq": F.lit(seq)})
-            store.append(marked)  # the only action over the results: each task runs once
-            states = store.records(spark).where((F.col("run_seq") == seq) & (F.col("rule") == rule.name)).select("key", "status").join(own.select("key", "kw_id"), "key")
-            bad = states.where(F.col("status") == FAILED).select("kw_id")
+            states = store.append(marked)  # the only action over the results: each task runs once
+            bad = own.select("key", "kw_id").join(states.where(F.col("status") == FAILED).select("key"), "key", "left_semi").select("kw_id")
             failed = bad.count()
             log.info("%s: %d tasks ran, %d failed", rule.name, here, failed, extra={"bound": {"event": "rule", "rule": rule.name, "n": here}})
             total["run"] += here

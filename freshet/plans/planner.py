@@ -1,6 +1,6 @@
 """Which tasks are to run, and why.
 
-For each rule, in topological order: its tasks are left-joined with the records; own reasons are flags over code ids,
+For each rule, in topological order: its tasks are left-joined with the records of that rule; own reasons are flags over code ids,
 compared once for each distinct id on the driver; what reruns upstream comes in as a semi-join on the kwargs (shared
 matrix) or as one fact (any other edge); clocks of the upstream tasks are joined or aggregated likewise. Each rule's
 rows are written once to the scratch folder, so the plan of the next rule does not grow.
@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from freshet.functions import code
 from freshet.functions.errors import Defer
-from freshet.plans.model import Pipeline, Rule, same_matrix, task_frame
+from freshet.operators.propagation import ran_later, with_upstream
+from freshet.operators.store import places
+from freshet.plans.model import Pipeline, Rule, task_frame
 from freshet.sources.matrix import is_deferrable
+from freshet.sources.outputs import with_completeness
 from freshet.sources.scratch import durable
 from freshet.sources.state import FAILED, SUCCESS, StateStore
 
@@ -39,6 +42,16 @@ class Plan:
         return None if self.tasks is None else self.tasks.where("will_run").orderBy("topo", "ord")
 
 
+    def placed(self) -> DataFrame | None:
+        """The tasks to run with their ``place``, from 1."""
+        return None if self.tasks is None else places(self.tasks.where("will_run"), "topo", ["ord"])
+
+
+def versions(tasks: DataFrame) -> DataFrame:
+    """The distinct versions of code, declarations and specs among recorded tasks."""
+    return tasks.where("status is not null").select("run_code_id", "uses_code_id", "io_code_id").distinct()
+
+
 def _reason(flag: Column, category: str, message: Column | str) -> Column:
     made = F.struct(F.lit(category).alias("category"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
     return F.when(flag, made)
@@ -57,7 +70,6 @@ def _among(column: str, passed: tuple[list, bool]) -> Column:
 
 def plan(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: str | None = None, force: bool = False, ignore_code_changes: bool = False) -> Plan:
     began = time.perf_counter()
-    records = durable(store.records(spark), "records")
     deferred: list[Rule] = []
     done: dict[Rule, DataFrame] = {}
     reruns: dict[Rule, bool] = {}
@@ -66,12 +78,16 @@ def plan(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: str
             deferred.append(rule)
             continue
         try:
-            tasks = task_frame(spark, rule, topo, pipeline.check_outputs != "never", query)
+            tasks = task_frame(spark, rule, topo, query)
         except Defer:
             deferred.append(rule)
             continue
-        known = tasks.join(records.drop("rule"), "key", "left")
-        done[rule] = durable(_judged(known, rule, done, reruns, store, pipeline.check_outputs, force, ignore_code_changes), f"plan-{rule.name}")
+        if pipeline.check_outputs == "never":
+            tasks = tasks.withColumns({"complete": F.lit(None).cast("boolean"), "outputs": F.lit(None).cast("long")})
+        else:
+            tasks = with_completeness(tasks, rule.outputs)
+        known = tasks.join(store.records(spark, rule.name).drop("rule"), "key", "left")
+        done[rule] = durable(_judged(known, rule, done, store, pipeline.check_outputs, force, ignore_code_changes), f"plan-{rule.name}")
         reruns[rule] = not done[rule].where("will_run").isEmpty()
     tasks = None
     for frame in done.values():
@@ -80,7 +96,7 @@ def plan(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: str
     return Plan(tasks, deferred, done)
 
 
-def _judged(tasks: DataFrame, rule: Rule, done: dict[Rule, DataFrame], reruns: dict[Rule, bool], store: StateStore, check: str, force: bool, ignore: bool) -> DataFrame:
+def _judged(tasks: DataFrame, rule: Rule, done: dict[Rule, DataFrame], store: StateStore, check: str, force: bool, ignore: bool) -> DataFrame:
     never, ok = F.col("status").isNull(), F.col("status") == SUCCESS
     adopted = never & F.coalesce("complete", F.lit(False)) if check in ("fallback", "always") else F.lit(False)
     state = F.when(F.col("status") == FAILED, "failed").otherwise("pending")
@@ -93,7 +109,7 @@ def _judged(tasks: DataFrame, rule: Rule, done: dict[Rule, DataFrame], reruns: d
     own = (never & ~adopted) | (~never & ~ok)
 
     if not force and not ignore:
-        seen = tasks.where(~never).select("run_code_id", "uses_code_id", "io_code_id").distinct().collect()  # versions, not tasks
+        seen = versions(tasks).collect()
         texts = store.text({i for r in seen for i in r})
         current = {"run_code_id": rule.source, "uses_code_id": code.uses_text(rule.uses), "io_code_id": code.io_text(rule.inputs, rule.outputs)}
         same = {
@@ -124,17 +140,12 @@ def _judged(tasks: DataFrame, rule: Rule, done: dict[Rule, DataFrame], reruns: d
     clock, above, n = F.lit(None).cast("long"), F.lit(False), 0
     for dep in rule.depends_on:
         upstream, n = done[dep], n + 1
-        if same_matrix(rule, dep):
-            facts = upstream.groupBy("kw_id").agg(F.bool_or("will_run").alias(f"up{n}"), F.max("run_seq").alias(f"seq{n}"))
-            tasks = tasks.join(facts, "kw_id", "left")
-            here = F.coalesce(F.col(f"up{n}"), F.lit(False))
-            reasons.append(_reason(here, "upstream-rerun", f"upstream {dep.name} reruns (same kwargs)"))
-        else:
-            tasks = tasks.join(F.broadcast(upstream.agg(F.max("run_seq").alias(f"seq{n}"))), F.lit(True))
-            here = F.lit(reruns[dep])
-            reasons.append(_reason(here, "upstream-rerun", f"tasks of upstream {dep.name} rerun (other matrix: all downstream tasks)"))
+        tasks = with_upstream(tasks, upstream, rule.elementwise(dep), [F.bool_or("will_run").alias(f"up{n}"), F.max("run_seq").alias(f"seq{n}")])
+        here = F.coalesce(F.col(f"up{n}"), F.lit(False))
+        told = f"upstream {dep.name} reruns (same kwargs)" if rule.elementwise(dep) else f"tasks of upstream {dep.name} rerun (other matrix: all downstream tasks)"
+        reasons.append(_reason(here, "upstream-rerun", told))
         above, clock = above | here, F.greatest(clock, F.col(f"seq{n}")) if n > 1 else F.col(f"seq{n}")
-    newer = ~never & F.coalesce(clock > F.col("run_seq"), F.lit(False)) & ~above
+    newer = ~never & ran_later(clock, F.col("run_seq")) & ~above
     reasons.append(_reason(newer, "upstream-newer", "an upstream task ran more recently"))
     will = F.lit(True) if force else own | above | newer
     listed = F.filter(F.array(*reasons), lambda r: r.isNotNull()).cast(REASON)
@@ -154,7 +165,7 @@ def cascade(spark: SparkSession, pipeline: Pipeline, known: dict[Rule, DataFrame
             n += 1
             up = known[dep].select("rule", "kw_id", F.col("run_seq").alias("seq")).join(settled.withColumn("in", F.lit(True)), ["rule", "kw_id"], "left")
             facts = [F.bool_or(F.coalesce("in", F.lit(False))).alias(f"in{n}"), F.max(F.when(F.col("in").isNull(), F.col("seq"))).alias(f"seq{n}")]
-            own = own.join(up.groupBy("kw_id").agg(*facts), "kw_id", "left") if same_matrix(rule, dep) else own.join(F.broadcast(up.agg(*facts)), F.lit(True))
+            own = with_upstream(own, up, rule.elementwise(dep), facts)
             good = good | F.coalesce(F.col(f"in{n}"), F.lit(False))
             bad = bad | F.coalesce(F.col(f"seq{n}") > F.col("run_seq"), F.col(f"seq{n}").isNotNull())
         settled = durable(settled.unionByName(own.where(good & ~bad).select("rule", "kw_id")), "settled")

@@ -2,38 +2,49 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import logging
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.errors import Defer, FreshetError, LookupFailed
 from freshet.operators import reports
-from freshet.plans.model import Pipeline, Rule, declared_names, path_frame, task_frame
-from freshet.plans.planner import cascade, plan
-from freshet.sources import tokens
+from freshet.plans.model import Pipeline, Rule, path_frame, task_frame
+from freshet.plans.planner import Plan, cascade, plan
+from freshet.sources import matrix as grids
+from freshet.sources import outputs
 from freshet.sources.scratch import durable
-from freshet.sources.state import SUCCESS, StateStore, track
+from freshet.sources.state import FAILED, SUCCESS, StateStore, track
 
 log = logging.getLogger("freshet")
 
 
+def state_counts(made: Plan) -> DataFrame:
+    """For each rule, and for all together (``rule`` null), the four states that partition the tasks, and the number to run."""
+    # a pending task that the plan leaves out was adopted: it is up to date
+    named = F.when(F.col("status") == FAILED, "failed").when(F.col("status") == SUCCESS, "success").when(~F.col("will_run"), "success").otherwise("pending")
+    return reports.status_partition(made.tasks.withColumn("state", named), "rule", "state", "will_run", totals=True)
+
+
+def reason_counts(made: Plan) -> DataFrame:
+    return reports.reason_tally(made.tasks.where("will_run").withColumn("why", F.col("reasons.category")), "rule", "why")
+
+
 def status(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: str | None = None) -> dict:
     """For each rule the four states that partition its tasks, the number to run, and why; and totals."""
     made = plan(spark, pipeline, store, query)
     rows, why = {}, {}
     if made.tasks is not None:
-        # a pending task that the plan leaves out was adopted: it is up to date
-        named = F.when(F.col("status") == 2, "failed").when(F.col("status") == 1, "success").when(~F.col("will_run"), "success").otherwise("pending")
-        counted = reports.status_partition(made.tasks.withColumn("state", named), "rule", "state", "will_run")
-        rows = {r.rule: r.asDict() for r in counted.collect()}
-        tally = reports.reason_tally(made.tasks.where("will_run").withColumn("why", F.col("reasons.category")), "rule", "why")
-        for r in tally.collect():
+        rows = {r.rule: r.asDict() for r in state_counts(made).collect()}
+        for r in reason_counts(made).collect():
             why.setdefault(r.rule, {})[r.category] = r.n
-    listed = [{"rule": r.name, "deferred": True} if r in made.deferred else {"deferred": False, "reasons": why.get(r.name, {})} | rows.get(r.name, {"rule": r.name, "tasks": 0, "up_to_date": 0, "stale": 0, "failed": 0, "pending": 0, "to_run": 0}) for r in pipeline.order]
-    names = ("tasks", "up_to_date", "stale", "failed", "pending", "to_run")
-    return {"rules": listed, "totals": {n: sum(r.get(n, 0) for r in listed) for n in names}}
+    nothing = dict.fromkeys(("tasks", "up_to_date", "stale", "failed", "pending", "to_run"), 0)
+    listed = [{"rule": r.name, "deferred": True} if r in made.deferred else {"deferred": False, "reasons": why.get(r.name, {})} | rows.get(r.name, {"rule": r.name} | nothing) for r in pipeline.order]
+    return {"rules": listed, "totals": {n: rows.get(None, nothing)[n] for n in nothing}}
 
 
 def failed_members(spark: SparkSession, store: StateStore) -> DataFrame:
@@ -63,12 +74,16 @@ def all_tasks(spark: SparkSession, pipeline: Pipeline, query: str | None = None)
     return out
 
 
+def with_prefix(tasks: DataFrame, prefix: str) -> DataFrame:
+    return tasks.where(F.col("key").startswith(prefix))
+
+
 def find(spark: SparkSession, pipeline: Pipeline, key: str | None = None, query: str | None = None):
     """The one task with a key or prefix of a key, or that a query selects."""
     if bool(key) == bool(query):
         raise LookupFailed("give a key or a query, and not both")
     tasks = all_tasks(spark, pipeline, query)
-    hits = (tasks.where(F.col("key").startswith(key)) if key else tasks).limit(2).collect()
+    hits = (with_prefix(tasks, key) if key else tasks).limit(2).collect()
     if len(hits) != 1:
         raise LookupFailed(f"{'no task matches' if not hits else 'several tasks match'} {key or query!r}")
     return hits[0]
@@ -78,29 +93,39 @@ def why(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: str |
     """``rule``, ``kw``, ``key``, ``will_run``, ``reasons`` of the tasks asked for; one plan serves all."""
     tasks = plan(spark, pipeline, store).tasks
     if key:
-        tasks = tasks.where(F.col("key").startswith(key))
+        tasks = with_prefix(tasks, key)
     if query:
         wanted = all_tasks(spark, pipeline, query).select("key")
         tasks = tasks.join(wanted, "key", "left_semi")
     return tasks.select("rule", "kw", "key", "will_run", "reasons")
 
 
+def _paths(tasks: DataFrame, rule: Rule) -> DataFrame:
+    """The same for one rule whose specs only Python can render: on the executors."""
+    name, specs = rule.name, {"in": rule.inputs, "out": rule.outputs}
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(name, part, str(v)) for kw in batch.column(0).to_pylist() for part, spec in specs.items() for v in outputs.resolve(spec, json.loads(kw)).values()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 3)], ["rule", "part", "path"])
+
+    return tasks.select("kw").mapInArrow(emit, "rule string, part string, path string")
+
+
 def files(spark: SparkSession, pipeline: Pipeline) -> tuple[DataFrame, list[Rule]]:
     """``rule``, ``part`` (in, out), ``path`` of all tasks; and the rules whose matrix is not ready."""
-    rows, waiting, frames = [], [], []
+    waiting, frames = [], []
     for rule in pipeline.rules:
         frame = path_frame(spark, rule)
         if frame is not None:
             frames.append(frame.select(F.lit(rule.name).alias("rule"), "part", "path"))
             continue
         try:
-            for kwargs in rule.rows():
-                rows += [(rule.name, "in", str(v)) for v in tokens.resolved(rule.inputs, kwargs).values()]
-                rows += [(rule.name, "out", str(v)) for v in tokens.outputs_of(rule.outputs, kwargs).values()]
+            frames.append(_paths(task_frame(spark, rule, 0), rule))
         except Defer:
             log.warning("%s: matrix not ready, left out", rule.name)
             waiting.append(rule)
-    found = spark.createDataFrame(rows, "rule string, part string, path string")
+    found = spark.createDataFrame([], "rule string, part string, path string")
     for frame in frames:
         found = found.unionByName(frame)
     return found, waiting
@@ -142,18 +167,26 @@ def rule_dag(pipeline: Pipeline, with_matrix: bool = False) -> dict:
         out["matrix"] = {}
         for r in pipeline.order:
             try:
-                rows = r.rows()
-                out["matrix"][r.name] = [len(rows), list(rows[0]) if rows else []]
+                grid = r.grid()
+                out["matrix"][r.name] = [grid.size(), sorted(grid.names)]
             except Defer:
                 out["matrix"][r.name] = [None, None]
     return out
 
 
+def depths(pipeline: Pipeline) -> dict[str, int]:
+    """How many rules lie above each, on the longest way."""
+    out: dict[str, int] = {}
+    for r in pipeline.order:
+        out[r.name] = max((out[d.name] + 1 for d in r.depends_on), default=0)
+    return out
+
+
 def rule_info(pipeline: Pipeline, name: str) -> dict:
     r = pipeline[name]
-    names = declared_names(r.matrix)
+    names = None if callable(r.matrix) else grids.parsed(r.matrix, r.name).names
     try:
-        n = len(r.rows())
+        n = r.grid().size()
     except Defer:
         n = None
     spec = lambda s: None if s is None else "function" if callable(s) else {k: str(v) for k, v in s.items()}
@@ -165,38 +198,51 @@ def task_info(spark: SparkSession, pipeline: Pipeline, store: StateStore, key: s
     task = find(spark, pipeline, key, query)
     rule, kwargs = pipeline[task.rule], json.loads(task.kw)
     record = store.records(spark).where(F.col("key") == task.key).first()
-    inputs = {k: {"value": str(v), "exists": tokens.wrap(v).is_complete() if isinstance(v, (str, tokens.Token)) else None} for k, v in tokens.resolved(rule.inputs, kwargs).items()}
-    outputs = {k: {"value": str(t), "complete": t.is_complete()} for k, t in tokens.outputs_of(rule.outputs, kwargs).items()}
-    return {"rule": task.rule, "kwargs": kwargs, "key": task.key, "record": record and record.asDict(), "inputs": inputs, "outputs": outputs}
+    there = lambda v: outputs.holds(v if isinstance(v, outputs.Output) else outputs.Output(str(v)))
+    inputs = {k: {"value": str(v), "exists": there(v) if isinstance(v, (str, outputs.Output)) else None} for k, v in outputs.resolve(rule.inputs, kwargs).items()}
+    made = {k: {"value": str(x), "complete": there(x)} for k, x in outputs.outputs_for(rule.outputs, kwargs).items()}
+    return {"rule": task.rule, "kwargs": kwargs, "key": task.key, "record": record and record.asDict(), "inputs": inputs, "outputs": made}
+
+
+#: Options of set-state that do not go together.
+SET_STATE_CLASHES = {
+    "one of success and pending": lambda o: o["success"] == o["pending"],
+    "a look at outputs, or a cascade that is left out, with success only": lambda o: o["pending"] and (o["check_outputs"] or not o["with_downstream"]),
+}
 
 
 def set_state(spark: SparkSession, pipeline: Pipeline, store: StateStore, query: str, success: bool = False, pending: bool = False, check_outputs: bool = False, with_downstream: bool = True, dry_run: bool = False) -> dict:
-    """Record tasks as successful without running them (and, downstream, what would only look stale by it), or forget them."""
-    if success == pending:
-        raise FreshetError("give success or pending")
-    if pending and (check_outputs or not with_downstream):
-        raise FreshetError("outputs are checked and states passed on for success only")
-    chosen = all_tasks(spark, pipeline, query)
-    rows = chosen.collect()
+    """Record tasks as successful without running them (and, downstream, what would only look stale by it), or forget them.
+    The tasks are relations throughout; only numbers come to the driver."""
+    options = {"success": success, "pending": pending, "check_outputs": check_outputs, "with_downstream": with_downstream}
+    for asked, clashes in SET_STATE_CLASHES.items():
+        if clashes(options):
+            raise FreshetError(f"set-state takes {asked}")
+    tasks = durable(all_tasks(spark, pipeline, query).select("rule", "kw", "kw_id", "key"), "chosen")
+    picked = tasks
     if check_outputs:
-        rows = [t for t in rows if tokens.complete(tokens.outputs_of(pipeline[t.rule].outputs, json.loads(t.kw)))]
-    picked = spark.createDataFrame([(t.rule, t.kw_id, t.key) for t in rows], "rule string, kw_id string, key string")
-    out = {"state": "success" if success else "pending", "tasks": len(rows), "cascaded": 0, "skipped": chosen.count() - len(rows)}
-    if pending:
-        if not dry_run:
-            store.append(picked.select("key", "rule", F.lit("delete").alias("kind")))
-        return out
-    marked = picked
-    if with_downstream:
-        known = plan(spark, pipeline, store)
-        settled = cascade(spark, pipeline, known.by_rule, picked)
-        more = known.tasks.join(settled, ["rule", "kw_id"], "left_semi").select("rule", "kw_id", "key").join(picked.select("key"), "key", "left_anti").select("rule", "kw_id", "key")
-        out["cascaded"] = more.count()
-        marked = durable(picked.unionByName(more), "settled")
+        made = [outputs.with_completeness(tasks.where(F.col("rule") == r.name), r.outputs).where("complete") for r in pipeline.order]
+        picked = durable(functools.reduce(DataFrame.unionByName, made).select(*tasks.columns), "complete")
+    n = picked.count()
+    told = {"state": "success" if success else "pending", "tasks": n, "cascaded": 0, "skipped": tasks.count() - n}
+    events = picked.select("key", "rule", F.lit("delete").alias("kind"))
+    if success:
+        if with_downstream:
+            known = plan(spark, pipeline, store)
+            settled = cascade(spark, pipeline, known.by_rule, picked)
+            more = durable(known.tasks.join(settled, ["rule", "kw_id"], "left_semi").join(picked, "key", "left_anti").select(*tasks.columns), "cascaded")
+            told["cascaded"] = more.count()
+            picked = picked.unionByName(more)
+        events = None if dry_run else _successes(spark, pipeline, store, picked)
     if not dry_run:
-        from freshet.plans.execute import now
+        store.append(events)
+    return told
 
-        seq, stamp = store.begin(), now()
-        ids = spark.createDataFrame([(r.name, *track(store, r)) for r in pipeline.rules], "rule string, run_code_id long, uses_code_id long, io_code_id long")
-        store.append(marked.join(F.broadcast(ids), "rule").select("key", "rule", F.lit("state").alias("kind"), F.lit(SUCCESS).alias("status"), F.lit(stamp).alias("ts"), "run_code_id", "uses_code_id", "io_code_id", F.lit(seq).alias("run_seq"), F.lit("").alias("exception")))
-    return out
+
+def _successes(spark: SparkSession, pipeline: Pipeline, store: StateStore, tasks: DataFrame) -> DataFrame:
+    """Events that stamp ``tasks`` with the present code and a new value of the clock."""
+    from freshet.plans.execute import now
+
+    stamp = {"kind": F.lit("state"), "status": F.lit(SUCCESS), "ts": F.lit(now()), "run_seq": F.lit(store.begin()), "exception": F.lit("")}
+    ids = spark.createDataFrame([(r.name, *track(store, r)) for r in pipeline.rules], "rule string, run_code_id long, uses_code_id long, io_code_id long")
+    return tasks.select("key", "rule").join(F.broadcast(ids), "rule").withColumns(stamp)

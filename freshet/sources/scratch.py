@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 
 def durable(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet and read again: computed once, short lineage, and safe from lost executors. The folder is
-    ``spark.checkpoint.dir``; only where the session has none is a temporary one set."""
+    ``spark.checkpoint.dir``; where a session on one machine has none, a temporary one is set."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="freshet-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/freshet/{label}-{uuid.uuid4().hex}"

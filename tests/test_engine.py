@@ -4,12 +4,13 @@ import json
 
 import pytest
 
-from freshet import Defer, FileToken, LookupFailed, ParquetStore, Pipeline, SignatureError, SparkExecutor, deferrable, plan, rule, run
+from freshet import Defer, LookupFailed, Output, ParquetStore, Pipeline, SignatureError, SparkExecutor, deferrable, plan, rule, run
 from freshet.cli import main
 from freshet.functions import code
 from freshet.plans import report
 from freshet.sources import files
-from freshet.plans.model import Rule, kwargs_id, task_key
+from freshet.sources.outputs import array_store, spark_table, with_completeness
+from freshet.plans.model import Rule, kwargs_id, task_frame, task_key
 from freshet.sources.matrix import rows_of
 from freshet.streaming.ingest import ingest, ingest_stream, write_result, write_spec
 
@@ -141,7 +142,7 @@ def test_lint(spark, tmp_path):
 
 def test_paths_of_a_grid_are_the_lists(spark):
     grid = {"z": ["it's", None, 1.5], ("b", "a"): [(1, True), (-3, False)]}
-    r = Rule(lambda inputs, outputs, z, a, b: None, inputs={"x": "in/{a}/{z}"}, outputs={"y": FileToken("o/{b}-{a}.{z}"), "k": "const"}, matrix=grid, given_name="r")
+    r = Rule(lambda inputs, outputs, z, a, b: None, inputs={"x": "in/{a}/{z}"}, outputs={"y": Output("o/{b}-{a}.{z}"), "k": "const"}, matrix=grid, given_name="r")
     odd = Rule(lambda outputs, n: None, outputs={"y": "o/{n:03d}"}, matrix={"n": [1, 22]}, given_name="odd")
     found, _ = report.files(spark, Pipeline([r, odd]))
     want = [("r", part, str(v)) for k in r.rows() for part, spec in (("in", r.inputs), ("out", r.outputs)) for v in (str(t).format(**k) for t in spec.values())]
@@ -168,7 +169,8 @@ def test_results_of_elsewhere(spark, tmp_path):
         write_result(tmp_path / "results", r.key({"year": y}), rule="generate", status=1, exception="", run_seq=1, timestamp="2024-01-01 00:00:00", resources={"wall_s": 1.5, "cpu_s": None, "max_rss_bytes": 10, "rss_method": "x"}, **texts)
     (tmp_path / "results" / "ab").mkdir()
     (tmp_path / "results" / "ab" / "bad.json").write_text("{nonsense")
-    assert ingest(spark, tmp_path / "results", store) == 3 and ingest(spark, tmp_path / "results", store) == 0
+    assert ingest(spark, tmp_path / "results", store) == 2 and ingest(spark, tmp_path / "results", store) == 0
+    assert [f.name for f in (tmp_path / "results").glob("*/*.json")] == ["bad.json"]  # what could not be read stays
     assert {k for k in planned(spark, p, store) if k[0] == "generate"} == {("generate", '{"year": 2002}')}
     write_result(tmp_path / "later", r.key({"year": 2002}), rule="generate", status=1, exception="", run_seq=2, timestamp="2024-01-02 00:00:00", **texts)
     ingest_stream(spark, str(tmp_path / "later"), store, str(tmp_path / "checkpoint")).awaitTermination()
@@ -179,6 +181,78 @@ def test_results_of_elsewhere(spark, tmp_path):
         write_spec(tmp_path / "specs", 3, "generate", tasks)
 
 
+def test_a_late_result_does_not_replace_a_newer_one(spark, tmp_path):
+    p, store = chain(tmp_path), ParquetStore(tmp_path / "s")
+    key = p["generate"].key({"year": 2000})
+    for number, (seq, status) in enumerate(((9, 1), (2, 2), (None, 2), (9, 2), (10, 1))):
+        write_result(tmp_path / "results", key, rule="generate", status=status, run_seq=seq, timestamp="2024-01-01 00:00:00")
+        assert ingest(spark, tmp_path / "results", store, p) == 1
+        (record,) = store.records(spark).collect()
+        assert (record.status, record.run_seq) == ((1, 9) if number < 4 else (1, 10))
+    # an older writer's result without hashes gets the present code's ids, so that it causes no rerun
+    assert ("generate", '{"year": 2000}') not in planned(spark, p, store)
+
+
+def test_a_replayed_batch_is_taken_once(spark, tmp_path):
+    store = ParquetStore(tmp_path / "s")
+    event = spark.createDataFrame([("a", "exec", 1)], "key string, kind string, status int")
+    store.take("batch#0", event)
+    store.take("batch#0", event)
+    assert store.events(spark).count() == 1 and store.taken("batch#0") and not store.taken("batch#1")
+
+
+def test_outputs_are_found_by_listing(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "_SUCCESS").write_text("")
+    (tmp_path / "z").mkdir()
+    (tmp_path / "a 1%.txt").write_text("")
+    specs = {"x": f"{tmp_path}/a {{n}}%.txt", "t": spark_table(f"{tmp_path}/t"), "own": Output("job {n}", check=lambda name: name.endswith("1"))}
+    tasks = task_frame(spark, Rule(lambda outputs, n: None, outputs=specs, matrix={"n": [1, 2]}, given_name="r"), 0)
+    for spec, want in ((specs, [(3, True), (3, False)]), ({"z": array_store(f"{tmp_path}/z")}, [(1, False)] * 2), (None, [(0, False)] * 2), (lambda n: {"x": str(tmp_path / "z")}, [(1, True)] * 2)):
+        assert [(r.outputs, r.complete) for r in with_completeness(tasks, spec).orderBy("ord").collect()] == want
+    with pytest.raises(Exception, match="an output is a path"):
+        with_completeness(tasks, lambda n: {"x": 5}).collect()
+
+
+def test_relation_as_matrix(spark):
+    frame = spark.createDataFrame([(1, "a"), (2, None)], "n long, s string")
+    up = Rule(lambda n, s: None, matrix=lambda: frame, given_name="up")
+    got = task_frame(spark, up, 0, "n > 1 or s == 'a'").collect()
+    assert {(r.kw, r.key) for r in got} == {(json.dumps(k), task_key("up", k)) for k in ({"n": 1, "s": "a"}, {"n": 2, "s": None})}
+    assert up.elementwise(Rule(lambda n, s: None, matrix=up.matrix)) and not up.elementwise(Rule(lambda: None))
+    with pytest.raises(SignatureError):
+        Rule(lambda n: None, matrix=lambda: frame, given_name="odd").grid()
+
+
+def test_bound_function_sees_declared_names():
+    def outer():
+        inner, other = 1, 2
+        return lambda x=0, *, y=0: (inner, other, x, y)
+
+    fn = outer()
+    assert code.Bound(fn, {"inner": 7})(3, y=4) == (7, 2, 3, 4) and fn() == (1, 2, 0, 0)
+
+
+def test_sampling_interval():
+    from freshet.plans import execute
+
+    assert [execute.sampling_interval(x) for x in (0, -1, "junk", None, 1e-9, "0.05", 2, float("nan"), float("inf"))] == [0.05, 0.05, 0.05, 0.05, 0.01, 0.05, 2, 0.05, 0.05]
+    sampler = execute.MemorySampler()
+    sampler.start()
+    held = bytearray(80_000_000)
+    peak, method = sampler.finish()
+    assert peak > len(held) and method in ("sampled", "process-peak")
+
+
+def test_state_versions_clash(spark, tmp_path):
+    one, two = ParquetStore(tmp_path / "s"), ParquetStore(tmp_path / "s")
+    assert one.begin() == 1 and two.begin() == 2
+    with pytest.raises(Exception, match="exist"):
+        one.manifests.write({}, 1)
+    (tmp_path / "s" / "state-000000000009.json").write_text("{cut off")
+    assert one.begin() == 3
+
+
 def test_store_folds(spark, tmp_path):
     store = ParquetStore(tmp_path / "s")
     event = lambda **k: store.append(spark.createDataFrame([k], ", ".join(f"{c} {t}" for c, t in {"key": "string", "kind": "string", "status": "int", "wall_s": "double", "run_seq": "long"}.items() if c in k)))
@@ -212,7 +286,7 @@ def test_matrix_forms():
 
 
 def test_contract():
-    good = dict(inputs={"x": "a/{n}"}, outputs={"y": FileToken("b/{n}")}, matrix={"n": [1]})
+    good = dict(inputs={"x": "a/{n}"}, outputs={"y": Output("b/{n}")}, matrix={"n": [1]})
     assert isinstance(rule(**good)(lambda inputs, outputs, n: None), Rule)
     for fn, spec in ((lambda outputs, inputs, n: None, good), (lambda inputs, outputs: None, good), (lambda inputs, outputs, n, m: None, good), (lambda *a: None, {}), (lambda inputs: None, {}), (lambda inputs: None, {"inputs": {}}), (lambda inputs, n: None, {"inputs": {"x": "{m}"}, "matrix": {"n": [1]}}), (lambda inputs, n: None, {"inputs": lambda m: {}, "matrix": {"n": [1]}})):
         with pytest.raises(SignatureError):
@@ -223,7 +297,7 @@ def test_code_tracking():
     assert code.same_code("def f():\n  return 1", "def f():\n    # why\n    return 1") and not code.same_code("x = 1", "x = 2")
     assert not code.same_code("x = (", "x = [") and not code.same_code("x\0", "y\0")
     uses = {"a": 1, "f": rows_of}
-    assert code.parse_uses(code.uses_text(uses)) == code.uses_lines(uses)
+    assert code.parse_uses(code.uses_text(uses)) == {"a": "1", "f": code.version(rows_of)}
     assert "a: 1 -> 2" in code.uses_change(code.uses_text({"a": 1}), {"a": 2}) and "(added)" in code.uses_change("", {"a": 2})
     assert code.undeclared(chain, {}) and "json" not in code.undeclared(test_deferred_matrix, {})
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from freshet import ParquetStore, Pipeline, Rule, plan
-from freshet.plans.model import kwargs_id, same_matrix, task_key
+from freshet.plans.model import kwargs_id, task_key
 from freshet.plans.planner import cascade
 from freshet.sources.state import track
 
@@ -37,7 +37,7 @@ def state(rng, spark, p, store):
 
 def upstream(p, r, kid, values):
     for d in r.depends_on:
-        yield from ([values[d][kid]] if same_matrix(r, d) and kid in values[d] else [] if same_matrix(r, d) else values[d].values())
+        yield from ([values[d][kid]] if r.elementwise(d) and kid in values[d] else [] if r.elementwise(d) else values[d].values())
 
 
 def model(p, records):
@@ -72,7 +72,7 @@ def test_random_pipelines(spark, tmp_path, seed):
             kid, rec = kwargs_id(k), records.get(task_key(r.name, k))
             if rec is None or rec["status"] != 1 or (r.name, kid) in settled:
                 continue
-            ups = [(d, u) for d in r.depends_on for u in ([kid] if same_matrix(r, d) else seqs[d]) if u in seqs[d]]
+            ups = [(d, u) for d in r.depends_on for u in ([kid] if r.elementwise(d) else seqs[d]) if u in seqs[d]]
             good = any((d.name, u) in settled for d, u in ups)
             bad = any((d.name, u) not in settled and seqs[d][u] is not None and (rec["seq"] is None or seqs[d][u] > rec["seq"]) for d, u in ups)
             if good and not bad:

@@ -97,14 +97,19 @@ def test_catalogue(spark, duck, name):
 
 
 def test_every_runnable_task_has_a_place(spark):
-    runnable = catalogue.queries()["own_rerun_reasons"](spark, SF).where("reason is not null").select("rule", "id").collect()
-    got = catalogue.queries()["runnable_places"](spark, SF).orderBy("place").collect()
-    assert [(r.rule, r.id) for r in got] == sorted(map(tuple, runnable)) and len(got) > 50
-    assert [r.place for r in got] == list(range(1, len(got) + 1))
+    got = catalogue.queries()["runnable_order"](spark, SF).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, len(got) + 1)) and len(got) > 50
     rows = spark.createDataFrame([("b", 2), (None, 7), ("b", 1), ("a", 9)], "rule string, id long")
     assert sorted(tuple(r) for r in store.places(rows, "rule", ["id"]).collect()) == [(1, None, 7), (2, "a", 9), (3, "b", 1), (4, "b", 2)]
 
 
+def test_places_in_large_groups(spark):
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE 'hot' END AS g", "(id * 7919) % 500 AS v")
+    got = {r.id: r["at"] for r in store.numbered(rows, "g", ["v", "id"], "at").collect()}
+    for members in ([i for i in range(3000) if i % 3 == 0], [i for i in range(3000) if i % 3]):
+        assert [got[i] for i in sorted(members, key=lambda i: ((i * 7919) % 500, i))] == list(range(len(members)))
+
+
 def test_failure_members_are_all_listed(spark):
     trace = 'Traceback (most recent call last):\n  File "run.py", line {}, in step\n{}: x'
     rows = [(i, f"k{i}", trace.format(i % 2, "KeyError" if i % 3 else "ValueError")) for i in range(12)] + [(12, "k12", None), (13, "k13", None)]
