@@ -297,8 +297,9 @@ def test_code_tracking():
     assert code.same_code("def f():\n  return 1", "def f():\n    # why\n    return 1") and not code.same_code("x = 1", "x = 2")
     assert not code.same_code("x = (", "x = [") and not code.same_code("x\0", "y\0")
     uses = {"a": 1, "f": rows_of}
-    assert code.parse_uses(code.uses_text(uses)) == {"a": "1", "f": code.version(rows_of)}
+    assert code.parsed_version(code.uses_text(uses)) == {"a": "1", "f": code.version(rows_of)}
     assert "a: 1 -> 2" in code.uses_change(code.uses_text({"a": 1}), {"a": 2}) and "(added)" in code.uses_change("", {"a": 2})
+    assert "(added)" in code.uses_change("a=1", {"a": 2}) and "inputs and outputs" in code.io_change("inputs=", code.io_text({"x": "a"}, {"y": "b"}))
     assert code.undeclared(chain, {}) and "json" not in code.undeclared(test_deferred_matrix, {})
 
 
