@@ -5,7 +5,8 @@ a boilerplate ratio are dropped from that host's pages.
 
 Plan: one shuffle of (host, line hash, count), summed on the map side, so neither a hot host nor a hot line
 meets in one task; texts are not shuffled while the boilerplate lines found fit a broadcast (their number is
-counted first), and beyond that positions to drop are joined instead. Lines are compared by 64-bit
+counted first), and beyond that positions to drop are joined instead, by two written tables, so that Spark's adaptive
+execution splits the rows of a hot line. Lines are compared by 64-bit
 hashes: a wrong drop needs a line whose hash equals that of one of the same host's few boilerplate lines.
 
 Cases: a null text stays null and has no lines; lines without a word are never counted or dropped; a null host
@@ -55,7 +56,7 @@ def drop_boilerplate(docs: DataFrame, max_ratio: float = 0.1, min_pages: int = 5
         kept = F.when(F.coalesce(F.size("hit"), F.lit(0)) > 0, F.filter("lines", lambda x: ~F.array_contains("hit", line_hash(x)))).otherwise(F.col("lines"))
         return hit.select("row", "lines", kept.alias("kept"))
     pages = durable(pages.withColumn("page", F.monotonically_increasing_id()), "pages")  # written once, so that page numbers stay
-    placed = pages.select("page", "host", F.posexplode("lines").alias("at", "line")).select("page", "host", "at", line_hash("line").alias("h"))
+    placed = durable(pages.select("page", "host", F.posexplode("lines").alias("at", "line")).select("page", "host", "at", line_hash("line").alias("h")), "placed-lines")
     dropped = placed.join(drop, ["host", "h"], "left_semi").groupBy("page").agg(F.collect_set("at").alias("out"))
     kept = F.when(F.col("out").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("out", i)))
     return pages.join(dropped, "page", "left").select("row", "lines", kept.alias("kept"))

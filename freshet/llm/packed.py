@@ -93,19 +93,27 @@ def _merged(group: pa.Table, ranges: int, bits: int, least: int) -> tuple[int, n
 
 
 def frequent_bits(sent: DataFrame, ranges: int, bits: int, least: int, table_bits: int) -> np.ndarray:
-    """A table of 2^table_bits bits, with those set that a frequent hash has at its top: each range sends its own slice."""
+    """A table of 2^table_bits bits, with those set that a hash counted ``least`` times or more has at its top."""
+    return tables_of(sent, ranges, bits, [least], table_bits)[0]
 
-    def merge(group: pa.Table) -> pa.Table:
-        part, v, _ = _merged(group, ranges, bits, least)
-        slice_ = np.zeros(1 << (table_bits - ranges), np.uint8)
-        slice_[(v >> np.uint64(bits - table_bits)).astype(np.int64)] = 1
-        return pa.table({"part": pa.array([part], pa.int32()), "slice": pa.array([np.packbits(slice_, bitorder="little").tobytes()], pa.binary())})
 
-    table = np.zeros(1 << (table_bits - 3), np.uint8)
+def tables_of(sent: DataFrame, ranges: int, bits: int, leasts: list[int], table_bits: int) -> list[np.ndarray]:
+    """Such a table for each of several least counts: each range sends its own slices."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        part, v, c = _merged(group, ranges, bits, min(leasts))
+        place, slices = (v >> np.uint64(bits - table_bits)).astype(np.int64), []
+        for least in leasts:
+            slice_ = np.zeros(1 << (table_bits - ranges), np.uint8)
+            slice_[place[c >= least]] = 1
+            slices.append(np.packbits(slice_, bitorder="little").tobytes())
+        return pa.table({"part": pa.array([part] * len(leasts), pa.int32()), "which": pa.array(range(len(leasts)), pa.int32()), "slice": pa.array(slices, pa.binary())})
+
+    tables = [np.zeros(1 << (table_bits - 3), np.uint8) for _ in leasts]
     size = 1 << (table_bits - ranges - 3)
-    for row in sent.groupBy("part").applyInArrow(merge, "part int, slice binary").toLocalIterator():
-        table[row.part * size : (row.part + 1) * size] = np.frombuffer(row.slice, np.uint8)
-    return table.view(np.int64)
+    for row in sent.groupBy("part").applyInArrow(merge, "part int, which int, slice binary").toLocalIterator():
+        tables[row.which][row.part * size : (row.part + 1) * size] = np.frombuffer(row.slice, np.uint8)
+    return [t.view(np.int64) for t in tables]
 
 
 def bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:

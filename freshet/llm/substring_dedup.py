@@ -12,6 +12,10 @@ of equals). Equal windows have equal anchors at equal offsets. So it is enough t
 suffixes that start at its places, each with the context that its windows cover (LENGTH to 2 * LENGTH - GRAM
 bytes), and windows with different anchor strings never meet.
 
+Hot anchors, with HOT occurrences or more, are not gathered in one group: a window that starts up to WINDOW - 1 bytes
+before a multiple of WINDOW holds the LENGTH - WINDOW + 1 bytes from there on, so each context is dealt to a group for each
+of these strings that it holds, and windows that are equal meet in one of them.
+
 What moves: hashes of anchors, as packed sorted differences, to find those that occur twice or more (a table of
 bits, of bounded size, is broadcast; a wrong bit only moves a context more); the contexts of these anchors, packed by
 range of hash; spans; and the texts once, to be joined with their spans. Within a task equal contexts are settled at
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +45,12 @@ from freshet.llm.common import bounded_broadcast, durable, input_mb, plain, rele
 from freshet.llm.shingles import end_power, mixed, powers
 
 LENGTH, GRAM = 100, 24
+#: Occurrences from which an anchor is hot, and the step of the strings by which its contexts are dealt out.
+HOT, WINDOW = 4096, 11
 #: Bytes that are looked at together; contexts that a task holds before it sends them; anchors a MB of input, about.
 PIECE, HELD, ANCHORS_MB = 500_000, 50_000, 60_000
-#: log2 of the bits of the table of repeated anchors, at most, and its bound in bytes.
-TABLE_BITS, TABLE_BOUND = 28, 40_000_000
+#: log2 of the bits of each table of anchors, at most, and their bound in bytes.
+TABLE_BITS, TABLE_BOUND = 28, 80_000_000
 FIRST_ID = -(1 << 63)
 
 _BYTE_VALUES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,19 +102,29 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             yield np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(x) for x in texts]), keys, np.zeros(len(texts), np.int64)
 
 
-def repeated_anchors(rows: DataFrame, bits: int, ranges: int, table_bits: int) -> np.ndarray:
+def repeated_anchors(rows: DataFrame, bits: int, ranges: int, table_bits: int) -> list[np.ndarray]:
+    """Tables of the anchors that occur twice or more, and of the hot ones."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from packed.send_counts((anchors(block, ends)[0] for block, ends, _, _ in pieces(batches)), bits, ranges)
 
-    return packed.frequent_bits(rows.mapInArrow(send, packed.SENT), ranges, bits, 2, table_bits)
+    return packed.tables_of(rows.mapInArrow(send, packed.SENT), ranges, bits, [2, HOT], table_bits)
+
+
+def dealt(anchor: int, context: bytes, left: int) -> list[int]:
+    """Hashes of the groups of a hot anchor's context: one for each string of LENGTH - WINDOW + 1 bytes that it holds and that
+    starts a multiple of WINDOW bytes before the anchor."""
+    size = LENGTH - WINDOW + 1
+    starts = range(left, max(-1, left - (LENGTH - GRAM) - 1), -WINDOW)
+    return [xxhash.xxh3_64_intdigest(context[at : at + size], seed=(anchor + left - at) & ((1 << 64) - 1)) for at in starts if at + size <= len(context)]
 
 
-def contexts(rows: DataFrame, table, table_bits: int, ranges: int) -> DataFrame:
+def contexts(rows: DataFrame, tables, table_bits: int, ranges: int) -> DataFrame:
     """Packed contexts by range of anchor (``part`` 0 and up), and spans that were settled here (``part`` -1)."""
     schema = "part int, anchor binary, doc binary, twin binary, start binary, left binary, size binary, bytes binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit, names = table.value, [x.split()[0] for x in schema.split(", ")]
+        (bit, hot), names = tables.value, [x.split()[0] for x in schema.split(", ")]
         zip_ = zstandard.ZstdCompressor(level=1)
         held: dict[tuple[bytes, int], tuple] = {}
         gone = array("q")
@@ -120,6 +137,12 @@ def contexts(rows: DataFrame, table, table_bits: int, ranges: int) -> DataFrame:
             if held:
                 found = list(held.items())
                 hashes = np.asarray([v[3] for _, v in found], np.uint64)
+                spread = np.flatnonzero(packed.has_bit(hot, hashes, table_bits))
+                if len(spread):
+                    more = [(found[i], h) for i in spread.tolist() for h in dealt(found[i][1][3], *found[i][0])]
+                    keep = np.delete(np.arange(len(found)), spread)
+                    found = [*(found[i] for i in keep.tolist()), *(x for x, _ in more)]
+                    hashes = np.concatenate([hashes[keep], np.asarray([h for _, h in more], np.uint64)])
                 order = np.argsort(hashes)
                 hashes = hashes[order]
                 part = (hashes >> np.uint64(64 - ranges)).astype(np.int64)
@@ -274,9 +297,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = int(min(64, 40 + max(0, np.ceil(np.log2(max(mb, 1) / 2048)))))
     table_bits = int(min(TABLE_BITS, max(20, np.ceil(np.log2(max(4 * expected, 1))))))
     found = repeated_anchors(narrow, bits, ranges, table_bits)
-    table = bounded_broadcast(spark, found, found.nbytes, TABLE_BOUND, "the table of repeated anchors")
+    tables = bounded_broadcast(spark, found, sum(x.nbytes for x in found), TABLE_BOUND, "the tables of repeated anchors")
 
-    sent = contexts(narrow, table, table_bits, ranges)
+    sent = contexts(narrow, tables, table_bits, ranges)
     span = "key long, twin long, start long, end long"
 
     def solve(group: pa.Table) -> pa.Table:
