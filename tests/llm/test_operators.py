@@ -150,7 +150,12 @@ def removed_bytes(rows, size=100):
     return out
 
 
-def test_substring_dedup(spark, texts):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_substring_dedup(spark, texts, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    rng = random.Random(19)
+    phrase = prose(rng, 14)  # shorter than what is looked for, amid different words, and now and then amid the same
+    texts = [*texts, *(f"{prose(rng, 25, 5000)} {phrase} {prose(rng, 25, 5000)}" for _ in range(20)), *(f"w{i} x y z {phrase} and so it goes on for {'some time ' * (i % 4)} w{i}" for i in range(12))]
     docs = frame(spark, texts)
     found = {r.doc_id: r for r in substring_dedup.substring_dedup(docs).collect()}
     for i, mark in removed_bytes([(i, (t or "").encode()) for i, t in enumerate(texts)]).items():
@@ -186,6 +191,18 @@ def test_long_text_in_pieces(spark, monkeypatch):
     assert windows == set(range(len(whole.encode()) - 99)) and mark.any()
 
 
+def test_equal_windows_of_a_hot_anchor_meet():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        left, right = int(rng.integers(0, 77)), int(rng.integers(24, 101))
+        if left + right < 100:
+            continue
+        shared = rng.integers(0, 256, left + right, dtype=np.uint8).tobytes()
+        more = [rng.integers(0, 256, int(rng.integers(0, 40)), dtype=np.uint8).tobytes() for _ in range(4)]
+        one, two = more[0] + shared + more[1], more[2] + shared + more[3]
+        assert set(substring_dedup.dealt(9, one, len(more[0]) + left)) & set(substring_dedup.dealt(9, two, len(more[2]) + left))
+
+
 def test_maximal_repeats_have_all_occurrences():
     rights, lefts = [b"abcXX", b"abcXY", b"abcZ", b"abcXX"], [b"pq", b"pr", b"pq", b"pq"]
     got = {(left, right, tuple(sorted(g))) for left, right, g in substring_dedup.maximal_repeats(rights, lefts, 4)}
