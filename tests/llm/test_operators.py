@@ -262,9 +262,9 @@ def test_names_and_words_are_no_secrets(tmp_path):
     import json
 
     vocabulary = tmp_path / "v.json"
-    vocabulary.write_text(json.dumps({"model": {"end_of_word_suffix": "</w>", "vocab": {"x": 0, "development</w>": 1, "environment</w>": 2, "process</w>": 3, "settings</w>": 4, "a1</w>": 5}}}))
+    vocabulary.write_text(json.dumps({"model": {"end_of_word_suffix": "</w>", "vocab": {"x": 0, "development</w>": 1, "environment</w>": 2, "process</w>": 3, "settings</w>": 4, "a1</w>": 5, "env</w>": 6}}}))
     words = secrets.ranked_words(str(vocabulary))
-    assert words[len(secrets.COMMON) :] == ["development", "environment", "process", "settings"]
+    assert words[len(secrets.COMMON) :] == ["development", "environment", "process", "settings", "env"]
     known = secrets.Dictionary(words)
     for text in ("auth_key: development", "credential: environment", "access_key = process.env.ACCESS_KEY", "private_key=${PRIVATE_KEY}", "pwd: os.environ[", "credential = YOUR_API_KEY_HERE"):
         assert secrets.scan(text, known) == [], text
