@@ -21,7 +21,7 @@ Stages and what moves (input: texts, read by column once for each of 1 to 3 and
    and links give components;
 5. rounds over the frequent signatures whose nodes lie in several components. A signature's largest component is its
    head. Each node outside the head is held against the signature's nodes in other components, by size and bitmap, in
-   blocks of bounded rows and bytes, and names the k nearest nodes (k: 1, 8, 64, ... round by round). These pairs are
+   blocks of bounded rows and bytes, and names the k nearest nodes (k: 8, 64, 512, ... round by round). These pairs are
    verified; links unite components, refused pairs are remembered. Who named none is
    done, since components only grow, so the next round asks the others alone; the rounds end when none is named. A link
    between two components so ends their comparison, and no pair that shares a signature is left out but those already
@@ -62,6 +62,8 @@ WORDS, NUMERATOR, DENOMINATOR, FREQUENT = 5, 80, 100, 64
 OFTEN_BITS, FETCH_BITS, TABLE_BOUND = 28, 28, 40_000_000
 #: Set sizes a class of frequent tokens; shingles a MB of input, about.
 CLASS_SIZE, SHINGLES_MB = 8, 250_000
+#: Nearest nodes that a node names in the first round; eight times as many in each later one.
+FIRST_NAMED = 8
 #: Rows and bytes of bitmaps, about, of a block of a frequent signature.
 SALTED, SALTED_BYTES = 32_768, 16 << 20
 
@@ -314,15 +316,16 @@ def blocks(rows, size):
     return F.greatest(F.ceil(rows / SALTED), F.ceil(size / SALTED_BYTES)).cast("int")
 
 
-def nearest(asked: DataFrame, members: DataFrame, info: DataFrame, placed, refused: DataFrame | None, k: int) -> DataFrame:
-    """For each node of ``asked`` (``sig``, ``node``, ``bytes``, ``ins``: blocks of its signature) its k nearest nodes in other
-    components among its signatures' ``members``, of those that pass the filters: ``a`` < ``b``. ``info``: ``node``,
-    ``n``, ``bits``; ``placed`` adds labels; ``refused``: pairs to leave out."""
+def nearest(asked: DataFrame, members: DataFrame, placed, refused: DataFrame | None, k: int) -> DataFrame:
+    """For each node of ``asked`` (as ``members``, and ``ins``: blocks of its signature) its k nearest nodes in other components
+    among its signatures' ``members`` (``sig``, ``node``, ``bytes``, ``n``, ``bits``), of those that pass the filters: ``a`` < ``b``.
+    ``placed`` adds labels; ``refused``: pairs to leave out."""
     dealt = durable(asked.groupBy("sig").agg(blocks(F.count("*"), F.sum("bytes")).alias("outs"), F.first("ins").alias("ins")), "blocks")
     number = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    outer = placed(asked.select("sig", "node").join(dealt, "sig"), "ins", "outs").select("sig", number("outs").alias("o"), each("ins").alias("i"), F.lit(True).alias("outer"), "node", "label").join(info, "node")
-    inner = placed(members.select("sig", "node").join(dealt, "sig"), "ins", "outs").select("sig", each("outs").alias("o"), number("ins").alias("i"), F.lit(False).alias("outer"), "node", "label").join(info, "node")
+    outer, inner = (placed(rows.select("sig", "node", "n", "bits").join(dealt, "sig"), "ins", "outs", "n", "bits") for rows in (asked, members))
+    outer = outer.select("sig", number("outs").alias("o"), each("ins").alias("i"), F.lit(True).alias("outer"), "node", "label", "n", "bits")
+    inner = inner.select("sig", each("outs").alias("o"), number("ins").alias("i"), F.lit(False).alias("outer"), "node", "label", "n", "bits")
     if refused is None:
         outer = outer.withColumn("refused", F.lit(None).cast("array<long>"))
     else:
@@ -374,19 +377,19 @@ def united(signed: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFra
     sizes = placed(signed, "bytes").groupBy("sig", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     sigs = sizes.groupBy("sig").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("head"), blocks(F.sum("n"), F.sum("bytes")).alias("ins"))
     heads = durable(sigs.where("parts > 1").select("sig", "head", "ins"), "heads")
-    members = durable(signed.join(heads, "sig").select("sig", "node", "bytes"), "members")
-    info = nodes.select("node", "n", "bits")
+    # sizes and bitmaps are joined once, for all rounds
+    members = durable(signed.join(heads, "sig").select("sig", "node", "bytes").join(nodes.select("node", "n", "bits"), "node"), "members")
     links: DataFrame | None = None
     refused: DataFrame | None = None
     asking: DataFrame | None = None  # nodes that named another one in the last round
-    k = 1
+    k = FIRST_NAMED
     while True:
         now = durable(heads.join(labels.toDF("head", "label"), "head", "left").select("sig", F.coalesce("label", "head").alias("head"), "ins"), "now")
-        rows = members if asking is None else members.join(asking, "node", "left_semi").select("sig", "node", "bytes")
-        asked = durable(placed(rows.join(now, "sig"), "head", "ins", "bytes").where("label <> head").select("sig", "node", "ins", "bytes"), "asked")
+        rows = members if asking is None else members.join(asking, "node", "left_semi")
+        asked = durable(placed(rows.join(now, "sig"), "head", "ins", "bytes", "n", "bits").where("label <> head").drop("label", "head"), "asked")
         if asked.isEmpty():
             return labels, links
-        pairs = durable(nearest(asked, members, info, placed, refused, k), "named")
+        pairs = durable(nearest(asked, members, placed, refused, k), "named")
         if pairs.isEmpty():
             return labels, links
         judged = verified(pairs, sets, "round-links")
