@@ -12,9 +12,10 @@ from freshet.sources.state import ParquetStore
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+#: The other queries of plans and lint run the same plan or the same lint as those here.
 HEADLINE = (
-    "matrix_cartesian task_query_filter record_with_tombstone resources_last_exec code_intern own_rerun_reasons rerun_elementwise rerun_closure durable_newer cascade_settled"
-    " upstream_failed_skip status_partition status_totals reason_tally failure_groups lint_missing_dependency lint_external elementwise_proof rule_batches comment_filter daily_mean"
+    "matrix_cartesian task_query_filter record_with_tombstone resources_last_exec code_intern rerun_closure cascade_settled"
+    " status_partition runnable_order failure_groups lint_order elementwise_proof rule_batches comment_filter daily_mean"
     " normalise_above_threshold seasonal_mean_djf anomaly_vs_reference mean_std pairwise_reduce"
 ).split()
 
