@@ -513,10 +513,16 @@ def mean_std(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT id, round(100 * strength / total, 1) AS share, id = strongest AS is_strongest FROM (SELECT event_id AS id, value AS strength, user_id FROM events)
  JOIN (SELECT user_id AS u, sum(value) AS total, arg_max(event_id, value) AS strongest FROM events GROUP BY 1) ON u = user_id""")
 def discovered_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Each discovered event's share of its group to one decimal, and which is the strongest."""
+    """Each discovered event's share of its group to one decimal, and which is the strongest: of equal ones the least id, a null id
+    never. Halves round away from zero as the SQL's do, after the product; shares of a group without strength are not finite."""
     events = _table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("strength"), "user_id")
-    groups = events.groupBy("user_id").agg(F.sum("strength").alias("total"), F.max_by("id", "strength").alias("strongest"))
-    return events.join(groups, "user_id").select("id", F.round(100 * F.col("strength") / F.col("total"), 1).alias("share"), (F.col("id") == F.col("strongest")).alias("is_strongest"))
+    place = F.when(F.col("id").isNotNull() & F.col("strength").isNotNull(), F.struct("strength", F.bitwise_not("id")))
+    groups = events.groupBy("user_id").agg(F.sum("strength").alias("total"), F.max_by("id", place).alias("strongest"))
+    part = 100 * F.col("strength")
+    whole = F.when(F.col("total") == 0, part * float("inf")).otherwise(part / F.col("total"))
+    tens = F.round(whole * 10)
+    share = F.when(F.abs(tens) == float("inf"), whole).otherwise(tens / 10)
+    return events.join(groups, "user_id").select("id", share.alias("share"), (F.col("id") == F.col("strongest")).alias("is_strongest"))
 
 
 @query("SELECT p_brand AS item, p // 32 AS at, sum(size)::BIGINT AS total FROM (SELECT p_brand, p_size AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS p FROM part) GROUP BY 1, 2")

@@ -120,6 +120,17 @@ def test_failure_members_are_all_listed(spark):
     assert sizes == {(g.type, g.first_seen): g.n for g in failure_groups(failed, "at", "exception", "key").collect()} and max(sizes.values()) == 4
 
 
+def test_discovered_shares_on_odd_events(spark, tmp_path):
+    """Equal strengths, null ids and strengths, groups whose strengths sum to nothing, shares just below a half."""
+    rows = [(3, 5.0, 1), (7, 5.0, 1), (8, 1.0, 1), (None, 9.0, 1), (9, None, 1), (10, 0.0, 2), (11, 0.0, 2), (12, -3.0, 3), (13, 3.0, 3), (14, None, 4), (15, 1.0, None), (16, 1e308, 5), (17, 1e308, 5)]
+    rows += [(18 + 2 * i + j, v, 6 + i) for i, x in enumerate((0.44999999999999996, 1.8499999999999999, 3.3499999999999996, 2.25)) for j, v in enumerate((x, 100 - x))]
+    spark.createDataFrame(rows, "event_id long, value double, user_id long").coalesce(1).sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = catalogue.queries()["discovered_shares"](spark, str(tmp_path)).select("id", "share", "is_strongest")
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(map(repr, con.sql(catalogue.oracle_sql()["discovered_shares"]).fetchall()))
+
+
 def test_entry_point(spark):
     import __spark_entry__ as e
 
