@@ -544,6 +544,32 @@ def test_jaccard_links_are_all_links(spark, texts, salted, monkeypatch):
     assert ngram_join.jaccard_links(docs.limit(0))[0].count() == 0
 
 
+def test_jaccard_rounds_end_when_all_pairs_are_judged(spark, monkeypatch):
+    """Texts that bitmaps cannot tell from similar ones, none of which is: a node with fewer near ones than it may name is not
+    asked again, and those that may have more are held against the members of their own signatures alone."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    monkeypatch.setattr(ngram_join, "bitmap", lambda tokens: np.zeros(1, "<u8"))
+    rng, held = random.Random(4), []
+    monkeypatch.setattr(ngram_join, "nearest", lambda asked, members, refused, k, real=ngram_join.nearest: held.append((k, asked.count(), members.count())) or real(asked, members, refused, k))
+
+    def groups(*sizes):
+        out = []
+        for size in sizes:
+            common = prose(rng, 110, 5000)
+            out += [f"{common} {' '.join(f'w{rng.randrange(10**9)}' for _ in range(20))}" for _ in range(size)]
+        return out
+
+    for sizes, rounds in (((7, 5), [8]), ((30, 5), [8, 64])):
+        held.clear()
+        texts = groups(*sizes)
+        found = sets(texts)
+        want = joined(range(len(texts)), found)
+        got = ngram_join.jaccard_components(frame(spark, texts).repartition(4))[0].collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(found[i]), want[i]) for i in want}
+        assert [k for k, _, _ in held] == rounds
+    assert held[1][2] < held[0][2]  # the small group's nodes are done
+
+
 def test_signatures_meet():
     """Any two similar sets share a rare token of both prefixes or a signature."""
     rng = np.random.default_rng(0)
